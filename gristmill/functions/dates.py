@@ -76,8 +76,11 @@ def dt_format(value: Column, fmt: str) -> Column:
 
 def dt_add(value: Column, amount: Column | int | float, unit: str) -> Column:
     """Shift forward; fractions of a unit are allowed."""
-    step = amount if isinstance(amount, Column) else F.lit(amount)
-    micros = (step * F.lit(_unit(unit) * 1_000_000)).cast("long")
+    length = _unit(unit) * 1_000_000
+    if isinstance(amount, Column):
+        micros = (amount.cast("double") * F.lit(float(length))).cast("long")
+    else:
+        micros = F.lit(int(amount * length)).cast("long")
     return F.timestamp_micros(F.unix_micros(value.cast("timestamp")) + micros)
 
 
