@@ -169,3 +169,28 @@ def looks_numeric(df: DataFrame, column: str) -> bool:
     text = F.nullif(F.col(column).cast("string"), F.lit(""))
     present, numbers = df.agg(F.count(text), F.count(number_of(text))).first()
     return numbers >= max(1, present // 2) and numbers > 0
+
+
+def infer_record_types(df: DataFrame, column: str, order: str) -> DataFrame:
+    """Catalog types of the keys of a JSON column, over all records.
+
+    A key is a string until a later record shows another type; the first type other
+    than string stays.
+    """
+    parsed = df.select(order, F.try_parse_json(F.col(column)).alias("_json"))
+    parsed.createOrReplaceTempView("_record_types")
+    fields = df.sparkSession.sql(
+        f"SELECT r.`{order}` AS at, f.key AS name, schema_of_variant(f.value) AS kind "
+        "FROM _record_types r, LATERAL variant_explode(r._json) f"
+    )
+    kind = (
+        F.when(F.col("kind") == "BOOLEAN", "boolean")
+        .when(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "number")
+        .when(F.col("kind").rlike("^(OBJECT|ARRAY)"), "object")
+        .otherwise("string")
+    )
+    typed = fields.select("name", "at", kind.alias("kind"))
+    other = F.when(F.col("kind") != "string", F.col("at"))
+    return typed.groupBy("name").agg(
+        F.coalesce(F.min_by("kind", other), F.lit("string")).alias("type")
+    )
