@@ -81,16 +81,18 @@ def skew_join(
     how: str = "inner",
     skew: Skew = DEFAULT,
     salts: int = 64,
+    heavy: list[int] | None = None,
 ) -> DataFrame:
     """Equi join whose heavy left keys are spread over ``salts`` pieces.
 
     Every left row gets a salt from its own content, and the matching right rows
     are repeated once per salt, for the heavy keys only. ``right`` must not be the
-    preserved side, so ``how`` is inner, left, left_semi or left_anti.
+    preserved side, so ``how`` is inner, left, left_semi or left_anti. ``heavy`` passes
+    hashes found earlier and saves the look at ``left``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not preserve the right side: {how}")
-    heavy = heavy_hashes(left, on, skew)
+    heavy = heavy_hashes(left, on, skew) if heavy is None else heavy
     if not heavy:
         return left.join(right, on, how)
     is_heavy = key_hash(on).isin(heavy)

@@ -62,20 +62,13 @@ def read_json_records(
     spark: SparkSession, path: str, schema: str
 ) -> tuple[DataFrame, DataFrame]:
     """(good, bad) records of JSON lines; a bad record keeps its text."""
-    fields = T.StructType.fromDDL(f"{schema}, _corrupt STRING")
-    rows = (
-        spark.read.schema(fields)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .json(path)
-    )
-    # Pair the flag with a data column: Spark refuses a scan of the corrupt text alone.
-    first = fields.fieldNames()[0]
-    good = rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
-    bad = rows.filter(F.col("_corrupt").isNotNull()).select(
-        F.col("_corrupt").alias("record"), F.col(first).isNull().alias("_empty")
-    )
-    return good, bad
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = F.from_json(F.col("value"), f"{schema}, _corrupt STRING", options)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    records = lines.select("value", parsed.alias("_record"))
+    corrupt = F.col("_record").isNull() | F.col("_record._corrupt").isNotNull()
+    good = records.filter(~corrupt).select("_record.*").drop("_corrupt")
+    return good, records.filter(corrupt).select(F.col("value").alias("record"))
 
 
 def read_feed_items(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
