@@ -176,7 +176,7 @@ def _(t: Tables):
 @query(
     "argmax_bid",
     """SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem
-    QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) = 1""",
+    QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey) = 1""",
 )
 def _(t: Tables):
     bids = t.lineitem.select(
@@ -185,6 +185,6 @@ def _(t: Tables):
         "l_orderkey",
         "l_linenumber",
         "l_extendedprice",
-        F.struct("l_orderkey", "l_linenumber").alias("_tie"),
+        F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("_tie"),
     )
     return agg.argmax_bid(bids, ["l_partkey"], "l_extendedprice", "_tie").drop("_tie")
