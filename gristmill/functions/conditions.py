@@ -57,7 +57,10 @@ def _compare(column: Column, kind: T.DataType, value: object, test) -> Column:
 
 
 def condition(column: Column, kind: T.DataType, operator: str, value: object = None) -> Column:
-    """A boolean Column; null inputs give false, except that null is empty."""
+    """A test to filter by: a null input gives null (no match), except that null is empty.
+
+    The comparison is left bare so that Spark can push it into the file scan.
+    """
     if operator not in OPERATORS:
         raise ValueError(f"operator must be one of {', '.join(OPERATORS)}")
     text = column.cast("string") if not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else None
@@ -71,7 +74,7 @@ def condition(column: Column, kind: T.DataType, operator: str, value: object = N
         return empty if operator == "is_empty" else ~empty
     if operator in ("is_true", "is_false"):
         words = TRUE_WORDS if operator == "is_true" else FALSE_WORDS
-        return F.coalesce(F.lower(text).isin(*words), F.lit(False))
+        return F.lower(text).isin(*words)
     if value is None:
         return F.lit(False)
     if operator in ("contains", "not_contains"):
@@ -94,4 +97,4 @@ def condition(column: Column, kind: T.DataType, operator: str, value: object = N
             "less_or_equal": lambda a, b: a <= b,
         }[operator]
         matched = _compare(column, kind, value, test)
-    return F.coalesce(matched, F.lit(False))
+    return matched

@@ -6,15 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def words_of(text: Column) -> Column:
-    """Whitespace-separated words; blank text has none."""
-    return F.filter(F.split(text, r"\s+"), lambda word: word != "")
-
-
 def text_measures(text: Column) -> dict[str, Column]:
     return {
         "chars": F.length(text),
-        "words": F.size(words_of(text)),
+        "words": F.regexp_count(text, F.lit(r"\S+")),
         "sentences": F.regexp_count(text, F.lit(r"[.!?]+")),
         "lines": F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1,
     }
@@ -29,8 +24,8 @@ def text_stats(df: DataFrame, column: str, by: list[str]) -> DataFrame:
 
 def frequent_words(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
     """Most frequent lower-cased words of the whole table, ties by word."""
-    words = df.select(F.explode(words_of(F.lower(F.col(column)))).alias("word"))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
+    words = df.select(F.explode(F.split(F.lower(F.col(column)), r"\s+")).alias("word"))
+    counted = words.filter(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
     return counted.orderBy(F.desc("occurrences"), F.asc("word")).limit(limit)
 
 
@@ -46,18 +41,23 @@ def regex_counts(
     )
     per_row = df.select(*by, F.explode(found).alias("pattern", "hits"))
     keys = [*by, "pattern"]
-    # Counting inside the row first keeps the exploded rows to one per match text.
-    totals = per_row.groupBy(*keys).agg(
-        F.count_if(F.size("hits") > 0).alias("rows_matched"),
-        F.sum(F.size("hits")).cast("long").alias("matches"),
+    # Each row adds one null entry that carries whether it matched, so rows, matches and
+    # different matches come out of the same pass and the same shuffle.
+    entries = per_row.select(
+        *keys,
+        (F.size("hits") > 0).cast("int").alias("matched"),
+        F.explode(F.array_append("hits", F.lit(None).cast("string"))).alias("hit"),
+    )
+    per_hit = entries.groupBy(*keys, "hit").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("matched").alias("matched")
     )
-    different = (
-        per_row.select(*keys, F.explode(F.array_distinct("hits")).alias("hit"))
-        .groupBy(*keys)
-        .agg(F.count_distinct("hit").alias("distinct_matches"))
+    row_entry = F.col("hit").isNull()
+    zero = F.lit(0).cast("long")
+    return per_hit.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(row_entry, F.col("matched"))), zero).alias("rows_matched"),
+        F.coalesce(F.sum(F.when(~row_entry, F.col("n"))), zero).alias("matches"),
+        F.count("hit").alias("distinct_matches"),
     )
-    joined = totals.join(different, keys, "left")
-    return joined.withColumn("distinct_matches", F.coalesce("distinct_matches", F.lit(0)))
 
 
 def regex_replace(df: DataFrame, column: str, pattern: str, replacement: str) -> DataFrame:

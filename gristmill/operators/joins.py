@@ -151,7 +151,8 @@ def theta_counts(
     )
     # Equal right values are combined first: the running sum sees one row per value.
     rights = (
-        right.groupBy(*keys, F.col(right_value).cast("double").alias("_value"))
+        right.filter(F.col(right_value).isNotNull())
+        .groupBy(*keys, F.col(right_value).cast("double").alias("_value"))
         .agg(F.count(F.lit(1)).alias("_one"))
         .withColumn("_side", F.lit(1))
     )

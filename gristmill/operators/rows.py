@@ -30,7 +30,7 @@ def filter_rows(
 ) -> DataFrame:
     """Keep (or drop) the rows that match; null never matches a comparison."""
     matched = _test(df, field, operator, value)
-    return df.filter(matched if keep else ~matched)
+    return df.filter(matched if keep else ~F.coalesce(matched, F.lit(False)))
 
 
 def filter_items(
@@ -41,7 +41,7 @@ def filter_items(
 
     def matches(item: Column) -> Column:
         matched = condition(item, kind, operator, value)
-        return matched if keep else ~matched
+        return matched if keep else ~F.coalesce(matched, F.lit(False))
 
     return df.withColumn(field, F.filter(F.col(field), matches))
 

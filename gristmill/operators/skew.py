@@ -85,7 +85,7 @@ def skew_join(
 ) -> DataFrame:
     """Equi join whose heavy left keys are spread over ``salts`` pieces.
 
-    Every left row gets a salt from its own content, and the matching right rows
+    Every heavy left row gets a salt, and the matching right rows
     are repeated once per salt, for the heavy keys only. ``right`` must not be the
     preserved side, so ``how`` is inner, left, left_semi or left_anti. ``heavy`` passes
     hashes found earlier and saves the look at ``left``.
@@ -96,13 +96,13 @@ def skew_join(
     if not heavy:
         return left.join(right, on, how)
     is_heavy = key_hash(on).isin(heavy)
-    content = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))
-    salted_left = left.withColumn("_salt", F.when(is_heavy, content).otherwise(F.lit(0)))
-    copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    salted_right = right.withColumn("_salt", F.explode(copies).cast("long"))
-    salted_left = salted_left.withColumn("_salt", F.col("_salt").cast("long"))
+    # The partition number spreads equal rows too, and does not change on a retry.
+    content = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns])
+    none, last = F.lit(0).cast("long"), F.lit(salts - 1).cast("long")
+    salt = F.when(is_heavy, F.pmod(content, F.lit(salts).cast("long"))).otherwise(none)
+    copies = F.when(is_heavy, F.sequence(none, last)).otherwise(F.array(none))
+    salted_left = left.withColumn("_salt", salt)
+    salted_right = right.withColumn("_salt", F.explode(copies))
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
 
 
