@@ -9,6 +9,7 @@ from gristmill.operators.joins import small_product
 from gristmill.operators.ordered import sequence
 from gristmill.operators.rows import sample_rows
 from gristmill.operators.skew import DEFAULT, Skew
+from gristmill.scratch import cut_lineage
 
 DIGITS = 4
 
@@ -116,6 +117,7 @@ def eval_roc_auc(asked: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
         [("score", "asc")],
         {"below": ("running_sum", "misses")},
         skew,
+        derived=True,
     )
     won = F.col("hits") * (F.col("below") - F.col("misses") + F.col("misses") / 2)
     return placed.groupBy("class").agg(
@@ -144,6 +146,7 @@ def diag_roc_curve(asked: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
             "misses_all": ("total_sum", "misses"),
         },
         skew,
+        derived=True,
     )
     return placed.select(
         "class",
@@ -156,11 +159,16 @@ def diag_roc_curve(asked: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
 def diag_confusion(predictions: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Counts for every (actual, predicted) pair of known classes, zeros included."""
     a, p = F.col(actual).cast("string"), F.col(predicted).cast("string")
-    counts = predictions.groupBy(a.alias("actual"), p.alias("predicted")).agg(
-        F.count(F.lit(1)).alias("count")
+    # A few rows that are read several times: computed once.
+    counts = cut_lineage(
+        predictions.groupBy(a.alias("actual"), p.alias("predicted")).agg(
+            F.count(F.lit(1)).alias("count")
+        )
     )
     classes = (
-        predictions.select(F.explode(F.array(a, p)).alias("c")).filter("c IS NOT NULL").distinct()
+        counts.select(F.explode(F.array("actual", "predicted")).alias("c"))
+        .filter("c IS NOT NULL")
+        .distinct()
     )
     pairs = small_product(
         classes.withColumnRenamed("c", "actual"), classes.withColumnRenamed("c", "predicted")

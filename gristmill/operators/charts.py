@@ -10,6 +10,7 @@ from gristmill.operators.joins import small_product
 from gristmill.operators.ordered import exact_percentiles
 from gristmill.operators.prep import equal_width
 from gristmill.operators.rows import sample_rows
+from gristmill.scratch import cut_lineage
 
 # How many points and bars a chart shows, and the drawable kinds.
 LINE_POINTS = 30
@@ -63,8 +64,9 @@ def chart_box(df: DataFrame, group: str, column: str) -> DataFrame:
 
 def chart_heatmap(df: DataFrame, row: str, column: str, metric: str, field: str | None) -> DataFrame:
     """A value for every (row, column) pair of two small key sets; missing cells are 0."""
-    cells = df.groupBy(row, column).agg(metric_column(metric, field).alias("value"))
-    grid = small_product(df.select(row).distinct(), df.select(column).distinct())
+    # The cells are few and read several times: computed once.
+    cells = cut_lineage(df.groupBy(row, column).agg(metric_column(metric, field).alias("value")))
+    grid = small_product(cells.select(row).distinct(), cells.select(column).distinct())
     return grid.join(cells, [row, column], "left").withColumn(
         "value", F.coalesce("value", F.lit(0.0))
     )

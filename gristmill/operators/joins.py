@@ -10,6 +10,7 @@ from gristmill.operators.skew import DEFAULT, Skew, skew_join
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_PAIRS = 1_000_000
+MAX_PACKED = 10_000
 
 
 def is_bounded(df: DataFrame, rows: int) -> bool:
@@ -36,9 +37,9 @@ def small_product(left: DataFrame, right: DataFrame, max_pairs: int = MAX_PAIRS)
 
     The right rows travel as one array value beside each left row.
     """
-    rights = right.limit(max_pairs + 1).count()
-    if rights > max_pairs or not is_bounded(left, max_pairs // max(rights, 1)):
-        raise ValueError(f"the product has more than {max_pairs} pairs")
+    rights = right.limit(MAX_PACKED + 1).count()
+    if rights > MAX_PACKED or not is_bounded(left, max_pairs // max(rights, 1)):
+        raise ValueError(f"the product may exceed {max_pairs} pairs or {MAX_PACKED} right rows")
     packed = right.agg(F.collect_list(F.struct(*[F.col(c) for c in right.columns])))
     return left.withColumn("_right", F.explode(packed.scalar())).select(
         *left.columns, "_right.*"
@@ -163,6 +164,7 @@ def theta_counts(
         [("_value", "asc"), ("_side", "asc")],
         {name: ("running_sum", "_one")},
         skew,
+        derived=True,
     )
     return summed.filter(F.col("_side") == 0).select("_left.*", name)
 

@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from gristmill.operators.skew import (
     DEFAULT,
     Skew,
+    heavy_hashes,
+    skew_join,
     slice_of,
     split_heavy,
     split_points,
 )
+from gristmill.scratch import cut_lineage
 
 Order = list[tuple[str, str]]
 Spec = tuple
 
 _NEEDS_TOTAL = {"ntile", "percent_rank", "cume_dist", "last", "total_count"}
+_BY_VALUE = {"rank", "dense_rank", "percent_rank", "cume_dist", "total_count"}
 _NEEDS_POSITION = {"row_number", "ntile", "first", "last", "nth"}
 
 
@@ -33,6 +37,17 @@ def sort_columns(order: Order) -> list[Column]:
     return [F.col(c).desc() if d == "desc" else F.col(c).asc() for c, d in order]
 
 
+def cut_columns(order: Order) -> tuple[list[str], bool]:
+    """The leading sort columns of one direction: what a table can be cut along."""
+    direction = order[0][1]
+    cut = []
+    for column, d in order:
+        if d != direction:
+            break
+        cut.append(column)
+    return cut, direction == "desc"
+
+
 def _ntile(position: Column, total: Column, buckets: int) -> Column:
     size = F.floor(total / buckets)
     larger = total % buckets
@@ -75,9 +90,9 @@ def _plain(df: DataFrame, keys: list[str], order: Order, wanted: dict[str, Spec]
 def _sliced(
     df: DataFrame, keys: list[str], order: Order, wanted: dict[str, Spec], skew: Skew
 ) -> DataFrame:
-    lead, direction = order[0]
-    points = split_points(df, lead, skew.slices)
-    sliced = df.withColumn("_slice", slice_of(lead, points, direction == "desc"))
+    cut, descending = cut_columns(order)
+    points = split_points(df, cut, skew.slices)
+    sliced = df.withColumn("_slice", slice_of(df, cut, points, descending))
     parts = keys + ["_slice"]
     kinds = {spec[0] for spec in wanted.values()}
 
@@ -171,25 +186,70 @@ def _sliced(
     return result.select(*df.columns, *wanted)
 
 
+def _by_value(
+    df: DataFrame, keys: list[str], order: Order, wanted: dict[str, Spec], skew: Skew
+) -> DataFrame:
+    """Ranks of heavy keys: they depend on the sort value only, so equal values are
+    counted first, the counts are accumulated, and the ranks are looked up again."""
+    values = [c for c, _ in order]
+    match = F.struct(*[F.col(c) for c in [*keys, *values]])
+    counts = df.groupBy(*keys, *values).agg(F.count(F.lit(1)).alias("_n"))
+    placed = sequence(
+        counts,
+        keys,
+        order,
+        {
+            "_upto": ("running_sum", "_n"),
+            "_place": ("row_number",),
+            "_all": ("total_sum", "_n"),
+        },
+        skew,
+        derived=True,
+    )
+    first = F.col("_upto") - F.col("_n") + 1
+    total = F.col("_all")
+    built = {
+        "rank": first.cast("int"),
+        "dense_rank": F.col("_place").cast("int"),
+        "percent_rank": F.coalesce(F.try_divide(first - 1, total - 1), F.lit(0.0)),
+        "cume_dist": F.col("_upto") / total,
+        "total_count": total,
+    }
+    ranks = placed.select(
+        match.alias("_match"), *[built[spec[0]].alias(name) for name, spec in wanted.items()]
+    )
+    joined = skew_join(df.withColumn("_match", match), ranks, ["_match"], "inner", skew)
+    return joined.select(*df.columns, *wanted)
+
+
 def sequence(
     df: DataFrame,
     keys: list[str],
     order: Order,
     wanted: dict[str, Spec],
     skew: Skew = DEFAULT,
+    derived: bool = False,
 ) -> DataFrame:
     """Add ordered-window columns; ``wanted`` maps a name to (kind, arguments).
 
     Kinds: row_number, rank, dense_rank, percent_rank, cume_dist, ntile(k),
     running_sum(col), fill_last(col), total_sum(col), total_count, first(col),
     last(col), nth(col, k). No keys means one sequence over the whole table.
+
+    ``derived`` says that ``df`` is costly to compute: with heavy keys it is then kept
+    in the shared folder, because several passes follow.
     """
-    ordinary, heavy = split_heavy(df, keys, skew)
+    found = heavy_hashes(df, keys, skew)
+    if found and derived:
+        df = cut_lineage(df)
+    ordinary, heavy = split_heavy(df, keys, found)
     pieces = []
     if ordinary is not None:
         pieces.append(_plain(ordinary, keys, order, wanted))
     if heavy is not None:
-        pieces.append(_sliced(heavy, keys, order, wanted, skew))
+        by_value = {spec[0] for spec in wanted.values()} <= _BY_VALUE
+        compute = _by_value if by_value else _sliced
+        pieces.append(compute(heavy, keys, order, wanted, skew))
     return pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
 
 
@@ -208,7 +268,7 @@ def neighbours(
     Heavy keys are cut into blocks of consecutive rows; the rows a neighbouring block
     needs are copied into it and dropped again afterwards.
     """
-    ordinary, heavy = split_heavy(df, keys, skew)
+    ordinary, heavy = split_heavy(df, keys, heavy_hashes(df, keys, skew))
     pieces = []
     if ordinary is not None:
         window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
@@ -249,7 +309,7 @@ def trailing(
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     reach = int(seconds) * 1_000_000
-    ordinary, heavy = split_heavy(df, keys, skew)
+    ordinary, heavy = split_heavy(df, keys, heavy_hashes(df, keys, skew))
     pieces = []
     if ordinary is not None:
         timed = ordinary.withColumn("_micros", micros)
@@ -294,6 +354,7 @@ def exact_percentiles(
         [("_value", "asc")],
         {"_upto": ("running_sum", "_count"), "_all": ("total_sum", "_count")},
         skew,
+        derived=True,
     )
     start = F.col("_upto") - F.col("_count")
     picks = [F.max("_all").alias("_all")]

@@ -39,8 +39,6 @@ def clean_dedupe(df: DataFrame, keys: list[str], order: Order) -> DataFrame:
 
 
 def _fill_value(df: DataFrame, column: str, rule: str) -> Column:
-    if rule == "mean":
-        return df.agg(F.avg(column)).scalar()
     if rule == "median":
         return exact_percentiles(df, [], column, {"median": 0.5}).scalar()
     if rule == "mode":
@@ -53,12 +51,19 @@ def clean_nulls(df: DataFrame, rules: dict[str, object]) -> DataFrame:
     """Per column: ``drop``, ``mean``, ``median``, ``mode`` or ("constant", value)."""
     dropped = [c for c, rule in rules.items() if rule == "drop"]
     kept = df.na.drop(subset=dropped) if dropped else df
+    averaged = [c for c, rule in rules.items() if rule == "mean"]
+    if averaged:
+        means = kept.agg(F.struct(*[F.avg(c).alias(c) for c in averaged])).scalar()
     filled = {}
     for column, rule in rules.items():
         if rule == "drop":
             continue
-        constant = isinstance(rule, tuple) and rule[0] == "constant"
-        value = F.lit(rule[1]) if constant else _fill_value(kept, column, rule)
+        if rule == "mean":
+            value = means.getField(column)
+        elif isinstance(rule, tuple) and rule[0] == "constant":
+            value = F.lit(rule[1])
+        else:
+            value = _fill_value(kept, column, rule)
         filled[column] = F.coalesce(F.col(column), value)
     return kept.withColumns(filled) if filled else kept
 

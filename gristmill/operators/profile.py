@@ -118,13 +118,15 @@ def profile_categorical(df: DataFrame, columns: list[str] | None = None, top: in
         numeric = set(numeric_columns(df))
         columns = [c for c in public_columns(df) if c not in numeric]
     counted = _counted(df, columns)
+    # Blanks sort last instead of being filtered out, so that both uses of the counts
+    # are the same plan and Spark computes them once.
     best = topk_per_group(
-        counted.filter(F.col("value").isNotNull()),
+        counted.withColumn("_blank", F.col("value").isNull()),
         ["name"],
-        [("count", "desc"), ("value", "asc")],
+        [("_blank", "asc"), ("count", "desc"), ("value", "asc")],
         top,
     )
-    return _presence(counted).join(best, "name")
+    return _presence(counted).join(best.filter(~F.col("_blank")).drop("_blank"), "name")
 
 
 def profile_approx(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions.conditions import condition
 from gristmill.functions.templates import interpolate
 from gristmill.functions.values import number_of
-from gristmill.operators.ordered import Order, sort_columns
+from gristmill.operators.ordered import Order, cut_columns, sort_columns
 from gristmill.operators.skew import slice_of, split_points
 
 MAX_PAGE = 500
@@ -62,8 +62,8 @@ def page_rows(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataF
     """
     limit, offset = max(1, min(int(limit), MAX_PAGE)), max(0, int(offset))
     if offset > DEEP_OFFSET:
-        lead, direction = order[0]
-        piece = slice_of(lead, split_points(df, lead, 256), direction == "desc")
+        cut, descending = cut_columns(order)
+        piece = slice_of(df, cut, split_points(df, cut, 256), descending)
         sizes = df.groupBy(piece.alias("piece")).count().orderBy("piece").collect()
         seen, wanted, skipped = 0, [], 0
         for row in sizes:

@@ -12,8 +12,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.joins import lookup_join
 from gristmill.operators.ordered import exact_percentiles
+from gristmill.operators.skew import skew_join
 
 # Statuses, the window limits, the sizes of the feeds.
 SUCCESS = "success"
@@ -177,19 +177,22 @@ def resume_set(runs: DataFrame) -> DataFrame:
 def nodes_to_do(runs: DataFrame, graph: DataFrame) -> DataFrame:
     """Nodes of each run's workflow without a reusable output.
 
-    ``graph`` lists (workflow, node_id). Each run carries its workflow's nodes, and
-    the reusable ones are looked up in its own results, so nothing is joined back.
+    ``graph`` lists (workflow, node_id). A run brings its reusable nodes along as an
+    array, so one join by workflow is enough.
     """
-    nodes = graph.groupBy("workflow").agg(F.array_sort(F.collect_set("node_id")).alias("_nodes"))
-    planned = lookup_join(runs.select("run_id", "workflow", "node_results"), nodes, ["workflow"])
     usable = F.map_keys(
         F.map_filter(
             "node_results",
             lambda _, n: (n["status"] == "completed") & ~F.coalesce(n["truncated"], F.lit(False)),
         )
     )
-    open_nodes = F.array_except("_nodes", F.coalesce(usable, F.array().cast("array<string>")))
-    return planned.select("run_id", F.explode(open_nodes).alias("node_id"))
+    have = F.coalesce(usable, F.array().cast("array<string>"))
+    planned = skew_join(
+        runs.select("run_id", "workflow", have.alias("_have")),
+        graph.select("workflow", "node_id").distinct(),
+        ["workflow"],
+    )
+    return planned.filter(~F.array_contains("_have", F.col("node_id"))).select("run_id", "node_id")
 
 
 def latest_run_context(runs: DataFrame) -> DataFrame:

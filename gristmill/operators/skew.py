@@ -54,10 +54,9 @@ def heavy_hashes(df: DataFrame, keys: list[str], skew: Skew = DEFAULT) -> list[i
 
 
 def split_heavy(
-    df: DataFrame, keys: list[str], skew: Skew = DEFAULT
+    df: DataFrame, keys: list[str], heavy: list[int]
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(rows of ordinary keys, rows of heavy keys); None where a part is empty."""
-    heavy = heavy_hashes(df, keys, skew)
     if not heavy:
         return df, None
     if not keys:
@@ -106,27 +105,35 @@ def skew_join(
     return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
 
 
-def split_points(df: DataFrame, column: str, pieces: int) -> list:
-    """Values that cut ``column`` into roughly equal pieces.
+def split_points(df: DataFrame, columns: list[str], pieces: int, rows: int | None = None) -> list:
+    """Tuples that cut the table, sorted by ``columns``, into roughly equal pieces.
 
     They come from a bounded sample; a bad sample makes uneven pieces, never a
-    different result.
+    different result. ``rows`` saves the count when the size is roughly known.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     wanted = pieces * 100
-    sample = df.select(column).filter(F.col(column).isNotNull())
+    sample = df.select(*columns).na.drop()
     if rows > wanted:
         sample = sample.sample(fraction=min(1.0, wanted / rows), seed=7)
-    values = sorted(row[0] for row in sample.limit(2 * wanted).collect())
+    values = sorted(tuple(row) for row in sample.limit(2 * wanted).collect())
     step = max(1, len(values) // pieces)
     return sorted(set(values[step::step]))
 
 
-def slice_of(column: str, points: list, descending: bool = False) -> Column:
-    """Index of the piece a value falls into, increasing in sort order."""
+def slice_of(df: DataFrame, columns: list[str], points: list, descending: bool = False) -> Column:
+    """Index of the piece a row falls into, increasing in sort order."""
     if not points:
         return F.lit(0)
-    passed = F.size(
-        F.filter(F.array(*[F.lit(p) for p in points]), lambda point: point < F.col(column))
+    kinds = {f.name: f.dataType for f in df.select(*columns).schema}
+    here = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    bounds = F.array(
+        *[
+            F.struct(
+                *[F.lit(v).cast(kinds[c]).alias(f"c{i}") for i, (c, v) in enumerate(zip(columns, point))]
+            )
+            for point in points
+        ]
     )
+    passed = F.size(F.filter(bounds, lambda point: point < here))
     return -passed if descending else passed

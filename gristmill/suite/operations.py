@@ -332,6 +332,23 @@ def _(t: Tables):
     return t.spark.createDataFrame(found, "run int, rows long, total double")
 
 
+@query(
+    "rerun_all",
+    """SELECT 'totals' AS title, 'ok' AS status, CAST(1 AS BIGINT) AS row_count UNION ALL SELECT 'broken', 'error', 0
+    UNION ALL SELECT 'priorities', 'ok', CAST(count(DISTINCT o_orderpriority) AS BIGINT) FROM orders""",
+)
+def _(t: Tables):
+    book = saved.Analysis("All", {"o": "orders"})
+    book.cells = [
+        saved.Cell("SELECT count(*) AS n, sum(o_totalprice) AS total FROM o", "totals"),
+        saved.Cell("SELECT nothing FROM o", "broken"),
+        saved.Cell("SELECT DISTINCT o_orderpriority FROM o", "priorities"),
+    ]
+    saved.rerun_all(_catalog(t), book)
+    found = [(c.title, c.status, c.row_count) for c in book.cells]
+    return t.spark.createDataFrame(found, "title string, status string, row_count long")
+
+
 @query(
     "materialize_cell",
     "SELECT o_custkey, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY o_custkey",
@@ -506,7 +523,7 @@ def _(t: Tables):
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)""",
 )
 def _(t: Tables):
-    @F.udtf(returnType="position: int, chars: int")
+    @F.udtf(returnType="position: int, chars: int", useArrow=True)
     class Lines:
         def eval(self, text: str):
             for position, line in enumerate(text.split("\n")):

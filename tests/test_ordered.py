@@ -82,6 +82,19 @@ def test_positions(skewed, keys, order):
     )
 
 
+def test_mixed_kinds_with_ties(skewed):
+    order, wanted = [("v", "asc")], {"a": ("rank",), "b": ("dense_rank",), "c": ("cume_dist",), "d": ("percent_rank",), "e": ("ntile", 1)}
+    same(sequence(skewed, ["k"], order, wanted, SPLIT), sequence(skewed, ["k"], order, wanted, NEVER))
+
+
+def test_one_sort_value_may_hold_every_row(spark):
+    df = spark.range(600).select(F.lit("x").alias("k"), F.lit(1.0).alias("v"), "id")
+    order = [("v", "asc"), ("id", "asc")]
+    wanted = {"n": ("row_number",)}
+    found = sequence(df, ["k"], order, wanted, SPLIT)
+    assert sorted((r["id"] + 1, r["n"]) for r in found.collect()) == [(i, i) for i in range(1, 601)]
+
+
 def test_string_order_and_fill(skewed):
     order = [("k", "asc"), ("id", "asc")]
     wanted = {"n": ("row_number",), "filled": ("fill_last", "v")}
