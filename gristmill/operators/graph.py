@@ -167,8 +167,9 @@ def _peel(edges: DataFrame, rounds_per_checkpoint: int = 4) -> DataFrame:
         edges.select("graph_id", F.col("target").alias("node_id"))
     ).distinct()
     left, open_edges, found, depth = cut_lineage(names), cut_lineage(edges), [], 0
+    heavy = heavy_hashes(open_edges, ["graph_id", "source"])
     while not left.isEmpty():
-        waiting = open_edges.select("graph_id", F.col("target").alias("node_id"))
+        waiting = open_edges.select("graph_id", F.col("target").alias("node_id")).distinct()
         level = left.join(waiting, ["graph_id", "node_id"], "left_anti")
         level = cut_lineage(level.withColumn("depth", F.lit(depth)))
         if level.isEmpty():
@@ -176,8 +177,9 @@ def _peel(edges: DataFrame, rounds_per_checkpoint: int = 4) -> DataFrame:
         found.append(level)
         gone = level.select("graph_id", "node_id")
         left = left.join(gone, ["graph_id", "node_id"], "left_anti")
-        open_edges = open_edges.join(
-            gone.withColumnRenamed("node_id", "source"), ["graph_id", "source"], "left_anti"
+        closed = gone.withColumnRenamed("node_id", "source")
+        open_edges = skew_join(
+            open_edges, closed, ["graph_id", "source"], "left_anti", heavy=heavy
         ).select(*schema.names)
         if depth % rounds_per_checkpoint == rounds_per_checkpoint - 1:
             left, open_edges = cut_lineage(left), cut_lineage(open_edges)
@@ -196,7 +198,7 @@ def graph_depth(edges: DataFrame, small: int = SMALL_GRAPH_EDGES) -> DataFrame:
     """
     steps = edges.select("graph_id", "source", "target").distinct()
     sizes = steps.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_edges"))
-    sized = steps.join(sizes, ["graph_id"])
+    sized = skew_join(steps, sizes, ["graph_id"])
     kind = {f.name: f.dataType.simpleString() for f in steps.schema}
     schema = f"graph_id {kind['graph_id']}, node_id {kind['source']}, depth int"
     depths = (

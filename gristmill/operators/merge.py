@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.ordered import Order, sort_columns
+from gristmill.operators.skew import skew_join
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -23,20 +24,21 @@ def upsert_by_key(
 ) -> DataFrame:
     """Rows with a matching key are replaced, the others are added."""
     newest = last_per_key(updates, keys, order)
-    kept = target.join(newest.select(*keys), keys, "left_anti")
+    kept = skew_join(target, newest.select(*keys), keys, "left_anti")
     return kept.unionByName(newest.select(*target.columns))
 
 
 def insert_if_absent(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Add the source rows whose key the target does not have yet."""
-    new = source.join(target.select(*keys), keys, "left_anti")
+    known = target.select(*keys).distinct()
+    new = skew_join(source, known, keys, "left_anti")
     return target.unionByName(new.select(*target.columns))
 
 
 def load_counts(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """How many source rows are new and how many are already present."""
     known = target.select(*keys).distinct().withColumn("_known", F.lit(True))
-    marked = source.select(*keys).join(known, keys, "left")
+    marked = skew_join(source.select(*keys), known, keys, "left")
     return marked.agg(
         F.count_if(F.col("_known").isNull()).alias("migrated"),
         F.count_if(F.col("_known").isNotNull()).alias("already_present"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.charts import check_chart
+from gristmill.operators.skew import skew_join
 from gristmill.plans.federation import federate
 from gristmill.plans.sqlgate import readonly_sql
 from gristmill.sources.catalog import Catalog
@@ -139,7 +140,7 @@ def verify_metrics(
     Sums are computed once for all claims; a claim about a missing key is unverifiable.
     """
     sums = facts.groupBy(key).agg(F.sum(value).alias("actual"))
-    joined = claims.join(sums, [key], "left")
+    joined = skew_join(claims, sums, [key], "left")
     close = F.abs(F.col("actual") - F.col(expected)) <= F.greatest(
         F.lit(TOLERANCE), F.abs(F.col(expected)) * TOLERANCE
     )

@@ -6,6 +6,8 @@ its (stream, batch id), so a batch repeated after a failure adds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gristmill.operators.merge import last_per_key
 from gristmill.operators.rows import event_filter
+from gristmill.operators.skew import skew_join
 from gristmill.sources.datasets import DatasetStore
 
 
@@ -41,13 +44,18 @@ def collect_into(
     checkpoint: str,
     every: str | None = None,
     name: str | None = None,
+    each: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
-    """Append every new record. Without an interval: take what is there, then stop."""
+    """Append every new record. Without an interval: take what is there, then stop.
+
+    ``each`` turns a batch into the rows to append.
+    """
     identity = name or dataset
     store.register(dataset)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        store.append(dataset, batch, batch=(identity, batch_id))
+        rows = each(batch) if each else batch
+        store.append(dataset, rows, batch=(identity, batch_id))
 
     writer = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
@@ -55,19 +63,33 @@ def collect_into(
 
 
 def poll(
-    stream: DataFrame, store: DatasetStore, dataset: str, checkpoint: str, timeout: int = 600
+    stream: DataFrame,
+    store: DatasetStore,
+    dataset: str,
+    checkpoint: str,
+    timeout: int = 600,
+    each: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """One poll: run until the source has nothing new, and wait for it."""
-    running = collect_into(stream, store, dataset, checkpoint)
+    running = collect_into(stream, store, dataset, checkpoint, each=each)
     if not running.awaitTermination(timeout):
         running.stop()
         raise TimeoutError(f"stream into '{dataset}' did not finish in {timeout} s")
     return running
 
 
-def stream_dedup(stream: DataFrame, keys: list[str], time: str, horizon: str) -> DataFrame:
-    """Drop repeats of a key that arrive within the horizon."""
-    return with_event_time(stream, time, horizon).dropDuplicatesWithinWatermark(keys)
+def stream_dedup(
+    stream: DataFrame, keys: list[str], time: str, horizon: str, salts: int = 16
+) -> DataFrame:
+    """Drop repeats of a key that arrive within the horizon.
+
+    The copies of one key are first thinned out in several tasks, by the partition they
+    were read in; at most one row per salt reaches the task that decides.
+    """
+    timed = with_event_time(stream, time, horizon)
+    salted = timed.withColumn("_salt", F.spark_partition_id() % salts)
+    thinned = salted.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return thinned.dropDuplicatesWithinWatermark(keys)
 
 
 def stream_filter(
@@ -153,9 +175,12 @@ def latest(store: DatasetStore, dataset: str, keys: list[str], order: list[str])
     return last_per_key(rows.select(*[c for c in rows.columns if not c.startswith("_")]), keys, order)
 
 
-def stream_static_join(stream: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Each event with its row of a table; Spark reads the table anew for each batch."""
-    return stream.join(table, on)
+def joined_with(table: DataFrame, on: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """For ``each``: events with their row of a table, heavy keys of the batch salted.
+
+    The table is read anew for every batch.
+    """
+    return lambda batch: skew_join(batch, table, on)
 
 
 def stream_interval_join(

@@ -92,8 +92,11 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    pending = t.orders.filter(F.col("o_orderstatus") == "P").select(
-        F.col("o_custkey").alias("c_custkey")
+    # Distinct keys: a busy customer's orders are combined before they are moved.
+    pending = (
+        t.orders.filter(F.col("o_orderstatus") == "P")
+        .select(F.col("o_custkey").alias("c_custkey"))
+        .distinct()
     )
     return t.customer.select("c_custkey", "c_name").join(pending, ["c_custkey"], "left_semi")
 
@@ -106,8 +109,10 @@ def _(t: Tables):
     """,
 )
 def _(t: Tables):
-    large = t.orders.filter(F.col("o_totalprice") > 450000).select(
-        F.col("o_custkey").alias("c_custkey")
+    large = (
+        t.orders.filter(F.col("o_totalprice") > 450000)
+        .select(F.col("o_custkey").alias("c_custkey"))
+        .distinct()
     )
     return t.customer.select("c_custkey", "c_name").join(large, ["c_custkey"], "left_anti")
 

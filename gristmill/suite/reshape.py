@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gristmill.operators import sets
 from gristmill.operators.ordered import sort_columns
 from gristmill.plans.federation import federate_views
 from gristmill.suite.registry import Tables, query, r, register, ts_text
@@ -69,10 +70,10 @@ def _set(name: str, keyword: str, combine) -> None:
 
 
 _set("union_distinct", "UNION", lambda a, b: a.unionByName(b).distinct())
-_set("intersect_rows", "INTERSECT", lambda a, b: a.intersect(b))
-_set("intersect_all", "INTERSECT ALL", lambda a, b: a.intersectAll(b))
-_set("except_rows", "EXCEPT", lambda a, b: a.subtract(b))
-_set("except_all", "EXCEPT ALL", lambda a, b: a.exceptAll(b))
+_set("intersect_rows", "INTERSECT", sets.intersect_rows)
+_set("intersect_all", "INTERSECT ALL", sets.intersect_all)
+_set("except_rows", "EXCEPT", sets.except_rows)
+_set("except_all", "EXCEPT ALL", sets.except_all)
 
 
 @query(

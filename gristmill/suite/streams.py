@@ -41,9 +41,9 @@ def _stream(df: DataFrame, closing: bool = False, time: str = "ts") -> DataFrame
     return collect.read_stream(df.sparkSession, folder, df.schema, files_per_batch=1)
 
 
-def _collected(t: Tables, stream: DataFrame) -> DataFrame:
+def _collected(t: Tables, stream: DataFrame, each=None) -> DataFrame:
     store = DatasetStore(t.spark, new_folder(t.spark, "streams"))
-    collect.poll(stream, store, "out", new_folder(t.spark, "progress"))
+    collect.poll(stream, store, "out", new_folder(t.spark, "progress"), each=each)
     return store.read("out")
 
 
@@ -188,8 +188,8 @@ def _(t: Tables):
 def _(t: Tables):
     stream = _stream(t.events.select("event_id", "ts", F.col("user_id").alias("c_custkey"), "value"))
     people = t.customer.select("c_custkey", "c_name", "c_mktsegment")
-    joined = collect.stream_static_join(stream, people, ["c_custkey"])
-    return _collected(t, joined).select("event_id", "c_name", "c_mktsegment", "value")
+    found = _collected(t, stream, collect.joined_with(people, ["c_custkey"]))
+    return found.select("event_id", "c_name", "c_mktsegment", "value")
 
 
 @query(

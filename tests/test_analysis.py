@@ -184,3 +184,18 @@ def test_late_rows_are_counted(spark):
 
     found = entry.queries()["stream_late_data"](spark, "/root/testdata/sf0.001").collect()
     assert sum(r["dropped_rows"] for r in found) > 0
+
+
+def test_stream_dedup_over_many_copies(spark, store):
+    folder = new_folder(spark, "copies")
+    rows_in = spark.range(200).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS event_id",
+        "timestampadd(MINUTE, cast(id AS int), timestamp_ntz '2024-01-01 00:00:00') AS ts",
+    )
+    for _ in range(2):
+        rows_in.repartition(4).write.mode("append").parquet(folder)
+    stream = collect.read_stream(spark, folder, rows_in.schema, files_per_batch=3)
+    unique = collect.stream_dedup(stream, ["event_id"], "ts", "1 day")
+    collect.poll(unique, store, "out", new_folder(spark, "progress"))
+    found = sorted(r["event_id"] for r in store.read("out").collect())
+    assert found == sorted({7 if i % 3 == 0 else i for i in range(200)})

@@ -177,6 +177,19 @@ def test_range_join(spark, skewed):
     assert {r["b"]: r["count"] for r in found.collect()} == expected
 
 
+def test_set_operations_keep_every_copy(spark, monkeypatch):
+    from gristmill.operators import sets
+
+    monkeypatch.setattr(sets._repeat, "__defaults__", (7,))
+    a = spark.createDataFrame([("x", None)] * 50 + [("y", 1)] * 3 + [(None, 2)], "col string, v long")
+    b = spark.createDataFrame([("x", None)] * 20 + [("y", 1)] * 9, "col string, v long")
+    same(sets.intersect_all(a, b), a.intersectAll(b))
+    same(sets.except_all(a, b), a.exceptAll(b))
+    same(sets.except_all(b, a), b.exceptAll(a))
+    same(sets.intersect_rows(a, b), a.intersect(b))
+    same(sets.except_rows(a, b), a.subtract(b))
+
+
 def test_small_product_refuses_large_inputs(spark):
     assert joins.small_product(spark.range(3), spark.range(4).toDF("x")).count() == 12
     with pytest.raises(ValueError):
