@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.skew import DEFAULT, Skew, heavy_hashes
 from gristmill.sources.datasets import DatasetStore
 
 MAX_GROUP_ROWS = 1_000_000
@@ -42,7 +41,8 @@ def code_stage_group(
     ``combine`` first reduces the table (for instance to counts per key and value).
     """
     prepared = combine(df) if combine else df
-    if heavy_hashes(prepared, keys, Skew(share=DEFAULT.share, min_rows=max_rows)):
+    sizes = prepared.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if not sizes.filter(F.col("_rows") > max_rows).isEmpty():
         raise ValueError(f"a group has more than {max_rows} rows; pass combine= to reduce it first")
     return prepared.groupBy(*keys).applyInPandas(run, schema)
 

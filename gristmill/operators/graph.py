@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.operators.skew import DEFAULT, Skew, heavy_hashes, skew_join
+from gristmill.operators.skew import DEFAULT, Skew, heavy_keys, skew_join
 from gristmill.scratch import cut_lineage
 
 # Node types, attachment kinds, and which types an attachment joins.
@@ -47,7 +47,7 @@ def _with_types(nodes: DataFrame, edges: DataFrame, skew: Skew) -> DataFrame:
     """Edges with the type of both ends; null where the node is missing."""
     types = nodes.groupBy("graph_id", "node_id").agg(F.min("type").alias("type"))
     ends = edges.select("graph_id", "source", "target", "attach")
-    heavy = {end: heavy_hashes(edges, ["graph_id", end], skew) for end in ("source", "target")}
+    heavy = {end: heavy_keys(edges, ["graph_id", end], skew) for end in ("source", "target")}
     for end in ("source", "target"):
         named = types.select(
             "graph_id", F.col("node_id").alias(end), F.col("type").alias(f"{end}_type")
@@ -167,7 +167,7 @@ def _peel(edges: DataFrame, rounds_per_checkpoint: int = 4) -> DataFrame:
         edges.select("graph_id", F.col("target").alias("node_id"))
     ).distinct()
     left, open_edges, found, depth = cut_lineage(names), cut_lineage(edges), [], 0
-    heavy = heavy_hashes(open_edges, ["graph_id", "source"])
+    heavy = heavy_keys(open_edges, ["graph_id", "source"])
     while not left.isEmpty():
         waiting = open_edges.select("graph_id", F.col("target").alias("node_id")).distinct()
         level = left.join(waiting, ["graph_id", "node_id"], "left_anti")

@@ -2,8 +2,8 @@
 
 Ordinary keys use a plain ``Window``: one shuffle by key. Rows of heavy keys are
 cut into slices along the sort order; each slice is computed on its own and then
-shifted by what the earlier slices of the key contribute. That carry table has at
-most (heavy keys x slices) rows, so it is small by construction.
+shifted by what the earlier slices of the key contribute. That carry table has one
+row per slice, and the number of slices is bounded by construction.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from gristmill.operators.skew import (
     DEFAULT,
     Skew,
-    heavy_hashes,
+    heavy_keys,
     skew_join,
     slice_of,
     split_heavy,
     split_points,
+    with_pieces,
 )
 from gristmill.scratch import cut_lineage
 
@@ -88,11 +89,21 @@ def _plain(df: DataFrame, keys: list[str], order: Order, wanted: dict[str, Spec]
 
 
 def _sliced(
-    df: DataFrame, keys: list[str], order: Order, wanted: dict[str, Spec], skew: Skew
+    df: DataFrame,
+    keys: list[str],
+    order: Order,
+    wanted: dict[str, Spec],
+    found: dict[int, int],
 ) -> DataFrame:
     cut, descending = cut_columns(order)
-    points = split_points(df, cut, skew.slices)
-    sliced = df.withColumn("_slice", slice_of(df, cut, points, descending))
+    most = max(found.values())
+    points = split_points(df, cut, most)
+    # A key gets as many slices as its size asks for, so all keys together have at most
+    # 1/share slices plus one per key.
+    fine = slice_of(df, cut, points, descending)
+    sliced = with_pieces(df, keys, found).withColumn(
+        "_slice", F.floor(fine * F.col("_pieces") / F.lit(len(points) + 1))
+    ).drop("_pieces")
     parts = keys + ["_slice"]
     kinds = {spec[0] for spec in wanted.values()}
 
@@ -128,7 +139,7 @@ def _sliced(
     matches = F.lit(True)
     for part in parts:
         matches = matches & F.col(part).eqNullSafe(F.col(f"_c{part}"))
-    # At most (heavy keys x slices) rows, whatever the size of the input.
+    # One row per slice, at most 2/share rows whatever the size of the input.
     joined = sliced.join(F.broadcast(carry), matches).drop(*[f"_c{p}" for p in parts])
 
     window = Window.partitionBy(*parts).orderBy(*sort_columns(order))
@@ -239,7 +250,7 @@ def sequence(
     ``derived`` says that ``df`` is costly to compute: with heavy keys it is then kept
     in the shared folder, because several passes follow.
     """
-    found = heavy_hashes(df, keys, skew)
+    found = heavy_keys(df, keys, skew)
     if found and derived:
         df = cut_lineage(df)
     ordinary, heavy = split_heavy(df, keys, found)
@@ -248,8 +259,10 @@ def sequence(
         pieces.append(_plain(ordinary, keys, order, wanted))
     if heavy is not None:
         by_value = {spec[0] for spec in wanted.values()} <= _BY_VALUE
-        compute = _by_value if by_value else _sliced
-        pieces.append(compute(heavy, keys, order, wanted, skew))
+        if by_value:
+            pieces.append(_by_value(heavy, keys, order, wanted, skew))
+        else:
+            pieces.append(_sliced(heavy, keys, order, wanted, found))
     return pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
 
 
@@ -268,7 +281,7 @@ def neighbours(
     Heavy keys are cut into blocks of consecutive rows; the rows a neighbouring block
     needs are copied into it and dropped again afterwards.
     """
-    ordinary, heavy = split_heavy(df, keys, heavy_hashes(df, keys, skew))
+    ordinary, heavy = split_heavy(df, keys, heavy_keys(df, keys, skew))
     pieces = []
     if ordinary is not None:
         window = Window.partitionBy(*keys).orderBy(*sort_columns(order))
@@ -309,7 +322,7 @@ def trailing(
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     reach = int(seconds) * 1_000_000
-    ordinary, heavy = split_heavy(df, keys, heavy_hashes(df, keys, skew))
+    ordinary, heavy = split_heavy(df, keys, heavy_keys(df, keys, skew))
     pieces = []
     if ordinary is not None:
         timed = ordinary.withColumn("_micros", micros)

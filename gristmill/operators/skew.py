@@ -1,33 +1,34 @@
 """Finding heavy keys and splitting the work they cause.
 
-Heavy keys are found with one bounded-memory sketch pass over the key columns.
-The result only steers the physical plan: every operator returns the same rows
-whatever the sketch reports.
+Heavy keys are found in a sample of the key columns. The sample only steers the
+physical plan: every operator returns the same rows whatever it reports.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH = "_key_hash"
+SAMPLE_ROWS = 20_000_000
 
 
 @dataclass(frozen=True)
 class Skew:
-    """When a key counts as heavy, and into how many pieces its rows are cut."""
+    """When a key is heavy, and into how many pieces its rows are cut.
 
-    share: float = 0.001
+    A key is heavy from ``share`` of the rows on, but not below ``min_rows`` rows; its
+    rows are cut into pieces of about that size.
+    """
+
+    share: float = 0.0001
     min_rows: int = 1_000_000
-    slices: int = 256
+    slices: int = 10_000
     block_rows: int = 100_000
 
-    @property
-    def max_heavy(self) -> int:
-        return int(1 / self.share)
-
 
 DEFAULT = Skew()
 
@@ -36,83 +37,90 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
 
 
-def heavy_hashes(df: DataFrame, keys: list[str], skew: Skew = DEFAULT) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows (at most 1/share)."""
+def heavy_keys(df: DataFrame, keys: list[str], skew: Skew = DEFAULT) -> dict[int, int]:
+    """Hash of each heavy key and the number of pieces for it (at most 1/share keys).
+
+    A small table is answered by its row count alone.
+    """
+    rows = df.count()
+    if rows < skew.min_rows:
+        return {}
+    size = max(skew.min_rows, skew.share * rows)
+
+    def pieces(of: float) -> int:
+        return min(skew.slices, max(2, ceil(of / size)))
+
     if not keys:
-        return [0] if df.count() >= skew.min_rows else []
-    tracked = max(10_000, 10 * skew.max_heavy)
-    found = (
-        df.select(key_hash(keys).alias(HASH))
-        .agg(
-            F.expr(f"approx_top_k({HASH}, {skew.max_heavy}, {tracked})").alias("top"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .first()
-    )
-    floor = max(skew.min_rows, skew.share * found["n"])
-    return [item["item"] for item in (found["top"] or []) if item["count"] >= floor]
+        return {0: pieces(rows)}
+    fraction = min(1.0, SAMPLE_ROWS / rows)
+    hashed = df.select(key_hash(keys).alias(HASH))
+    if fraction < 1:
+        hashed = hashed.sample(fraction=fraction, seed=11)
+    counted = hashed.groupBy(HASH).count().filter(F.col("count") >= size * fraction)
+    return {row[HASH]: pieces(row["count"] / fraction) for row in counted.collect()}
+
+
+def with_pieces(df: DataFrame, keys: list[str], heavy: dict[int, int]) -> DataFrame:
+    """Add ``_pieces``: how many pieces a row's key is cut into, 1 for ordinary keys."""
+    table = df.sparkSession.createDataFrame(list(heavy.items()), f"{HASH} long, _pieces long")
+    hashed = df.withColumn(HASH, key_hash(keys))
+    # At most 1/share rows.
+    joined = hashed.join(F.broadcast(table), [HASH], "left").drop(HASH)
+    return joined.withColumn("_pieces", F.coalesce("_pieces", F.lit(1).cast("long")))
 
 
 def split_heavy(
-    df: DataFrame, keys: list[str], heavy: list[int]
+    df: DataFrame, keys: list[str], heavy: dict[int, int]
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(rows of ordinary keys, rows of heavy keys); None where a part is empty."""
     if not heavy:
         return df, None
     if not keys:
         return None, df
-    is_heavy = key_hash(keys).isin(heavy)
+    is_heavy = key_hash(keys).isin(list(heavy))
     return df.filter(~is_heavy), df.filter(is_heavy)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equality on ``keys`` that also matches null with null."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
     how: str = "inner",
     skew: Skew = DEFAULT,
-    salts: int = 64,
-    heavy: list[int] | None = None,
+    heavy: dict[int, int] | None = None,
 ) -> DataFrame:
-    """Equi join whose heavy left keys are spread over ``salts`` pieces.
+    """Equi join whose heavy left keys are spread over several tasks.
 
-    Every heavy left row gets a salt, and the matching right rows
-    are repeated once per salt, for the heavy keys only. ``right`` must not be the
-    preserved side, so ``how`` is inner, left, left_semi or left_anti. ``heavy`` passes
-    hashes found earlier and saves the look at ``left``.
+    Every heavy left row gets a salt, and the matching right rows are repeated once per
+    salt, for the heavy keys only. ``right`` must not be the preserved side, so ``how``
+    is inner, left, left_semi or left_anti. ``heavy`` passes keys found earlier and
+    saves the look at ``left``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not preserve the right side: {how}")
-    heavy = heavy_hashes(left, on, skew) if heavy is None else heavy
+    heavy = heavy_keys(left, on, skew) if heavy is None else heavy
     if not heavy:
         return left.join(right, on, how)
-    is_heavy = key_hash(on).isin(heavy)
     # The partition number spreads equal rows too, and does not change on a retry.
     content = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in left.columns])
-    none, last = F.lit(0).cast("long"), F.lit(salts - 1).cast("long")
-    salt = F.when(is_heavy, F.pmod(content, F.lit(salts).cast("long"))).otherwise(none)
-    copies = F.when(is_heavy, F.sequence(none, last)).otherwise(F.array(none))
-    salted_left = left.withColumn("_salt", salt)
-    salted_right = right.withColumn("_salt", F.explode(copies))
-    return salted_left.join(salted_right, on + ["_salt"], how).drop("_salt")
+    salted_left = with_pieces(left.withColumn("_content", content), on, heavy)
+    salted_left = salted_left.withColumn("_salt", F.pmod("_content", "_pieces"))
+    copies = F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)
+    salted_right = with_pieces(right, on, heavy).withColumn("_salt", F.explode(copies))
+    joined = salted_left.drop("_content", "_pieces").join(
+        salted_right.drop("_pieces"), [*on, "_salt"], how
+    )
+    return joined.drop("_salt")
 
 
 def split_points(df: DataFrame, columns: list[str], pieces: int, rows: int | None = None) -> list:
     """Tuples that cut the table, sorted by ``columns``, into roughly equal pieces.
 
     They come from a bounded sample; a bad sample makes uneven pieces, never a
-    different result. ``rows`` saves the count when the size is roughly known.
+    different result.
     """
     rows = df.count() if rows is None else rows
-    wanted = pieces * 100
+    wanted = pieces * 50
     sample = df.select(*columns).na.drop()
     if rows > wanted:
         sample = sample.sample(fraction=min(1.0, wanted / rows), seed=7)
@@ -122,18 +130,28 @@ def split_points(df: DataFrame, columns: list[str], pieces: int, rows: int | Non
 
 
 def slice_of(df: DataFrame, columns: list[str], points: list, descending: bool = False) -> Column:
-    """Index of the piece a row falls into, increasing in sort order."""
+    """Index of the piece a row falls into, increasing in sort order.
+
+    The points are searched in two steps, first among every n-th, then between two of
+    those, so 10 000 points cost about 200 comparisons.
+    """
     if not points:
         return F.lit(0)
     kinds = {f.name: f.dataType for f in df.select(*columns).schema}
     here = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    bounds = F.array(
-        *[
-            F.struct(
-                *[F.lit(v).cast(kinds[c]).alias(f"c{i}") for i, (c, v) in enumerate(zip(columns, point))]
-            )
-            for point in points
-        ]
-    )
-    passed = F.size(F.filter(bounds, lambda point: point < here))
+
+    def literal(point: tuple) -> Column:
+        parts = [F.lit(v).cast(kinds[c]).alias(f"c{i}") for i, (c, v) in enumerate(zip(columns, point))]
+        return F.struct(*parts)
+
+    def below(bounds: Column) -> Column:
+        return F.size(F.filter(bounds, lambda point: point < here))
+
+    step = max(1, ceil(len(points) ** 0.5))
+    groups = [points[i : i + step] for i in range(0, len(points), step)]
+    # A group's first point decides whether the row lies in that group or a later one.
+    first = below(F.array(*[literal(g[0]) for g in groups]))
+    group = F.greatest(first, F.lit(1))
+    within = below(F.element_at(F.array(*[F.array(*map(literal, g)) for g in groups]), group))
+    passed = (group - 1) * step + within
     return -passed if descending else passed

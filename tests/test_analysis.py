@@ -132,7 +132,7 @@ def test_iterate_until(spark):
 
 
 def test_flow_document(spark):
-    df = spark.createDataFrame([(6, ["workflow studio"])], "number int, words array<string>")
+    df = spark.createDataFrame([(6, ["workflow engine"])], "number int, words array<string>")
     document = {
         "nodes": [
             {"id": "in", "type": "input"},
@@ -142,7 +142,7 @@ def test_flow_document(spark):
         ],
         "edges": [{"source": "in", "target": "square"}, {"source": "square", "target": "up"}, {"source": "up", "target": "keep"}],
     }
-    assert rows(run_flow(document, {"input": df})) == [(6, ["WORKFLOW STUDIO"])]
+    assert rows(run_flow(document, {"input": df})) == [(6, ["WORKFLOW ENGINE"])]
     document["edges"].append({"source": "keep", "target": "lost"})
     with pytest.raises(ValueError):
         run_flow(document, {"input": df})

@@ -125,6 +125,25 @@ def test_jdbc(spark):
         jdbc.read_query(spark, url, "DELETE FROM ORDERS")
 
 
+def test_browse(spark, catalog, store, sales):
+    from gristmill.plans import browse
+
+    store.append("sales", sales)
+    page = browse.rows(catalog, "dataset:sales", 2, 1)
+    assert page["total"] == 3 and [r["amount"] for r in page["rows"]] == [5, 10]
+    assert rows(browse.schema(catalog, "sales")) == [("region", "string"), ("amount", "number")]
+    assert browse.sample(catalog, "sales", 2)["total"] == 3
+    assert set(browse.profile(catalog, "sales")) == {"number", "string"}
+    assert rows(browse.aggregate(catalog, "sales", "sum", "amount", "region"))[0] == ("east", 40.0, 2)
+    assert browse.materialize(catalog, "sales", "copy") == 3
+    assert spark.read.parquet(browse.export(catalog, "sales", new_folder(spark, "x"), "parquet")).count() == 3
+    url = f"jdbc:derby:memory:b{uuid.uuid4().hex};create=true"
+    jdbc.write_rows(sales.toDF("REGION", "AMOUNT"), url, "SALES", options={"createTableColumnTypes": "REGION VARCHAR(20)"})
+    catalog.register("db", "sql", {"url": url, "table": "SALES"})
+    assert rows(browse.aggregate(catalog, "db", "max", "AMOUNT")) == [("all", 30.0, 3)]
+    assert browse.rows(catalog, "db", 1)["total"] == 3
+
+
 # ---- federation and the SQL gate
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gristmill.operators import joins
 from gristmill.operators.ordered import exact_percentiles, neighbours, sequence, trailing
 from gristmill.operators.rows import page_rows
-from gristmill.operators.skew import Skew, heavy_hashes, skew_join
+from gristmill.operators.skew import Skew, heavy_keys, skew_join, slice_of, split_points
 
 SPLIT = Skew(share=0.1, min_rows=50, slices=7, block_rows=11)
 NEVER = Skew(min_rows=10**12)
@@ -42,9 +42,23 @@ def same(left, right):
             assert m == pytest.approx(n, nan_ok=True) if isinstance(m, float) else m == n
 
 
-def test_heavy_keys_are_found(skewed):
-    assert len(heavy_hashes(skewed, ["k"], SPLIT)) == 1
-    assert heavy_hashes(skewed, ["k"], NEVER) == []
+def test_heavy_keys_are_found(skewed, monkeypatch):
+    from gristmill.operators import skew
+
+    (pieces,) = heavy_keys(skewed, ["k"], SPLIT).values()
+    assert pieces == 7
+    assert heavy_keys(skewed, ["k"], NEVER) == {}
+    monkeypatch.setattr(skew, "SAMPLE_ROWS", 300)
+    assert len(heavy_keys(skewed, ["k"], SPLIT)) == 1
+
+
+@pytest.mark.parametrize("count", [1, 2, 7, 50])
+def test_slices_follow_the_order(skewed, count):
+    points = split_points(skewed, ["v", "id"], count)
+    sliced = skewed.select("v", "id", slice_of(skewed, ["v", "id"], points).alias("s")).toPandas()
+    for row in sliced.dropna().itertuples():
+        assert row.s == sum(p < (row.v, row.id) for p in points)
+    assert set(sliced[sliced.v.isna()].s) <= {0}
 
 
 RANKS = {
@@ -138,7 +152,7 @@ def test_salted_join(spark, skewed, how):
     right = spark.createDataFrame(
         [("hot", 1), ("hot", 2), ("k3", 3), ("zz", 4)], "k string, w long"
     )
-    same(skew_join(skewed, right, ["k"], how, SPLIT, salts=5), skewed.join(right, ["k"], how))
+    same(skew_join(skewed, right, ["k"], how, SPLIT), skewed.join(right, ["k"], how))
 
 
 def test_full_and_right_join(spark, skewed):
