@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.operators.ordered import sequence, trailing
 from gristmill.operators.skew import DEFAULT, Skew, skew_join
 
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 200_000
 MAX_PAIRS = 1_000_000
 MAX_PACKED = 10_000
 

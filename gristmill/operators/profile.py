@@ -179,11 +179,10 @@ def infer_record_types(df: DataFrame, column: str, order: str) -> DataFrame:
     A key is a string until a later record shows another type; the first type other
     than string stays.
     """
-    parsed = df.select(order, F.try_parse_json(F.col(column)).alias("_json"))
-    parsed.createOrReplaceTempView("_record_types")
-    fields = df.sparkSession.sql(
-        f"SELECT r.`{order}` AS at, f.key AS name, schema_of_variant(f.value) AS kind "
-        "FROM _record_types r, LATERAL variant_explode(r._json) f"
+    parsed = df.select(F.col(order).alias("at"), F.try_parse_json(F.col(column)).alias("_json"))
+    entries = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_json").outer()))
+    fields = entries.select(
+        "at", F.col("key").alias("name"), F.schema_of_variant("value").alias("kind")
     )
     kind = (
         F.when(F.col("kind") == "BOOLEAN", "boolean")

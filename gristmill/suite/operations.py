@@ -529,9 +529,8 @@ def _(t: Tables):
             for position, line in enumerate(text.split("\n")):
                 yield position, len(line)
 
-    t.spark.udtf.register("text_lines", Lines)
-    t.documents.select("doc_id", "text").createOrReplaceTempView("text_documents")
-    return t.spark.sql("SELECT doc_id, l.* FROM text_documents, LATERAL text_lines(text) l")
+    documents = t.documents.select("doc_id", "text")
+    return documents.lateralJoin(Lines(F.col("text").outer())).drop("text")
 
 
 @query("code_stage_outputs")

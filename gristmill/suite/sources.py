@@ -88,9 +88,9 @@ def _padded(t: Tables) -> DataFrame:
     )
 
 
-def _write_csv(df: DataFrame, path: str, parts: int) -> None:
-    writer = df.repartition(parts, F.col(df.columns[0])).write.option("header", True)
-    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+def _write_csv(df: DataFrame, path: str) -> None:
+    writer = df.write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+    writer.option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 CSV_TYPED = f"SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_retailprice, mixed FROM ({CSV_SQL})"
@@ -99,15 +99,18 @@ CSV_TYPED = f"SELECT p_partkey, p_name, CAST(p_size AS BIGINT) AS p_size, p_reta
 @query("read_csv_source", CSV_TYPED)
 def _(t: Tables):
     path = new_folder(t.spark, "csv")
-    _write_csv(_padded(t), path, 1)
+    _write_csv(_padded(t), path)
     return files.read_csv(t.spark, path)
 
 
 @query("read_object_source", CSV_TYPED)
 def _(t: Tables):
     path = new_folder(t.spark, "objects")
-    _write_csv(_padded(t), path, 4)
-    return files.read_objects(t.spark, f"{path}/*.csv")
+    # Two folders of files under one glob.
+    halves = F.col("p_partkey") % 2 == 0
+    _write_csv(_padded(t).filter(halves), f"{path}/a")
+    _write_csv(_padded(t).filter(~halves), f"{path}/b")
+    return files.read_objects(t.spark, f"{path}/*/*.csv")
 
 
 @query(

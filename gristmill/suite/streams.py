@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from gristmill.scratch import new_folder
 from gristmill.sources.datasets import DatasetStore
@@ -11,40 +12,61 @@ from gristmill.streaming import collect
 from gristmill.suite.operations import RUN_LOG, run_log
 from gristmill.suite.registry import Tables, query, r
 
-CUTS = ("2024-01-09", "2024-01-16", "2024-01-23")
+# Records arrive in two deliveries, split at this time, with a poll after each.
+CUT = "2024-01-16"
 # Windows close when later data arrives; this last record lets all real ones close.
 CLOSING = "2024-06-01 00:00:00"
 
 
-def arrivals(df: DataFrame, time: str = "ts", closing: bool = False) -> str:
-    """Write a table as four files, one after the other, in time order."""
-    folder = new_folder(df.sparkSession, "arrivals")
-    bounds = [None, *CUTS, None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = df
-        if low is not None:
-            part = part.filter(F.col(time) >= F.lit(low).cast("timestamp_ntz"))
-        if high is not None:
-            part = part.filter(F.col(time) < F.lit(high).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    if closing:
-        values = {time: F.lit(CLOSING).cast("timestamp_ntz")}
-        marker = df.sparkSession.range(1).select(
-            *[values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema]
-        )
-        marker.coalesce(1).write.mode("append").parquet(folder)
-    return folder
+def arrive(df: DataFrame, folder: str) -> None:
+    df.write.mode("append").parquet(folder)
 
 
-def _stream(df: DataFrame, closing: bool = False, time: str = "ts") -> DataFrame:
-    folder = arrivals(df, time, closing)
-    return collect.read_stream(df.sparkSession, folder, df.schema, files_per_batch=1)
+def deliveries(df: DataFrame, time: str = "ts") -> list[DataFrame]:
+    cut = F.lit(CUT).cast(df.schema[time].dataType)
+    return [df.filter(F.col(time) < cut), df.filter(F.col(time) >= cut)]
 
 
-def _collected(t: Tables, stream: DataFrame, each=None) -> DataFrame:
-    store = DatasetStore(t.spark, new_folder(t.spark, "streams"))
-    collect.poll(stream, store, "out", new_folder(t.spark, "progress"), each=each)
-    return store.read("out")
+def closing_record(df: DataFrame, time: str = "ts") -> DataFrame:
+    values = {time: F.lit(CLOSING).cast(df.schema[time].dataType)}
+    return df.sparkSession.range(1).select(
+        *[values.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in df.schema]
+    )
+
+
+class Polled:
+    """A dataset fed by a stream over one or more folders that receive deliveries."""
+
+    def __init__(self, t: Tables, build, each=None) -> None:
+        self.spark, self.build, self.each = t.spark, build, each
+        self.store = DatasetStore(t.spark, new_folder(t.spark, "streams"))
+        self.progress = new_folder(t.spark, "progress")
+        self.folders: list[str] = []
+
+    def deliver(self, *parts: DataFrame) -> StreamingQuery:
+        if not self.folders:
+            self.folders = [new_folder(self.spark, "arrivals") for _ in parts]
+        for part, folder in zip(parts, self.folders):
+            arrive(part, folder)
+        schemas = [part.schema for part in parts]
+        streams = [
+            collect.read_stream(self.spark, f, s) for f, s in zip(self.folders, schemas)
+        ]
+        return collect.poll(
+            self.build(*streams), self.store, "out", self.progress, each=self.each
+        )
+
+    def rows(self) -> DataFrame:
+        return self.store.read("out")
+
+
+def _collected(t: Tables, df: DataFrame, build, closing: bool = False, each=None) -> DataFrame:
+    polled = Polled(t, build, each)
+    for part in deliveries(df):
+        polled.deliver(part)
+    if closing:
+        polled.deliver(closing_record(df))
+    return polled.rows()
 
 
 def _time(column: str) -> Column:
@@ -57,21 +79,21 @@ EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
 @query("stream_collect", "SELECT event_id, user_id, event_type, value FROM events")
 def _(t: Tables):
     events = t.events.select(*EVENT_COLUMNS)
-    folder = arrivals(events)
-    store = DatasetStore(t.spark, new_folder(t.spark, "streams"))
-    progress = new_folder(t.spark, "progress")
-    stream = collect.read_stream(t.spark, folder, events.schema, files_per_batch=1)
-    collect.poll(stream, store, "out", progress)
-    collect.poll(stream, store, "out", progress)  # a second poll finds nothing new
-    return store.read("out").select("event_id", "user_id", "event_type", "value")
+    polled = Polled(t, lambda stream: stream)
+    for part in deliveries(events):
+        polled.deliver(part)
+    polled.deliver(events.limit(0))  # a poll that finds nothing new
+    return polled.rows().select("event_id", "user_id", "event_type", "value")
 
 
 @query("stream_dedup", "SELECT event_id, event_type, value FROM events")
 def _(t: Tables):
     copies = F.explode(F.expr("CASE WHEN event_id % 20 = 0 THEN array(1, 2) ELSE array(1) END"))
     events = t.events.select(*EVENT_COLUMNS, copies.alias("copy")).drop("copy")
-    unique = collect.stream_dedup(_stream(events), ["event_id"], "ts", "1 day")
-    return _collected(t, unique).select("event_id", "event_type", "value")
+    found = _collected(
+        t, events, lambda stream: collect.stream_dedup(stream, ["event_id"], "ts", "1 day")
+    )
+    return found.select("event_id", "event_type", "value")
 
 
 @query(
@@ -79,9 +101,11 @@ def _(t: Tables):
     "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'error')",
 )
 def _(t: Tables):
-    stream = _stream(t.events.select("event_id", "ts", "event_type"))
-    kept = collect.stream_filter(stream, ["signup", "error"], "event_type")
-    return _collected(t, kept).select("event_id", "event_type")
+    events = t.events.select("event_id", "ts", "event_type")
+    found = _collected(
+        t, events, lambda stream: collect.stream_filter(stream, ["signup", "error"], "event_type")
+    )
+    return found.select("event_id", "event_type")
 
 
 OUTCOMES = """CAST(count(*) FILTER (WHERE status = 'success') AS BIGINT) AS succeeded,
@@ -102,8 +126,13 @@ def _measures():
     f"""SELECT strftime(date_trunc('day', started_at), '%Y-%m-%d %H:%M:%S') AS start, {OUTCOMES} FROM ({RUN_LOG}) GROUP BY 1""",
 )
 def _(t: Tables):
-    daily = collect.tumbling(_stream(_runs(t), True), "ts", "1 day", "1 hour", _measures())
-    return _collected(t, daily).select(_time("start"), "succeeded", "failed", "other")
+    found = _collected(
+        t,
+        _runs(t),
+        lambda stream: collect.tumbling(stream, "ts", "1 day", "1 hour", _measures()),
+        closing=True,
+    )
+    return found.select(_time("start"), "succeeded", "failed", "other")
 
 
 @query(
@@ -114,16 +143,15 @@ def _(t: Tables):
         time_bucket(INTERVAL 15 MINUTE, started_at) - INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, started_at)]) AS s FROM ({RUN_LOG})) GROUP BY s""",
 )
 def _(t: Tables):
-    hourly = collect.sliding(
-        _stream(_runs(t), True),
-        "ts",
-        "1 hour",
-        "15 minutes",
-        "1 hour",
-        [F.count(F.lit(1)).alias("runs"), *_measures()],
+    measures = [F.count(F.lit(1)).alias("runs"), *_measures()]
+    found = _collected(
+        t,
+        _runs(t),
+        lambda stream: collect.sliding(stream, "ts", "1 hour", "15 minutes", "1 hour", measures),
+        closing=True,
     )
     rate = r(F.col("failed") / F.col("runs"), 6).alias("failure_rate")
-    return _collected(t, hourly).select(_time("start"), "runs", rate)
+    return found.select(_time("start"), "runs", rate)
 
 
 @query(
@@ -135,31 +163,29 @@ def _(t: Tables):
 )
 def _(t: Tables):
     events = t.events.select("ts", "user_id", "value")
-    found = collect.sessions(
-        _stream(events, True),
-        ["user_id"],
-        "ts",
-        "30 minutes",
-        "1 hour",
-        [F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")],
+    measures = [F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")]
+    found = _collected(
+        t,
+        events,
+        lambda stream: collect.sessions(
+            stream, ["user_id"], "ts", "30 minutes", "1 hour", measures
+        ),
+        closing=True,
     )
-    return _collected(t, found).select("user_id", _time("start"), "events", r("total", 2).alias("total"))
+    return found.select("user_id", _time("start"), "events", r("total", 2).alias("total"))
 
 
 @query("stream_late_data")
 def _(t: Tables):
     events = t.events.select("event_id", "ts", "event_type")
     late = F.col("event_id") % 50 == 0
-    # Late rows keep their old time but are delivered with the last file.
-    folder = arrivals(events.filter(~late))
-    events.filter(late).coalesce(1).write.mode("append").parquet(folder)
-    stream = collect.read_stream(t.spark, folder, events.schema, files_per_batch=1)
-    counted = collect.tumbling(stream, "ts", "1 day", "1 hour", [F.count(F.lit(1)).alias("events")])
-    store = DatasetStore(t.spark, new_folder(t.spark, "streams"))
-    finished = collect.poll(counted, store, "out", new_folder(t.spark, "progress"))
-    return t.spark.createDataFrame(
-        collect.late_rows(finished), "batch long, input_rows long, dropped_rows long"
-    )
+    counts = [F.count(F.lit(1)).alias("events")]
+    polled = Polled(t, lambda stream: collect.tumbling(stream, "ts", "1 day", "1 hour", counts))
+    # Late rows keep their old time but are delivered last.
+    polls = [polled.deliver(part) for part in deliveries(events.filter(~late))]
+    polls.append(polled.deliver(events.filter(late)))
+    found = [row for poll in polls for row in collect.late_rows(poll)]
+    return t.spark.createDataFrame(found, "batch long, input_rows long, dropped_rows long")
 
 
 @query("stream_latest_status", f"SELECT run_id, status FROM ({RUN_LOG})")
@@ -175,9 +201,11 @@ def _(t: Tables):
         F.expr("timestampadd(DAY, step, started_at)").alias("ts"),
     )
     store = DatasetStore(t.spark, new_folder(t.spark, "streams"))
-    collect.collect_latest(
-        _stream(reports), store, "status", new_folder(t.spark, "progress"), ["run_id"], ["ts", "step"]
-    )
+    folder, progress = new_folder(t.spark, "arrivals"), new_folder(t.spark, "progress")
+    for part in deliveries(reports):
+        arrive(part, folder)
+        stream = collect.read_stream(t.spark, folder, reports.schema)
+        collect.collect_latest(stream, store, "status", progress, ["run_id"], ["ts", "step"])
     return collect.latest(store, "status", ["run_id"], ["ts", "step"]).select("run_id", "status")
 
 
@@ -186,9 +214,11 @@ def _(t: Tables):
     "SELECT event_id, c_name, c_mktsegment, value FROM events JOIN customer ON user_id = c_custkey",
 )
 def _(t: Tables):
-    stream = _stream(t.events.select("event_id", "ts", F.col("user_id").alias("c_custkey"), "value"))
+    events = t.events.select("event_id", "ts", F.col("user_id").alias("c_custkey"), "value")
     people = t.customer.select("c_custkey", "c_name", "c_mktsegment")
-    found = _collected(t, stream, collect.joined_with(people, ["c_custkey"]))
+    found = _collected(
+        t, events, lambda stream: stream, each=collect.joined_with(people, ["c_custkey"])
+    )
     return found.select("event_id", "c_name", "c_mktsegment", "value")
 
 
@@ -202,7 +232,12 @@ def _(t: Tables):
     ended = log.filter(F.col("completed_at").isNotNull()).select(
         "run_id", "status", F.col("completed_at").alias("ended")
     )
-    pairs = collect.stream_interval_join(
-        _stream(started), _stream(ended, time="ended"), "run_id", "ts", "ended", "50 MILLISECONDS", "1 day"
+    polled = Polled(
+        t,
+        lambda left, right: collect.stream_interval_join(
+            left, right, "run_id", "ts", "ended", "50 MILLISECONDS", "1 day"
+        ),
     )
-    return _collected(t, pairs).select("run_id", "status")
+    for left, right in zip(deliveries(started), deliveries(ended, "ended")):
+        polled.deliver(left, right)
+    return polled.rows().select("run_id", "status")
