@@ -141,23 +141,27 @@ def graph_issues(nodes: DataFrame, edges: DataFrame, skew: Skew = DEFAULT) -> Da
     return result
 
 
-def _depths(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Peel one small graph: a node's depth is the round in which its last parent left."""
-    waiting = pdf.groupby("target").size().to_dict()
-    children = pdf.groupby("source")["target"].apply(list).to_dict()
-    names = set(pdf["source"]) | set(pdf["target"])
-    level = sorted(n for n in names if n not in waiting)
-    depth, found = 0, []
-    while level:
-        found += [(key[0], n, depth) for n in level]
-        following = []
-        for node in level:
-            for child in children.get(node, ()):
-                waiting[child] -= 1
-                if waiting[child] == 0:
-                    following.append(child)
-        level, depth = following, depth + 1
-    return pd.DataFrame(found, columns=["graph_id", "node_id", "depth"])
+def _solver():
+    """A function of one small graph, self-contained so that it travels to any executor.
+
+    A node's depth is the round in which its last parent has been taken away.
+    """
+
+    def depths(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parents = pdf["target"].value_counts().to_dict()
+        children = pdf.groupby("source")["target"].agg(list).to_dict()
+        level, depth, found = [n for n in children if n not in parents], 0, []
+        while level:
+            found += [(key[0], node, depth) for node in level]
+            freed = []
+            for child in (c for node in level for c in children.get(node, ())):
+                parents[child] -= 1
+                if not parents[child]:
+                    freed.append(child)
+            level, depth = freed, depth + 1
+        return pd.DataFrame(found, columns=["graph_id", "node_id", "depth"])
+
+    return depths
 
 
 def _peel(edges: DataFrame, rounds_per_checkpoint: int = 4) -> DataFrame:
@@ -198,14 +202,14 @@ def graph_depth(edges: DataFrame, small: int = SMALL_GRAPH_EDGES) -> DataFrame:
     """
     steps = edges.select("graph_id", "source", "target").distinct()
     sizes = steps.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_edges"))
-    sized = skew_join(steps, sizes, ["graph_id"])
+    sized = skew_join(steps, sizes, ["graph_id"], heavy=heavy_keys(edges, ["graph_id"]))
     kind = {f.name: f.dataType.simpleString() for f in steps.schema}
     schema = f"graph_id {kind['graph_id']}, node_id {kind['source']}, depth int"
     depths = (
         sized.filter(F.col("_edges") <= small)
         .drop("_edges")
         .groupBy("graph_id")
-        .applyInPandas(_depths, schema)
+        .applyInPandas(_solver(), schema)
     )
     large = sizes.filter(F.col("_edges") > small)
     if not large.isEmpty():

@@ -247,12 +247,12 @@ def sequence(
     running_sum(col), fill_last(col), total_sum(col), total_count, first(col),
     last(col), nth(col, k). No keys means one sequence over the whole table.
 
-    ``derived`` says that ``df`` is costly to compute: with heavy keys it is then kept
-    in the shared folder, because several passes follow.
+    ``derived`` says that ``df`` is costly to compute: if it is large it is first kept in
+    the shared folder, because several passes follow.
     """
-    found = heavy_keys(df, keys, skew)
-    if found and derived:
+    if derived and df.count() >= skew.min_rows:
         df = cut_lineage(df)
+    found = heavy_keys(df, keys, skew)
     ordinary, heavy = split_heavy(df, keys, found)
     pieces = []
     if ordinary is not None:

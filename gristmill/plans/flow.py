@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import dates
 from gristmill.operators import rows
-from gristmill.operators.skew import skew_join
 
 
 def _datetime(df: DataFrame, config: dict, now: str | None) -> DataFrame:
@@ -59,7 +58,9 @@ def _step(node: dict, parents: list[DataFrame], flows: dict, now: str | None) ->
             df = df.unionByName(other, allowMissingColumns=True)
         return df
     if kind == "join":
-        return skew_join(df, parents[1], list(config["on"]), config.get("how", "inner"))
+        # A look for heavy keys would run all steps before this one again, so the split of
+        # skewed keys is left to adaptive execution here.
+        return df.join(parents[1], list(config["on"]), config.get("how", "inner"))
     if kind == "subworkflow":
         inner = flows.get(config["workflow_id"])
         if inner is None:
