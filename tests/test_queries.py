@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gristmill import suite
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-ORACLE = entry.oracle_sql()
+ORACLE = suite.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +36,8 @@ def canonical(columns, rows):
 
 
 def test_names():
-    assert set(ORACLE) <= set(entry.queries())
-    assert not [n for n in entry.queries() if n == "pipeline" or n.startswith("op")]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(suite.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
