@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import quality
+from gristmill.llm import mix, quality
 from gristmill.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def query(name: str, sql: str | None = None):
 @query("op8_quality_rules")
 def op8(t: Tables) -> DataFrame:
     return quality.quality_report(t.documents)
+
+
+@query("op2_mix_sources")
+def op2(t: Tables) -> DataFrame:
+    return mix.mix_report(t.documents)
