@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.llm import mix, quality
+from gristmill.llm import licenses, mix, quality, token_rollup
+from gristmill.llm import oracles
+from gristmill.llm.texts import stored
+from gristmill.scratch import new_folder
 from gristmill.suite.registry import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +35,47 @@ def op8(t: Tables) -> DataFrame:
 @query("op2_mix_sources")
 def op2(t: Tables) -> DataFrame:
     return mix.mix_report(t.documents)
+
+
+@query("op4_token_rollup", oracles.TOKEN_ROLLUP)
+def op4(t: Tables) -> DataFrame:
+    """Load all documents, take back those labelled as poor, revise those that lose
+    repeated lines; the load and the revision are sent twice."""
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.split(whole, "\n")
+    once = F.array_distinct(lines)
+    fewer = F.size(once) < F.size(lines)
+    counted = t.documents.select(
+        "doc_id",
+        "source",
+        "lang",
+        F.array(
+            *[
+                F.struct(
+                    F.lit(version).alias("version"),
+                    token_rollup.token_count(whole, version).alias("old_tokens"),
+                    F.when(fewer, token_rollup.token_count(F.array_join(once, "\n"), version)).alias("tokens"),
+                )
+                for version in token_rollup.VERSIONS
+            ]
+        ).alias("v"),
+    )
+    counts = stored(counted.select("doc_id", "source", "lang", F.explode("v").alias("v")), "tokens")
+    counts = counts.select("doc_id", "source", "lang", "v.*")
+    poor = t.labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 0").select("doc_id")
+    first = counts.select("doc_id", *token_rollup.GROUP, F.col("old_tokens").alias("tokens"))
+    gone = first.join(poor, "doc_id", "left_semi")
+    revised = counts.join(poor, "doc_id", "left_anti").where("tokens <> old_tokens")
+    rollup = token_rollup.TokenRollup(t.spark, new_folder(t.spark, "rollup"))
+    rollup.commit("load", token_rollup.changes(first, "insert"))
+    rollup.commit("poor", token_rollup.changes(gone, "delete"))
+    rollup.commit("lines", token_rollup.changes(revised, "revise"))
+    rollup.commit("load", token_rollup.changes(first, "insert"))
+    rollup.compact()
+    rollup.commit("lines", token_rollup.changes(revised, "revise"))
+    return rollup.totals()
+
+
+@query("op6_license_scan", oracles.LICENSE_SCAN)
+def op6(t: Tables) -> DataFrame:
+    return licenses.scan_licenses(t.documents)
