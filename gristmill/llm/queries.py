@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import licenses, mix, quality, token_rollup
-from gristmill.llm import oracles
+from gristmill.llm import licenses, mix, oracles, packing, quality, token_rollup
 from gristmill.llm.texts import stored
 from gristmill.scratch import new_folder
 from gristmill.suite.registry import Tables
@@ -79,3 +78,8 @@ def op4(t: Tables) -> DataFrame:
 @query("op6_license_scan", oracles.LICENSE_SCAN)
 def op6(t: Tables) -> DataFrame:
     return licenses.scan_licenses(t.documents)
+
+
+@query("op10_pack_tokens")
+def op10(t: Tables) -> DataFrame:
+    return packing.pack_documents(t.documents)
