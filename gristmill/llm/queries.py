@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import licenses, mix, oracles, packing, quality, token_rollup
+from gristmill.llm import licenses, mix, oracles, packing, quality, token_rollup, toxicity
 from gristmill.llm.texts import stored
 from gristmill.scratch import new_folder
 from gristmill.suite.registry import Tables
@@ -83,3 +83,8 @@ def op6(t: Tables) -> DataFrame:
 @query("op10_pack_tokens")
 def op10(t: Tables) -> DataFrame:
     return packing.pack_documents(t.documents)
+
+
+@query("op5_toxicity")
+def op5(t: Tables) -> DataFrame:
+    return toxicity.toxicity_report(t.documents, t.labels)
