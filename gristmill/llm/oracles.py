@@ -61,3 +61,61 @@ SELECT doc_id, CAST(line AS BIGINT) AS line, license, round(dice, 4) AS dice
 FROM scored WHERE dice >= 0.8
 QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
 """
+
+
+URL_RULES = """
+WITH split AS (
+    SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+    FROM pages
+), parts AS (
+    SELECT page_id, url, rest,
+           translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM split
+), rules(verdict, rule, rhost, rpath) AS (
+    VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+           ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'),
+           ('block', 'com/de/', 'com', '/de/')
+), tokened AS (
+    SELECT page_id, host, path,
+        CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(
+            ['s:' || lower(split_part(url, '://', 1))]
+            || list_transform(string_split(host, '.'), lambda x: 'h:' || x)
+            || CASE WHEN len(string_split(host, '.')) >= 2
+                    THEN ['d:' || array_to_string(string_split(host, '.')[-2:], '.')] ELSE [] END
+            || list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+                              lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN 'p:#' ELSE 'p:' || s END)
+            || list_transform(list_filter(list_transform(
+                   string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+                   lambda f: split_part(f, '=', 1)), lambda f: f <> ''), lambda f: 'q:' || f))) END AS tokens
+    FROM parts
+), judged AS (
+    SELECT t.*, r.rule, r.verdict AS told
+    FROM tokened t LEFT JOIN LATERAL (
+        SELECT rule, verdict FROM rules
+        WHERE (t.host = rhost OR ends_with(t.host, '.' || rhost)) AND starts_with(t.path, rpath)
+        ORDER BY length(rule) DESC LIMIT 1) r ON true
+), labelled AS (
+    SELECT row_number() OVER () AS id, tokens, told FROM judged WHERE told IS NOT NULL AND len(tokens) > 0
+), least AS (SELECT ceil(0.01 * count(*)) AS least_n FROM labelled
+), one AS (SELECT id, told, unnest(tokens) AS a FROM labelled
+), sets AS (
+    SELECT told, [a] AS needs FROM one
+    UNION ALL SELECT x.told, [x.a, y.a] FROM one x JOIN one y ON x.id = y.id AND x.a < y.a
+    UNION ALL SELECT x.told, [x.a, y.a, z.a] FROM one x JOIN one y ON x.id = y.id AND x.a < y.a
+              JOIN one z ON x.id = z.id AND y.a < z.a
+), counted AS (SELECT needs, told, count(*) AS support FROM sets GROUP BY ALL
+), totals AS (SELECT needs, sum(support) AS n FROM counted GROUP BY needs
+), mined AS (
+    SELECT needs, told, support, support / n::DOUBLE AS confidence
+    FROM counted JOIN totals USING (needs), least
+    WHERE support >= least_n AND support / totals.n::DOUBLE >= 0.8
+), matched AS (
+    SELECT j.tokens, m.told FROM (SELECT DISTINCT tokens FROM judged WHERE told IS NULL) j
+    JOIN mined m ON list_has_all(j.tokens, m.needs)
+    QUALIFY row_number() OVER (PARTITION BY j.tokens
+        ORDER BY confidence DESC, support DESC, len(needs), array_to_string(needs, chr(1)), m.told) = 1
+)
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.told, m.told, 'allow') AS verdict
+FROM judged j LEFT JOIN matched m ON j.tokens = m.tokens
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import licenses, mix, oracles, packing, quality, token_rollup, toxicity
+from gristmill.llm import licenses, mix, oracles, packing, quality, token_rollup, toxicity, url_rules
 from gristmill.llm.texts import stored
 from gristmill.scratch import new_folder
 from gristmill.suite.registry import Tables
@@ -88,3 +88,8 @@ def op10(t: Tables) -> DataFrame:
 @query("op5_toxicity")
 def op5(t: Tables) -> DataFrame:
     return toxicity.toxicity_report(t.documents, t.labels)
+
+
+@query("op9_url_rules", oracles.URL_RULES)
+def op9(t: Tables) -> DataFrame:
+    return url_rules.judge_urls(t.pages)
