@@ -119,3 +119,33 @@ WITH split AS (
 SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.told, m.told, 'allow') AS verdict
 FROM judged j LEFT JOIN matched m ON j.tokens = m.tokens
 """
+
+
+# Windows of thirteen words with at most two substitutions share a run of four.
+DECONTAMINATE = """
+WITH d AS (
+    SELECT DISTINCT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\p{L}\\p{N}]+') AS w FROM documents
+), b AS (
+    SELECT DISTINCT item_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\p{L}\\p{N}]+') AS w FROM benchmark
+), dg AS (
+    SELECT id, w, i, list_slice(w, i, i + 3) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS i FROM d)
+), bg AS (
+    SELECT id, w, i, list_slice(w, i, i + 3) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 2)) AS i FROM b WHERE len(w) >= 13)
+), pairs AS (
+    SELECT DISTINCT dg.id AS doc_id, bg.id AS item_id, dg.i - bg.i AS off, dg.w AS dw, bg.w AS bw
+    FROM dg JOIN bg ON dg.g = bg.g
+), compared AS (
+    SELECT doc_id, item_id, off, len(dw) AS n,
+           list_transform(range(1, len(bw) + 1), lambda i:
+               CASE WHEN off + i BETWEEN 1 AND len(dw) AND dw[off + i] = bw[i] THEN 1 ELSE 0 END) AS eq
+    FROM pairs
+), found AS (
+    SELECT *, list_filter(range(0, len(eq) - 12), lambda i: list_sum(list_slice(eq, i + 1, i + 13)) >= 11) AS wins
+    FROM compared
+)
+SELECT DISTINCT doc_id, item_id, greatest(off + wins[1], 0) AS start_word, least(off + wins[-1] + 13, n) AS end_word,
+       CAST(list_sum(list_slice(eq, wins[1] + 1, wins[-1] + 13)) AS BIGINT) AS matched
+FROM found WHERE len(wins) > 0
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import licenses, lm_score, mix, oracles, packing, quality, token_rollup, toxicity, url_rules
+from gristmill.llm import decontaminate, licenses, lm_score, mix, oracles, packing, quality, token_rollup, toxicity, url_rules
 from gristmill.llm.texts import stored
 from gristmill.scratch import new_folder
 from gristmill.suite.registry import Tables
@@ -98,3 +98,8 @@ def op9(t: Tables) -> DataFrame:
 @query("op1_lm_score")
 def op1(t: Tables) -> DataFrame:
     return lm_score.cross_entropy_difference(t.documents, t.labels.where("quality = 1"))
+
+
+@query("op7_decontaminate", oracles.DECONTAMINATE)
+def op7(t: Tables) -> DataFrame:
+    return decontaminate.contaminated(t.documents, t.benchmark)
