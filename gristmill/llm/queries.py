@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, licenses, lm_score, mix, oracles, packing, quality, token_rollup, toxicity, url_rules
+import corpus_pipeline
+from gristmill.llm import decontaminate, licenses, lm_score, mix, ngram_join, oracles, packing, quality, token_rollup, toxicity, url_rules
 from gristmill.llm.texts import stored
 from gristmill.scratch import new_folder
 from gristmill.suite.registry import Tables
@@ -103,3 +104,13 @@ def op1(t: Tables) -> DataFrame:
 @query("op7_decontaminate", oracles.DECONTAMINATE)
 def op7(t: Tables) -> DataFrame:
     return decontaminate.contaminated(t.documents, t.benchmark)
+
+
+@query("op3_ngram_join")
+def op3(t: Tables) -> DataFrame:
+    return ngram_join.similar_documents(t.documents)
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(t: Tables) -> DataFrame:
+    return corpus_pipeline.run(t.spark, t.folder)
