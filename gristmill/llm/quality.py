@@ -311,4 +311,7 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     again = document_counts(
         whole, "row.text", [F.col("row"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source")]
     )
-    return verdicts(again, estimates(counts), cutoff).where("kept").select("row.*")
+    judged = verdicts(again, estimates(counts), cutoff)
+    # A generator, not a filter: the optimizer would copy the verdict's expressions, once
+    # for each use of a column, into a filter below the joins.
+    return judged.select(F.inline(F.slice(F.array("row"), 1, F.col("kept").cast("int"))))
