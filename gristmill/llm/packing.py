@@ -52,32 +52,14 @@ def _encoding(ranks: tuple):
 
 
 class Encoder:
-    """Text to ids. No token joins a space with what stands before it, so the parts of a
-    text between single spaces are encoded on their own and remembered."""
-
-    REMEMBERED = 300_000
+    """Text to ids of the smallest type that holds them and the padding."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self._encode = _encoding(tuple(ranks.items())).encode_ordinary
         self._dtype = dtype_for(max(ranks.values(), default=0) + 2)
-        self._known: dict[str, bytes] = {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._encode(text), dtype=self._dtype).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, self._dtype)
-        if "  " in text:
-            return np.frombuffer(self._bytes(text), self._dtype)
-        first, *rest = text.split(" ")
-        known = self._known
-        if len(known) > self.REMEMBERED:
-            known.clear()
-        for part in set(rest).difference(known):
-            known[part] = self._bytes(" " + part)
-        head = self._bytes(first) if first else b""
-        return np.frombuffer(head + b"".join(map(known.__getitem__, rest)), self._dtype)
+        return np.array(self._encode(text) if text else [], dtype=self._dtype)
 
 
 class FreePlaces:
