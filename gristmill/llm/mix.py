@@ -275,7 +275,7 @@ def mix(
     places = runs.select(
         "shard", "rank", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("place")
     )
-    sharded = draws.join(places, ["rank", "place"]).withColumn(
+    sharded = draws.join(places.hint("merge"), ["rank", "place"]).withColumn(
         "turn", F.xxhash64(F.lit(seed), "shard", "rank", "place")
     )
     return rows, sharded.drop("place")
