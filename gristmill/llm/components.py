@@ -29,9 +29,12 @@ def _linked_to_least(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node is linked to one other, and none of these has a smaller one."""
+    centres = edges.select(F.col("b").alias("a"))
+    once = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    # One job: nodes with several links, or that are a centre themselves.
+    return once.join(centres.distinct().withColumn("centre", F.lit(1)), "a", "left").where("n > 1 or centre = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,9 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    before, now = None, _mark(edges)
-    while now != before and now[0]:
-        edges = stored(_linked_to_least(stored(_linked_to_least(edges, True), "edges"), False), "edges")
-        before, now = now, _mark(edges)
+    while not _stars(edges):
+        edges = stored(_linked_to_least(_linked_to_least(edges, True), False), "edges")
     centres = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(centres)

@@ -14,9 +14,10 @@ size; sets near the top of a class are also listed in the next one.
 sets still share their least frequent common one. That removes fragments which hold only
 a passage that many documents quote. Sets under one key are first compared to one leader
 each; sets found to be linked are one component, and only keys that still touch several
-components are looked at again, with new leaders, until a round finds no link. Then every
-pair of a key in different components is compared. So a group of thousands of near copies
-costs a few comparisons per member, and no link between components is missed.
+components are looked at again, with new leaders, until few pairs are left or a round
+finds no link. Then every pair of a key in different components is compared. So a group of
+thousands of near copies costs a few comparisons per member, and no link between
+components is missed.
 
 *Counting.* For a candidate pair the overlap is counted in each fragment on its own, by a
 join of the two parts, and summed per pair.
@@ -43,6 +44,8 @@ from gristmill.llm.texts import ascii_lower, stored, words
 PERCENT = 90
 PARTS = 8  # fragments in which overlaps are counted
 STAR_ROUNDS = 8
+# Star rounds end where the pairs left are at most so many per listing.
+ALL_PAIRS = 8
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -203,18 +206,24 @@ def _linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _link_all(listed: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """node, component over all links among the listed sets."""
-    spark = listed.sparkSession
-    joined = spark.createDataFrame([], "node bigint, component bigint")
-    examined = spark.createDataFrame([], "a bigint, b bigint")
+    joined, found = listed.sparkSession.createDataFrame([], "node bigint, component bigint"), True
     for turn in range(STAR_ROUNDS + 1):
         placed = listed.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         leader = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "component"))
-        keys = placed.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), leader.alias("leader")
-        ).where("lo <> hi")
-        last = turn == STAR_ROUNDS or (turn > 0 and not found)
+        parted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), leader.alias("leader"))
+        keys = parted.groupBy("key").agg(
+            F.count(F.lit(1)).alias("components"),
+            F.sum("m").alias("members"),
+            F.sum(F.col("m") * F.col("m")).alias("squares"),
+            F.min("leader").alias("leader"),
+        )
+        keys = stored(keys.where("components > 1"), "keys")
+        work = keys.agg(F.sum((F.col("members") * F.col("members") - F.col("squares")) / 2), F.sum("members")).first()
+        if not work[0]:
+            return joined
+        last = not found or turn == STAR_ROUNDS or work[0] <= ALL_PAIRS * work[1]
         if last:
-            # Stars find nothing more: all remaining pairs of a key, across components.
+            # Few pairs of different components remain, or stars find no more links.
             open_keys = stored(placed.join(keys.select("key"), "key", "left_semi"), "open")
             one = open_keys.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
             other = open_keys.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
@@ -222,15 +231,13 @@ def _link_all(listed: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFram
         else:
             led = placed.join(keys.select("key", "leader"), "key").where("component <> leader.component")
             pairs = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-        fresh = stored(_near(pairs.distinct().join(examined, ["a", "b"], "left_anti"), nodes), "pairs")
-        links = stored(_linked(fresh, parts), "links")
+        links = stored(_linked(_near(pairs.distinct(), nodes), parts), "links")
         found = not links.isEmpty()
         if found:
             known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
             joined = stored(components(known.unionAll(links)), "components")
         if last:
-            return joined
-        examined = stored(examined.unionAll(fresh.select("a", "b")), "examined")
+            break
     return joined
 
 

@@ -45,8 +45,10 @@ def test_against_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(wanted.values()))
 
 
-def test_remaining_pairs_are_compared_without_star_rounds(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+@pytest.mark.parametrize("rounds, all_pairs", [(0, 8), (8, 0)])
+def test_all_pairs_and_star_rounds_agree(spark, monkeypatch, rounds, all_pairs):
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "ALL_PAIRS", all_pairs)
     texts = dict(enumerate(sample()[60:125]))
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCUMENTS)
     found = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs).collect()}
