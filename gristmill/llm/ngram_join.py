@@ -12,11 +12,14 @@ size; sets near the top of a class are also listed in the next one.
 
 *Candidates.* Of its listings a set may leave out the ``slack`` most frequent: two similar
 sets still share their least frequent common one. That removes fragments which hold only
-a passage that many documents quote. Sets under one key are first compared to one leader
-each; sets found to be linked are one component, and only keys that still touch several
-components are looked at again, with new leaders, until few pairs are left or a round
-finds no link. Then every pair of a key in different components is compared. So a group of
-thousands of near copies costs a few comparisons per member, and no link between
+a passage that many documents quote. The sets that still share a listing are suspects;
+among them the n-grams themselves are ordered by frequency, and a set is listed under its
+rarest, as many as two linked sets need to meet (a prefix filter with places). All sets
+under one n-gram are first compared to one leader; sets found to be linked are one
+component, and only n-grams that still touch several components are looked at again, with
+new leaders, until few pairs are left or a round finds no link. Then every pair of an
+n-gram in different components is compared whose sizes and places allow a link. So a
+group of thousands of near copies costs a few comparisons per member, and no link between
 components is missed.
 
 *Counting.* For a candidate pair the overlap is counted in each fragment on its own, by a
@@ -162,9 +165,9 @@ def _hashes() -> Column:
     return F.transform(found, lambda w: F.xxhash64(w)).alias("hashes")
 
 
-def _rare_listings(prints: DataFrame) -> DataFrame:
-    """key, node: what remains of the sets' listings without the most frequent ones, for
-    keys of several sets. The result is a small part of the listings."""
+def _suspects(prints: DataFrame) -> DataFrame:
+    """Nodes that may link: those with a listing that another set shares, beyond the most
+    frequent ones that a set may leave out."""
     listings = prints.select("node", F.explode(F.arrays_zip("classes", "keys")).alias("l")).select(
         "node", F.col("l.classes").alias("class"), F.explode("l.keys").alias("key")
     )
@@ -176,16 +179,60 @@ def _rare_listings(prints: DataFrame) -> DataFrame:
     # A set has a bounded number of listings, by its size.
     by_set = listings.join(shared, "key").groupBy("node", "class").agg(F.collect_set(F.struct("k", "key")).alias("l"))
     kept = F.slice(F.sort_array("l", asc=False), slack + 1, F.greatest(F.size("l") - slack, F.lit(0)))
-    return by_set.select("node", F.explode(kept).alias("l")).select("l.key", "node")
+    listed = stored(by_set.select("node", F.explode(kept).alias("l")).select("l.key", "node"), "listings")
+    several = listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    return listed.join(several.select("key"), "key", "left_semi").select("node").distinct()
+
+
+def _least_overlap(sizes: Column) -> Column:
+    """What two linked sets share at least, given the sum of their sizes."""
+    return F.ceil(F.lit(PERCENT) * sizes / F.lit(float(100 + PERCENT)))
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs a < b whose sizes allow a link, with both sizes."""
-    sizes = nodes.select("node", "n")
-    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b"
+def _listings(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, node, n, at, indexed: the rarest n-grams of the suspects.
+
+    N-grams are ordered by how many suspects hold them; ``at`` is the place in a set's
+    own order, which n-grams that no other suspect holds come first in. The first n-gram
+    that two linked sets share is among the first of either; the smaller set need only
+    list (as ``indexed``) those from which a set no smaller can still be reached.
+    """
+    grams = parts.select("node", F.explode("grams").alias("key"))
+    shared = grams.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("lo"), F.max("node").alias("hi"))
+    by_set = grams.join(shared.where("lo <> hi").select("key", "k"), "key").groupBy("node").agg(
+        F.collect_set(F.struct("k", "key")).alias("l")
+    )
+    sized = by_set.join(nodes.select("node", "n"), "node").select("node", "n", F.sort_array("l").alias("l"))
+    first = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100) + 1 - (F.col("n") - F.size("l"))
+    short = F.slice("l", 1, F.greatest(first, F.lit(0)).cast("int"))
+    placed = sized.select("node", "n", F.size("l").alias("held"), F.posexplode(short).alias("i", "l")).select(
+        F.col("l.key").alias("key"), "node", "n", (F.col("n") - F.col("held") + F.col("i") + 1).alias("at")
     )
-    return sized.where(F.lit(100) * F.least("na", "nb") >= F.lit(PERCENT) * F.greatest("na", "nb"))
+    marked = placed.withColumn("indexed", F.col("at") <= F.col("n") - _least_overlap(2 * F.col("n")) + 1)
+    listed = stored(marked, "listings")
+    # Listings that can meet no indexed one say nothing: theirs are all too large.
+    smallest = listed.where("indexed").groupBy("key").agg(F.min("n").alias("least"))
+    able = (F.lit(100 + PERCENT) * (F.col("n") - F.col("at") + 1)) / float(PERCENT) - F.col("n")
+    useful = listed.join(smallest, "key").where(F.col("indexed") | (F.col("least") <= able))
+    return stored(useful.drop("least"), "listings")
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether a listing of set ``a`` and one of set ``b`` may be the first n-gram of a link."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at")) + 1
+    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (most >= _least_overlap(na + nb))
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    """Both sets and their sizes, the smaller node first."""
+    first = F.col(f"{a}.node") < F.col(f"{b}.node")
+    return [
+        F.least(f"{a}.node", f"{b}.node").alias("a"),
+        F.greatest(f"{a}.node", f"{b}.node").alias("b"),
+        F.when(first, F.col(f"{a}.n")).otherwise(F.col(f"{b}.n")).alias("na"),
+        F.when(first, F.col(f"{b}.n")).otherwise(F.col(f"{a}.n")).alias("nb"),
+    ]
 
 
 def _linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -204,34 +251,36 @@ def _linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return total.where(F.lit(100) * F.col("c") >= F.lit(PERCENT) * union).select("a", "b")
 
 
-def _link_all(listed: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+def _link_all(listed: DataFrame, parts: DataFrame) -> DataFrame:
     """node, component over all links among the listed sets."""
     joined, found = listed.sparkSession.createDataFrame([], "node bigint, component bigint"), True
     for turn in range(STAR_ROUNDS + 1):
-        placed = listed.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        leader = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "component"))
-        parted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), leader.alias("leader"))
+        placed = listed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        leader = F.min(F.when(F.col("indexed"), F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "n", "at", "component")))
+        parted = placed.groupBy("key", "component").agg(
+            F.count(F.lit(1)).alias("m"), F.count_if("indexed").alias("i"), leader.alias("leader")
+        )
         keys = parted.groupBy("key").agg(
             F.count(F.lit(1)).alias("components"),
             F.sum("m").alias("members"),
-            F.sum(F.col("m") * F.col("m")).alias("squares"),
+            (F.sum("m") * F.sum("i") - F.sum(F.col("m") * F.col("i"))).alias("pairs"),
             F.min("leader").alias("leader"),
         )
-        keys = stored(keys.where("components > 1"), "keys")
-        work = keys.agg(F.sum((F.col("members") * F.col("members") - F.col("squares")) / 2), F.sum("members")).first()
+        keys = stored(keys.where("components > 1 and leader is not null"), "keys")
+        work = keys.agg(F.sum("pairs"), F.sum("members")).first()
         if not work[0]:
             return joined
         last = not found or turn == STAR_ROUNDS or work[0] <= ALL_PAIRS * work[1]
         if last:
             # Few pairs of different components remain, or stars find no more links.
             open_keys = stored(placed.join(keys.select("key"), "key", "left_semi"), "open")
-            one = open_keys.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-            other = open_keys.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = one.join(other, "key").where("a < b and ca <> cb").select("a", "b")
+            small, large = open_keys.where("indexed").alias("x"), open_keys.alias("y")
+            met = small.join(large, (F.col("x.key") == F.col("y.key")) & (F.col("x.n") <= F.col("y.n")) & _possible("x", "y"))
+            pairs = met.select(*_ordered("x", "y"))
         else:
-            led = placed.join(keys.select("key", "leader"), "key").where("component <> leader.component")
-            pairs = led.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
-        links = stored(_linked(_near(pairs.distinct(), nodes), parts), "links")
+            led = placed.alias("x").join(keys.select("key", F.col("leader").alias("y")), "key").where(_possible("x", "y"))
+            pairs = led.select(*_ordered("x", "y"))
+        links = stored(_linked(pairs.distinct(), parts), "links")
         found = not links.isEmpty()
         if found:
             known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -248,13 +297,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     prints = stored(rows.mapInArrow(_list_keys, schema), "prints")
     filled = prints.where("n > 0")
     nodes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")), "nodes")
-    listed = stored(_rare_listings(filled), "listings")
-    # Listings that one set is left alone with say nothing.
-    several = listed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-    listed = stored(listed.join(several.select("key"), "key", "left_semi"), "listings")
-    suspects = listed.select("node").distinct().join(nodes, "node").select("node", F.col("doc").alias("doc_id"))
+    suspects = _suspects(filled).join(nodes, "node").select("node", F.col("doc").alias("doc_id"))
     parts = stored(_parts(docs, stored(suspects, "suspects")), "parts")
-    joined = _link_all(listed, nodes, parts)
+    joined = _link_all(_listings(parts, nodes), parts)
     placed = nodes.join(joined, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = stored(placed.join(least, "component").select("node", "component_id"), "labels")
