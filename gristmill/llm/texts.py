@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,16 @@ def nullable(name: str) -> Column:
     """A grouping value that keeps null apart from every text."""
     value = F.col(name).cast("string")
     return F.coalesce(F.concat(F.lit("="), value), F.lit(""))
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in portions of at most ``most`` list elements of a
+    column, or of one row."""
+    for batch in batches:
+        ends = batch.column(column).offsets.to_numpy()
+        first = 0
+        while first < batch.num_rows:
+            last = int(ends.searchsorted(ends[first] + most, side="right")) - 1
+            last = min(max(last, first + 1), batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
