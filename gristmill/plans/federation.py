@@ -28,7 +28,7 @@ def federate(catalog: Catalog, sql: str, sources: dict[str, str]) -> DataFrame:
             raise ValueError("federated sources cannot reference each other")
         frame = catalog.load(source, session)
         frame.select(*[f"`{c}`" for c in frame.columns if not c.startswith("_")]).createOrReplaceTempView(alias)
-    return session.sql(readonly_sql(session, sql))
+    return session.sql(readonly_sql(session, sql, set(sources)))
 
 
 def federate_views(spark: SparkSession, sql: str, paths: dict[str, str]) -> DataFrame:
@@ -36,4 +36,4 @@ def federate_views(spark: SparkSession, sql: str, paths: dict[str, str]) -> Data
     session = isolated(spark)
     for alias, path in paths.items():
         session.read.parquet(path).createOrReplaceTempView(checked_identifier(alias, "alias"))
-    return session.sql(readonly_sql(session, sql))
+    return session.sql(readonly_sql(session, sql, set(paths)))
