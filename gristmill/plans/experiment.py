@@ -6,6 +6,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gristmill.models import training
 from gristmill.models.frame import resolve_target
@@ -23,17 +24,14 @@ class Experiment:
     model: training.Model
     chosen: str
     features: list[str]
-    results: dict[str, dict]
+    results: DataFrame
     datasets: dict[str, str] = field(default_factory=dict)
 
-    def table(self, like: DataFrame) -> DataFrame:
+    def table(self) -> DataFrame:
         """One row per candidate with its scores and whether it was chosen."""
-        rows = [
-            (name, cv["mean"], cv["std"], cv["overfit_warning"], name == self.chosen)
-            for name, cv in self.results.items()
-        ]
-        columns = "model_type string, cv_mean double, cv_std double, overfit_warning boolean, chosen boolean"
-        return like.sparkSession.createDataFrame(rows, columns)
+        return self.results.selectExpr(
+            "candidate AS model_type", "mean AS cv_mean", "std AS cv_std", "overfit_warning"
+        ).withColumn("chosen", F.col("model_type") == self.chosen)
 
 
 def run_experiment(
@@ -64,10 +62,10 @@ def run_experiment(
     if found == target:
         check_target(cleaned, table, target)
 
-    features, first = training.select_features(table, found, candidates[0], key=key)
-    results = {candidates[0]: first}
+    features, by_fold = training.select_features(table, found, candidates[0], key=key)
     for other in candidates[1:]:
-        results[other] = training.cross_validate(table, found, other, features, key=key)
+        by_fold = by_fold.unionAll(training.fold_scores(table, found, other, features, key=key))
+    results = training.summary(by_fold)
     chosen = training.select_model(results)
     model = training.train(table, f"exp_{name}_model", found, chosen, features, key)
     training.predict_into(model, table, store, names["predictions"])

@@ -262,4 +262,4 @@ def _(t: Tables):
         ["linear_regression", "random_forest_regression"],
         ["p_partkey"],
     )
-    return result.table(t.part)
+    return result.table()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.models import metrics, training
-from gristmill.models.frame import holdout_split, model_frame, resolve_target
+from gristmill.models.frame import holdout_split, model_frame, resolve_target, with_fold
 from gristmill.plans.experiment import run_experiment
 from gristmill.scratch import new_folder
 
@@ -88,17 +88,30 @@ def test_split_is_stable_and_complete(spark):
     assert sorted(r[0] for r in train.collect()) == sorted(r[0] for r in again.collect())
 
 
+def test_classes_are_dealt_evenly_over_folds(spark):
+    rare = spark.range(1000).selectExpr("id", "CASE WHEN id % 100 = 0 THEN 1.0D ELSE 0.0D END AS y")
+    dealt = with_fold(rare, 5, ["id"], "y").groupBy("_fold", "y").count().collect()
+    assert sorted((r["y"], r["count"]) for r in dealt) == [(0.0, 198)] * 5 + [(1.0, 2)] * 5
+
+
 def test_targets():
+    assert resolve_target(["CHURNED", "churned"], "churned") == "churned"
+    assert resolve_target(["churned_flag", "churned_enc"], "churned") == "churned_enc"
     assert resolve_target(["a", "Churned"], "churned") == "Churned"
     assert resolve_target(["churned_encoded"], "churned") == "churned_encoded"
     assert resolve_target(["churned_flag"], "churned") == "churned_flag"
     assert resolve_target(["x"], "churned") is None
 
 
-def test_selection_rules():
-    cv = lambda m, s: {"mean": m, "std": s}
-    assert training.select_model({"random_forest_regression": cv(0.9, 0.1), "linear_regression": cv(0.85, 0.0)}) == "linear_regression"
-    assert training.select_model({"random_forest_regression": cv(0.9, 0.01), "linear_regression": cv(0.85, 0.0)}) == "random_forest_regression"
+def test_selection_rules(spark):
+    def chosen(*rows):
+        return training.select_model(spark.createDataFrame(rows, "candidate string, mean double, std double"))
+
+    forest, line = "random_forest_regression", "linear_regression"
+    assert chosen((forest, 0.9, 0.1), (line, 0.85, 0.0)) == line
+    assert chosen((forest, 0.9, 0.01), (line, 0.85, 0.0)) == forest
+    assert chosen((line, 0.9, 0.1), ("logistic_regression", 0.95, 0.1)) == "logistic_regression"
+    assert len(training.valid_candidates([*training.MODEL_TYPES, "x", forest])) == len(training.MODEL_TYPES)
     with pytest.raises(ValueError):
         training.valid_candidates(["x"])
 
@@ -128,5 +141,5 @@ def test_experiment_prefers_the_simple_model(catalog, store, points):
         ["random_forest_regression", "linear_regression", "nonsense"],
         name="t",
     )
-    assert result.chosen == "linear_regression" and len(result.results) == 2
+    assert result.chosen == "linear_regression" and result.results.count() == 2
     assert store.read("exp_t_predictions").count() == 60
