@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,18 @@ def _is_number(value: object) -> bool:
     return True
 
 
+def _number(kind: T.DataType, text: str) -> int | float | Decimal:
+    """The comparand without loss: whole or decimal columns are not compared as doubles."""
+    number = float(text)
+    if isinstance(kind, (T.FloatType, T.DoubleType)) or number in (float("inf"), float("-inf")) or number != number:
+        return number
+    exact = Decimal(text.replace("_", ""))
+    if isinstance(kind, T.IntegralType) and exact == exact.to_integral_value() and abs(exact) < 1 << 63:
+        return int(exact)
+    digits, places = len(exact.as_tuple().digits), -int(exact.as_tuple().exponent)
+    return exact if max(digits, places) <= 38 and places >= 0 else number
+
+
 def _compare(column: Column, kind: T.DataType, value: object, test) -> Column:
     """Compare as numbers when both sides are numbers, as text otherwise.
 
@@ -42,9 +56,7 @@ def _compare(column: Column, kind: T.DataType, value: object, test) -> Column:
     comparison reaches the file scan as a pushed filter.
     """
     if isinstance(kind, T.NumericType) and _is_number(value):
-        number = float(str(value))
-        exact = int(number) if isinstance(kind, T.IntegralType) and number.is_integer() else number
-        return test(column, F.lit(exact))
+        return test(column, F.lit(_number(kind, str(value).strip())))
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return test(column, F.lit(str(value)).cast(kind))
     text = column.cast("string")

@@ -35,8 +35,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def infer_load_types(df: DataFrame, columns: list[str]) -> DataFrame:
     """The narrowest load type that holds every value of each text column.
 
-    Any other text makes VARCHAR, else a fraction makes DOUBLE, else BIGINT, else
-    BOOLEAN; a column without values is VARCHAR.
+    Any other text makes VARCHAR, else a fraction makes DOUBLE, else BIGINT (or
+    DECIMAL(38,0) where that is too narrow), else BOOLEAN; a column without values is
+    VARCHAR.
     """
     found = df.select(
         *[F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)).alias(c) for c in columns]
@@ -45,7 +46,10 @@ def infer_load_types(df: DataFrame, columns: list[str]) -> DataFrame:
     for name in columns:
         text = F.trim(F.col(name).cast("string"))
         checks += [
-            F.bool_and(F.when(text.isNotNull(), text.rlike(INTEGER_TEXT))).alias(f"{name}:whole"),
+            F.bool_and(F.when(text.isNotNull(), text.rlike(INTEGER_TEXT) & text.try_cast("long").isNotNull())).alias(f"{name}:whole"),
+            F.bool_and(
+                F.when(text.isNotNull(), text.rlike(INTEGER_TEXT) & text.try_cast("decimal(38,0)").isNotNull())
+            ).alias(f"{name}:wide"),
             F.bool_and(F.when(text.isNotNull(), number_of(text).isNotNull())).alias(f"{name}:number"),
             F.bool_and(F.when(text.isNotNull(), F.lower(text).isin("true", "false"))).alias(f"{name}:flag"),
         ]
@@ -55,6 +59,7 @@ def infer_load_types(df: DataFrame, columns: list[str]) -> DataFrame:
             F.struct(
                 F.lit(name).alias("name"),
                 F.when(F.col(f"`{name}:whole`"), "BIGINT")
+                .when(F.col(f"`{name}:wide`"), "DECIMAL(38,0)")
                 .when(F.col(f"`{name}:number`"), "DOUBLE")
                 .when(F.col(f"`{name}:flag`"), "BOOLEAN")
                 .otherwise("VARCHAR")

@@ -10,18 +10,24 @@ from pyspark.sql import types as T
 
 from gristmill.functions.values import number_kind, number_of
 
+WIDE = "decimal(38,0)"
 _EXTENSION = re.compile(r"\.(csv|json|jsonl|parquet|orc|xml)(\.(gz|bz2|zst))?$", re.I)
 
 
-def read_csv(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, typed: bool = True, quoted_breaks: bool = True
+) -> DataFrame:
     """Header CSV: cells trimmed, blanks null, whole columns typed as numbers.
 
-    A column is BIGINT or DOUBLE when every value is a number, else text. The check
-    reads the whole column, not a sample.
+    A column is BIGINT, DECIMAL(38,0) or DOUBLE when every value is such a number, else
+    text. The check reads the whole column, not a sample. Quoted cells may hold line
+    breaks and doubled quotes; a file is then one task, so say ``quoted_breaks=False``
+    for large files whose cells have no line breaks.
     """
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", False)
+        .option("multiLine", quoted_breaks)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("nullValue", "")
@@ -35,12 +41,17 @@ def read_csv(spark: SparkSession, path: str, typed: bool = True) -> DataFrame:
 
 
 def type_columns(raw: DataFrame) -> DataFrame:
-    """Give all-number text columns their numeric type."""
+    """Give all-number text columns the narrowest type that loses nothing.
+
+    Integers too long for DECIMAL(38,0) stay text.
+    """
     names = [f.name for f in raw.schema if isinstance(f.dataType, T.StringType)]
     tests = []
     for name in names:
         kind = number_kind(F.col(f"`{name}`"))
         tests += [
+            F.bool_and(F.when(kind != "blank", F.trim(F.col(f"`{name}`")).try_cast("long").isNotNull() & (kind == "int"))),
+            F.bool_and(F.when(kind != "blank", F.trim(F.col(f"`{name}`")).try_cast(WIDE).isNotNull() & (kind == "int"))),
             F.bool_and(F.when(kind != "blank", kind == "int")),
             F.bool_and(F.when(kind != "blank", kind != "text")),
         ]
@@ -49,11 +60,11 @@ def type_columns(raw: DataFrame) -> DataFrame:
     verdicts = raw.agg(*tests).first()
     typed = {}
     for index, name in enumerate(names):
-        whole, number = verdicts[2 * index], verdicts[2 * index + 1]
+        fits, wide, whole, number = verdicts[4 * index : 4 * index + 4]
         column = F.col(f"`{name}`")
-        if whole:
-            typed[name] = F.trim(column).try_cast("long")
-        elif number:
+        if fits or wide:
+            typed[name] = F.trim(column).try_cast("long" if fits else WIDE)
+        elif number and not whole:
             typed[name] = number_of(column)
     return raw.withColumns(typed) if typed else raw
 

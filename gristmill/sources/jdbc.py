@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from gristmill.operators.aggregate import METRICS, MAX_GROUPS
+from gristmill.operators.aggregate import METRICS
 
+# Fixed value: what an identifier may look like.
 IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]{0,62}$")
 
 
@@ -66,12 +68,13 @@ def read_aggregate(
     field: str | None = None,
     group_by: str | None = None,
     options: dict | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """The catalog aggregate computed by the database; only the groups travel."""
     if metric not in METRICS:
-        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
     if metric != "count" and not field:
-        raise ValueError(f"metric '{metric}' requires a field")
+        raise ValueError(f"{metric} of which field?")
     value = "COUNT(*)" if metric == "count" else f"{metric.upper()}({checked_identifier(field, 'column')})"
     if " " not in relation.strip():
         source = checked_identifier(relation, "table")
@@ -93,32 +96,23 @@ def read_aggregate(
         f"FROM {source} GROUP BY {key}"
     )
     found = _reader(spark, url, options).option("query", sql).load()
-    return (
-        found.selectExpr(
-            "coalesce(cast(agg_key AS string), '—') AS `group`",
-            "coalesce(cast(agg_value AS double), 0D) AS value",
-            "cast(agg_rows AS bigint) AS rows",
-        )
-        .orderBy("value", "group", ascending=[False, True])
-        .limit(MAX_GROUPS)
-    )
+    ranked = found.selectExpr(
+        "coalesce(cast(agg_key AS string), '—') AS `group`",
+        "coalesce(cast(agg_value AS double), 0D) AS value",
+        "cast(agg_rows AS bigint) AS rows",
+    ).orderBy("value", "group", ascending=[False, True])
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def write_rows(
     df: DataFrame, url: str, table: str, batch_size: int = 10_000, options: dict | None = None
 ) -> int:
-    """Bulk insert; returns how many rows the table gained."""
+    """Bulk insert; returns how many rows were written, counted while they pass."""
     checked_identifier(table, "table")
-    spark = df.sparkSession
-    count = f"SELECT COUNT(*) AS n FROM {table}"
-
-    def size() -> int:
-        return _reader(spark, url, options).option("query", count).load().first()[0]
-
-    known = table.upper() in {t.upper() for t in list_tables(spark, url)}
-    before = size() if known else 0
+    written = Observation()
     (
-        df.write.format("jdbc")
+        df.observe(written, F.count(F.lit(1)).alias("rows"))
+        .write.format("jdbc")
         .option("url", url)
         .option("dbtable", table)
         .option("batchsize", str(batch_size))
@@ -126,7 +120,7 @@ def write_rows(
         .mode("append")
         .save()
     )
-    return size() - before
+    return written.get["rows"]
 
 
 def list_tables(spark: SparkSession, url: str) -> list[str]:
