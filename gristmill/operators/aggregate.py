@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Allowed metrics, the label of a null group, and the group limit.
+# Allowed metrics and the label of a null group.
 METRICS = ("count", "sum", "avg", "min", "max")
 NULL_LABEL = "—"
-MAX_GROUPS = 50
 
 
 def metric_column(metric: str, field: str | None) -> Column:
     if metric not in METRICS:
-        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
     if metric == "count":
         return F.count(F.lit(1)).cast("double")
     if not field:
-        raise ValueError(f"metric '{metric}' requires a field")
+        raise ValueError(f"{metric} of which field?")
     return F.coalesce(getattr(F, metric)(F.col(field)).cast("double"), F.lit(0.0))
 
 
@@ -30,9 +29,12 @@ def aggregate(
     metric: str,
     field: str | None = None,
     group_by: str | None = None,
-    limit: int = MAX_GROUPS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """(group, value, rows), largest value first, ties by group; one row without a key."""
+    """(group, value, rows), largest value first, ties by group; one row without a key.
+
+    Every group is returned unless the caller asks for the first ``limit``.
+    """
     value = metric_column(metric, field)
     counted = F.count(F.lit(1)).alias("rows")
     if group_by is None:
@@ -40,7 +42,8 @@ def aggregate(
             F.lit("all").alias("group"), "value", "rows"
         )
     grouped = df.groupBy(label(group_by).alias("group")).agg(value.alias("value"), counted)
-    return grouped.orderBy(F.desc("value"), F.asc("group")).limit(limit)
+    ranked = grouped.orderBy(F.desc("value"), F.asc("group"))
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def mode_vote(df: DataFrame, keys: list[str], answer: str) -> DataFrame:

@@ -12,9 +12,7 @@ from gristmill.operators.prep import equal_width
 from gristmill.operators.rows import sample_rows
 from gristmill.scratch import cut_lineage
 
-# How many points and bars a chart shows, and the drawable kinds.
-LINE_POINTS = 30
-BAR_LIMIT = 12
+# The drawable kinds.
 KINDS = ("bar", "line")
 
 
@@ -26,17 +24,18 @@ def check_chart(spec: dict | None, columns: list[str]) -> dict | None:
 
 
 def chart_line(
-    df: DataFrame, x: Column, metric: str, field: str | None, points: int = LINE_POINTS
+    df: DataFrame, x: Column, metric: str, field: str | None, points: int | None = None
 ) -> DataFrame:
     grouped = df.groupBy(x.alias("x")).agg(metric_column(metric, field).alias("y"))
-    return grouped.orderBy("x").limit(points)
+    ordered = grouped.orderBy("x")
+    return ordered if points is None else ordered.limit(points)
 
 
 def chart_bar(
-    df: DataFrame, category: str, metric: str, field: str | None, limit: int = BAR_LIMIT
+    df: DataFrame, category: str, metric: str, field: str | None, limit: int | None = None
 ) -> DataFrame:
     if metric not in METRICS:
-        raise ValueError(f"metric must be one of {', '.join(METRICS)}")
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(METRICS)}")
     finite = df
     if field is not None:
         value = F.col(field).cast("double")

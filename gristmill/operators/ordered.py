@@ -318,7 +318,8 @@ def trailing(
     """Range windows over the last ``seconds`` up to and including each row's time.
 
     Heavy keys are cut into time slices as long as the range; each row is copied
-    into the next slice where it can still be in range.
+    into the next slice where it can still be in range. Rows without a time are in range
+    of each other only and have a slice of their own.
     """
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     reach = int(seconds) * 1_000_000
@@ -332,7 +333,7 @@ def trailing(
         )
     if heavy is not None:
         timed = heavy.withColumn("_micros", micros)
-        home = F.floor(F.col("_micros") / reach)
+        home = F.coalesce(F.floor(F.col("_micros") / reach), F.lit(-(1 << 62)))
         spread = timed.withColumn("_home", home).withColumn(
             "_slice", F.explode(F.array(home, home + 1))
         )

@@ -27,10 +27,11 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return counted.unpivot(["_rows"], columns, "name", "nulls").withColumnRenamed("_rows", "rows")
 
 
-def target_distribution(df: DataFrame, target: str, limit: int = 20) -> DataFrame:
+def target_distribution(df: DataFrame, target: str, limit: int | None = None) -> DataFrame:
     value = F.coalesce(F.col(target).cast("string"), F.lit("—")).alias("value")
     counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("rows"))
-    return counted.orderBy(F.desc("rows"), "value").limit(limit)
+    ranked = counted.orderBy(F.desc("rows"), "value")
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def clean_dedupe(df: DataFrame, keys: list[str], order: Order) -> DataFrame:

@@ -11,8 +11,6 @@ from gristmill.functions.values import number_of
 from gristmill.operators.ordered import Order, cut_columns, sort_columns
 from gristmill.operators.skew import slice_of, split_points
 
-MAX_PAGE = 500
-MAX_SAMPLE = 5_000
 DEEP_OFFSET = 100_000
 
 
@@ -55,12 +53,12 @@ def set_fields(df: DataFrame, fields: dict[str, object], include_input: bool = F
 
 
 def page_rows(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataFrame:
-    """One page in a total order; the limit is clamped to 1..500.
+    """One page of ``limit`` rows (at least one) in a total order.
 
     A deep offset first counts rows per slice of the leading sort column, so only
     the slices that hold the page are sorted.
     """
-    limit, offset = max(1, min(int(limit), MAX_PAGE)), max(0, int(offset))
+    limit, offset = max(1, int(limit)), max(0, int(offset))
     if offset > DEEP_OFFSET:
         cut, descending = cut_columns(order)
         piece = slice_of(df, cut, split_points(df, cut, 256), descending)
@@ -77,8 +75,8 @@ def page_rows(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataF
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
-    """A repeatable random sample without replacement; n is clamped to 1..5000."""
-    n = max(1, min(int(n), MAX_SAMPLE))
+    """A repeatable random sample of ``n`` rows (at least one) without replacement."""
+    n = max(1, int(n))
     ticket = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
     return df.withColumn("_ticket", ticket).orderBy("_ticket", key).limit(n).drop("_ticket")
 

@@ -21,10 +21,11 @@ FAILURES = ("error", "interrupted")
 UNFINISHED = ("queued", "running")
 MIN_DAYS, MAX_DAYS, DEFAULT_DAYS = 1, 90, 14
 RECENT, SLOWEST = 12, 10
-STALE_ERROR = "Backend restarted while this run was in progress"
+STALE_ERROR = "run was unfinished when the service started"
 
 
 def clamp_days(days: int) -> int:
+    """For callers that take a window from a user; the operators take any from one day."""
     return max(MIN_DAYS, min(int(days), MAX_DAYS))
 
 
@@ -44,7 +45,7 @@ def trigger_kind(trigger: str = "trigger") -> Column:
 
 def in_window(runs: DataFrame, now: datetime, days: int = DEFAULT_DAYS) -> DataFrame:
     """Runs of the last ``days`` days; a run without a start time counts as new."""
-    cutoff = F.lit(now - timedelta(days=clamp_days(days))).cast("timestamp_ntz")
+    cutoff = F.lit(now - timedelta(days=max(MIN_DAYS, int(days)))).cast("timestamp_ntz")
     started = F.col("started_at").cast("timestamp_ntz")
     return runs.filter(started.isNull() | (started >= cutoff))
 
@@ -75,7 +76,7 @@ def runs_totals(runs: DataFrame, now: datetime, days: int = DEFAULT_DAYS) -> Dat
 
 def runs_daily(runs: DataFrame, now: datetime, days: int = DEFAULT_DAYS) -> DataFrame:
     """One row per calendar day of the window, days without runs included."""
-    days = clamp_days(days)
+    days = max(MIN_DAYS, int(days))
     counted = (
         in_window(runs, now, days)
         .groupBy(F.to_date("started_at").alias("date"))

@@ -21,7 +21,7 @@ def _metric(name: str, metric: str, field: str | None) -> None:
         lambda t: _rounded(agg.aggregate(t.orders, metric, field, "o_orderpriority")),
         f"""SELECT coalesce(CAST(o_orderpriority AS VARCHAR), '—') AS "group",
             round(coalesce(CAST({value} AS DOUBLE), 0.0), 4) AS value, CAST(count(*) AS BIGINT) AS rows
-        FROM orders GROUP BY 1 ORDER BY value DESC, 1 LIMIT 50""",
+        FROM orders GROUP BY 1""",
     )
 
 
@@ -38,7 +38,7 @@ _metric("max", "max", "o_totalprice")
     SELECT coalesce(g, '—') AS "group", round(coalesce(CAST(sum(v) AS DOUBLE), 0.0), 4) AS value, CAST(count(*) AS BIGINT) AS rows
     FROM (SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS g,
                  CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders)
-    GROUP BY 1 ORDER BY value DESC, 1 LIMIT 50
+    GROUP BY 1
     """,
 )
 def _(t: Tables):
@@ -49,6 +49,15 @@ def _(t: Tables):
     return _rounded(agg.aggregate(holed, "sum", "v", "g"))
 
 
+@query(
+    "agg_many_groups",
+    """SELECT coalesce(CAST(o_custkey AS VARCHAR), '—') AS "group", round(sum(o_totalprice), 4) AS value,
+           CAST(count(*) AS BIGINT) AS rows FROM orders GROUP BY 1""",
+)
+def _(t: Tables):
+    return _rounded(agg.aggregate(t.orders, "sum", "o_totalprice", "o_custkey"))
+
+
 @query(
     "agg_all",
     """SELECT 'all' AS "group", round(CAST(avg(o_totalprice) AS DOUBLE), 4) AS value, CAST(count(*) AS BIGINT) AS rows
@@ -64,7 +73,7 @@ WRAPPED = "SELECT o_orderstatus, o_custkey, sum(o_totalprice) AS revenue FROM or
 @query(
     "agg_wrapped_query",
     f"""SELECT o_orderstatus AS "group", round(max(revenue), 4) AS value, CAST(count(*) AS BIGINT) AS rows
-    FROM ({WRAPPED}) q GROUP BY 1 ORDER BY value DESC, 1 LIMIT 50""",
+    FROM ({WRAPPED}) q GROUP BY 1""",
 )
 def _(t: Tables):
     wrapped = federate_views(t.spark, WRAPPED, {"orders": t.path("orders")})

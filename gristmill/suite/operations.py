@@ -108,7 +108,7 @@ def _(t: Tables):
 
 @query(
     "runs_by_trigger",
-    f"SELECT {KIND} AS trigger, CAST(count(*) AS BIGINT) AS runs FROM ({RUN_LOG}) WHERE {SPAN.format(90)} GROUP BY 1",
+    f"SELECT {KIND} AS trigger, CAST(count(*) AS BIGINT) AS runs FROM ({RUN_LOG}) WHERE {SPAN.format(500)} GROUP BY 1",
 )
 def _(t: Tables):
     return runs.runs_by_trigger(run_log(t), NOW, 500)

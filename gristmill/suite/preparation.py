@@ -153,7 +153,7 @@ def _(t: Tables):
 @query(
     "eda_queries",
     f"""SELECT coalesce(priority, '—') AS value, CAST(count(*) AS BIGINT) AS rows FROM ({NULLED}) GROUP BY 1
-    ORDER BY rows DESC, value LIMIT 20""",
+""",
 )
 def _(t: Tables):
     return prep.target_distribution(_nulled(t), "priority")
@@ -314,7 +314,7 @@ def _(t: Tables):
 @query(
     "chart_line",
     """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS x, round(sum(o_totalprice), 2) AS y FROM orders
-    GROUP BY 1 ORDER BY 1 LIMIT 30""",
+    GROUP BY 1""",
 )
 def _(t: Tables):
     month = day_text(F.date_trunc("month", "o_orderdate"))
@@ -326,7 +326,7 @@ def _(t: Tables):
     """SELECT coalesce(p_brand, '—') AS x, round(avg(v), 4) AS y FROM (
         SELECT CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_brand END AS p_brand,
                CASE WHEN p_partkey % 40 = 0 THEN NULL ELSE p_retailprice END AS v FROM part)
-    GROUP BY 1 ORDER BY avg(v) DESC, 1 LIMIT 12""",
+    GROUP BY 1""",
 )
 def _(t: Tables):
     mixed = t.part.selectExpr(

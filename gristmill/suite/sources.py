@@ -297,7 +297,7 @@ def _(t: Tables):
 @query(
     "read_jdbc_query",
     """SELECT p_brand AS "group", round(max(p_retailprice), 4) AS value, CAST(count(*) AS BIGINT) AS rows
-    FROM part WHERE p_size < 30 GROUP BY 1 ORDER BY value DESC, 1 LIMIT 50""",
+    FROM part WHERE p_size < 30 GROUP BY 1""",
 )
 def _(t: Tables):
     url, table, _ = _loaded(t)
@@ -308,7 +308,7 @@ def _(t: Tables):
 @query(
     "write_jdbc_rows",
     """SELECT p_type AS "group", CAST(sum(p_size) AS DOUBLE) AS value, CAST(count(*) AS BIGINT) AS rows,
-        (SELECT CAST(count(*) AS BIGINT) FROM part) AS inserted FROM part GROUP BY 1 ORDER BY value DESC, 1 LIMIT 50""",
+        (SELECT CAST(count(*) AS BIGINT) FROM part) AS inserted FROM part GROUP BY 1""",
 )
 def _(t: Tables):
     url, table, inserted = _loaded(t)

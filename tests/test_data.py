@@ -188,7 +188,7 @@ def test_gate_accepts(spark):
 
 
 def test_files_are_not_tables(catalog):
-    with pytest.raises(Exception, match="(?i)not supported|cannot be found|runSQLOnFiles"):
+    with pytest.raises(Exception, match="(?i)not supported|cannot be found|runSQLOnFiles|unknown table"):
         federate(catalog, "SELECT * FROM parquet.`/root/testdata/sf0.001/region.parquet`", {}).collect()
 
 
@@ -320,3 +320,56 @@ def test_charts(sales):
     assert charts.check_chart({"type": "bar", "x": "region", "y": "amount"}, sales.columns)
     hist = rows(charts.chart_hist(sales, "amount", 5), "bin")
     assert [n for _, n in hist] == [1, 1, 0, 0, 1]
+
+
+def test_gate_looks_at_the_plan(spark):
+    from gristmill.plans.sqlgate import readonly_sql
+
+    for sql in (
+        "SELECT `reflect`('java.lang.Math', 'abs', 1)",
+        "SELECT reflect/**/('java.lang.Math', 'abs', 1)",
+        "SELECT * FROM t WHERE x = (SELECT max(java_method('java.lang.Math', 'abs', 1)) FROM t)",
+        "WITH c AS (SELECT try_reflect('java.lang.Math', 'abs', 1) AS a) SELECT * FROM c",
+        "SELECT * FROM t WHERE EXISTS (SELECT 1 FROM t WHERE reflect('java.lang.Math', 'abs', 1) > 0)",
+    ):
+        with pytest.raises(ValueError, match="JVM"):
+            readonly_sql(spark, sql, {"t"})
+    for sql in ("SELECT * FROM global_temp.secret", "SELECT * FROM u", "SELECT * FROM t WHERE x IN (SELECT x FROM u)"):
+        with pytest.raises(ValueError, match="unknown table"):
+            readonly_sql(spark, sql, {"t"})
+    allowed = "WITH c AS (SELECT 'call reflect(x)' AS a FROM T) SELECT * FROM c JOIN t ON EXISTS (SELECT 1 FROM c)"
+    assert readonly_sql(spark, allowed, {"t"}) == allowed
+
+
+def test_csv_round_trip_and_wide_numbers(spark, tmp_path):
+    from gristmill.operators.profile import infer_load_types
+    from gristmill.sources.files import read_csv
+    from gristmill.sources.sinks import export
+
+    data = [(1, 'line one\nline "two", and three', "99999999999999999999", "9" * 60), (2, "plain", "1", "2")]
+    df = spark.createDataFrame(data, "id long, text string, wide string, huge string")
+    back = read_csv(spark, export(df, str(tmp_path), "x", "csv"))
+    assert dict(back.dtypes) == {"id": "bigint", "text": "string", "wide": "decimal(38,0)", "huge": "string"}
+    assert sorted((r.id, r.text, str(r.wide), r.huge) for r in back.collect()) == data
+    types = {r.name: r.load_type for r in infer_load_types(df, ["wide", "text"]).collect()}
+    assert types == {"wide": "DECIMAL(38,0)", "text": "VARCHAR"}
+
+
+def test_comparands_keep_every_digit(spark):
+    from gristmill.operators.rows import filter_rows
+
+    near = spark.createDataFrame([(9007199254740992,), (9007199254740993,)], "n long")
+    assert [r.n for r in filter_rows(near, "n", "equals", "9007199254740993").collect()] == [9007199254740993]
+    assert filter_rows(near, "n", "less_than", "9007199254740992.5").count() == 1
+    exact = near.selectExpr("CAST(n AS DECIMAL(30,2)) + 0.01BD AS d")
+    assert filter_rows(exact, "d", "equals", "9007199254740993.01").count() == 1
+    assert filter_rows(near, "n", "less_than", "1e30").count() == 2
+    assert filter_rows(near, "n", "greater_than", "-inf").count() == 2
+
+
+def test_written_rows_are_counted_as_they_pass(spark):
+    from gristmill.sources import jdbc
+
+    url = "jdbc:derby:memory:counted;create=true"
+    assert jdbc.write_rows(spark.range(25), url, "counted_rows") == 25
+    assert jdbc.write_rows(spark.range(5), url, "counted_rows") == 5
