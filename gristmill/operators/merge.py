@@ -59,10 +59,7 @@ def topk_per_group(df: DataFrame, keys: list[str], order: Order, k: int) -> Data
 def restore_version(history: DataFrame, keys: list[str], version: str, wanted: DataFrame) -> DataFrame:
     """Append, per key, a copy of the wanted version as the newest one."""
     newest = history.groupBy(*keys).agg(F.max(version).alias("_newest"))
-    copies = (
-        history.join(wanted.select(*keys, version), [*keys, version], "left_semi")
-        .join(newest, keys)
-        .withColumn(version, F.col("_newest") + 1)
-        .drop("_newest")
-    )
+    # At most one row per key and version: the keys' newest versions join few rows.
+    chosen = history.join(wanted.select(*keys, version), [*keys, version], "left_semi")
+    copies = skew_join(chosen, newest, keys).withColumn(version, F.col("_newest") + 1).drop("_newest")
     return history.unionByName(copies)

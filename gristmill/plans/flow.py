@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import dates
 from gristmill.operators import rows
+from gristmill.operators.graph import iterate_until
 
 
 def _datetime(df: DataFrame, config: dict, now: str | None) -> DataFrame:
@@ -61,6 +62,15 @@ def _step(node: dict, parents: list[DataFrame], flows: dict, now: str | None) ->
         # A look for heavy keys would run all steps before this one again, so the split of
         # skewed keys is left to adaptive execution here.
         return df.join(parents[1], list(config["on"]), config.get("how", "inner"))
+    if kind == "loop":
+        # The body is a document of its own; without a condition it runs as often as told.
+        done = F.expr(config["condition"]) if config.get("condition") else None
+        return iterate_until(
+            df,
+            lambda state: run_flow(config["body"], {"input": state}, flows, now),
+            done,
+            config.get("max_iterations", 5),
+        )
     if kind == "subworkflow":
         inner = flows.get(config["workflow_id"])
         if inner is None:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gristmill.operators.merge import last_per_key
 from gristmill.operators.rows import event_filter
@@ -208,9 +208,36 @@ def stream_interval_join(
 
 
 def late_rows(query: StreamingQuery) -> list[tuple[int, int, int]]:
-    """(batch, input rows, rows dropped behind the watermark) from the progress reports."""
-    found = []
-    for progress in query.recentProgress:
-        dropped = sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
-        found.append((progress["batchId"], progress["numInputRows"], dropped))
-    return found
+    """(batch, input rows, rows dropped behind the watermark) of the newest reports.
+
+    A query keeps a bounded number of reports; ``LateRows`` counts all of them.
+    """
+    return [_dropped(progress) for progress in query.recentProgress]
+
+
+def _dropped(progress) -> tuple[int, int, int]:
+    dropped = sum(op["numRowsDroppedByWatermark"] for op in progress["stateOperators"])
+    return progress["batchId"], progress["numInputRows"], dropped
+
+
+class LateRows(StreamingQueryListener):
+    """Totals of input and dropped rows per stream since it was added to the session.
+
+    ``spark.streams.addListener(LateRows())`` before the streams start.
+    """
+
+    def __init__(self) -> None:
+        self.totals: dict[str, tuple[int, int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.totals.setdefault(str(event.id), (0, 0))
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        progress = event.progress
+        rows, dropped = self.totals.get(str(progress.id), (0, 0))
+        late = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+        self.totals[str(progress.id)] = rows + progress.numInputRows, dropped + late
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.add(str(event.runId))

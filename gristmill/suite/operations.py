@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import code
-from gristmill.operators import graph, runs
+from gristmill.operators import graph, merge, ordered, runs
 from gristmill.plans import analysis as saved
 from gristmill.plans.flow import run_flow
 from gristmill.scratch import new_folder
@@ -286,6 +286,54 @@ def _(t: Tables):
     return graph.iterate_until(start, halve, ~high, 6).withColumn("price", r("price", 6))
 
 
+@query(
+    "flow_loop",
+    """SELECT o_orderkey, round(o_totalprice / power(2, n), 6) AS price FROM (
+        SELECT o_orderkey, o_totalprice, least(CASE WHEN o_totalprice <= 20000 THEN 0 ELSE ceil(log2(o_totalprice / 20000)) END, 6) AS n FROM orders)""",
+)
+def _(t: Tables):
+    body = {
+        "nodes": [
+            {"id": "in", "type": "input"},
+            {
+                "id": "halve",
+                "type": "set_fields",
+                "config": {
+                    "fields": {
+                        "o_orderkey": F.col("o_orderkey"),
+                        "price": F.when(F.col("price") > 20000, F.col("price") / 2).otherwise(F.col("price")),
+                    }
+                },
+            },
+        ],
+        "edges": [{"source": "in", "target": "halve"}],
+    }
+    loop = {"body": body, "condition": "price <= 20000", "max_iterations": 6}
+    document = {
+        "nodes": [{"id": "in", "type": "input"}, {"id": "again", "type": "loop", "config": loop}],
+        "edges": [{"source": "in", "target": "again"}],
+    }
+    orders = t.orders.select("o_orderkey", F.col("o_totalprice").alias("price"))
+    return run_flow(document, {"input": orders}).withColumn("price", r("price", 6))
+
+
+@query(
+    "restore_version",
+    """WITH h AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version,
+                         o_totalprice AS price FROM orders)
+    SELECT o_custkey, CAST(version AS BIGINT) AS version, price FROM h
+    UNION ALL SELECT o_custkey, CAST((SELECT max(version) FROM h m WHERE m.o_custkey = h.o_custkey) + 1 AS BIGINT), price
+    FROM h WHERE version = 1 AND o_custkey % 10 = 0""",
+)
+def _(t: Tables):
+    numbered = ordered.sequence(
+        t.orders, ["o_custkey"], [("o_orderdate", "asc"), ("o_orderkey", "asc")], {"version": ("row_number",)}
+    )
+    history = numbered.select("o_custkey", F.col("version").cast("long").alias("version"), F.col("o_totalprice").alias("price"))
+    wanted = history.filter("version = 1 AND o_custkey % 10 = 0").select("o_custkey", "version")
+    return merge.restore_version(history, ["o_custkey"], "version", wanted)
+
+
 # ---- saved queries and claims
 
 

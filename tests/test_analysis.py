@@ -1,5 +1,6 @@
 """Cells, claims, run reports, graphs, documents, user code, streams."""
 
+import time
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -186,6 +187,44 @@ def test_late_rows_are_counted(spark):
     assert sum(r["dropped_rows"] for r in found) > 0
 
 
+def test_late_rows_of_all_batches_are_totalled(spark, store):
+    folder = new_folder(spark, "late")
+    spark.sql("SELECT 1 AS id, timestamp'2024-01-02 00:00:00' AS ts").write.parquet(folder)
+    counter = collect.LateRows()
+    spark.streams.addListener(counter)
+    try:
+        stream = collect.read_stream(spark, folder, "id int, ts timestamp", files_per_batch=1)
+        daily = collect.tumbling(stream, "ts", "1 hour", "1 minute", [F.count(F.lit(1)).alias("n")])
+        progress = new_folder(spark, "progress")
+        runs = [collect.poll(daily, store, "late", progress)]
+        for _ in range(3):
+            spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' AS ts FROM range(5)").write.mode("append").parquet(folder)
+            runs.append(collect.poll(daily, store, "late", progress))
+        deadline = time.time() + 30
+        while len(counter.ended) < 4 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counter)
+    ((rows, dropped),) = counter.totals.values()
+    # Rows of one hour are merged before the state drops them.
+    assert rows == 16 and dropped >= 3
+
+
+def test_loop_nodes_repeat_their_body(spark):
+
+    body = {
+        "nodes": [{"id": "in", "type": "input"}, {"id": "add", "type": "set_fields", "config": {"fields": {"n": F.col("n") + 1}}}],
+        "edges": [{"source": "in", "target": "add"}],
+    }
+
+    def looped(**config):
+        nodes = [{"id": "in", "type": "input"}, {"id": "l", "type": "loop", "config": {"body": body, **config}}]
+        document = {"nodes": nodes, "edges": [{"source": "in", "target": "l"}]}
+        return run_flow(document, {"input": spark.createDataFrame([(0,)], "n int")}).first()[0]
+
+    assert looped() == 5 and looped(max_iterations=2) == 2 and looped(condition="n >= 3") == 3
+
+
 def test_stream_dedup_over_many_copies(spark, store):
     folder = new_folder(spark, "copies")
     rows_in = spark.range(200).selectExpr(

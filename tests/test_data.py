@@ -373,3 +373,20 @@ def test_written_rows_are_counted_as_they_pass(spark):
     url = "jdbc:derby:memory:counted;create=true"
     assert jdbc.write_rows(spark.range(25), url, "counted_rows") == 25
     assert jdbc.write_rows(spark.range(5), url, "counted_rows") == 5
+
+
+def test_widening_loses_nothing(spark, store):
+    def append(name, value, kind):
+        store.append(name, spark.createDataFrame([(value,)], f"x {kind}"))
+        return dict(store.read(name).dtypes)["x"], sorted(str(r.x) for r in store.read(name).collect())
+
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    append("a", 7, "long")
+    assert append("a", 2.5, "double") == ("double", ["2.5", "7.0"])
+    assert append("a", 9007199254740993, "long") == ("string", ["2.5", "7", "9007199254740993"])
+    append("b", 9007199254740993, "long")
+    assert append("b", Decimal("0.25"), "decimal(10,2)") == ("decimal(21,2)", ["0.25", "9007199254740993.00"])
+    append("c", date(2024, 1, 2), "date")
+    assert append("c", datetime(2024, 1, 2, 3), "timestamp")[0] == "timestamp"
