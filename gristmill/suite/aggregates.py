@@ -99,6 +99,23 @@ def _(t: Tables):
     )
 
 
+@query(
+    "count_distinct_approx_error",
+    """SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS orders,
+        true AS parts_within, true AS orders_within FROM lineitem GROUP BY 1""",
+)
+def _(t: Tables):
+    # Five standard errors of the sketch.
+    sketched = t.lineitem.groupBy("l_returnflag").agg(
+        F.count_distinct("l_partkey").alias("parts"),
+        F.count_distinct("l_orderkey").alias("orders"),
+        F.approx_count_distinct("l_partkey", 0.02).alias("p"),
+        F.approx_count_distinct("l_orderkey", 0.02).alias("o"),
+    )
+    near = [(F.abs(F.col(a) - F.col(e)) <= F.col(e) * 0.1).alias(f"{e}_within") for a, e in (("p", "parts"), ("o", "orders"))]
+    return sketched.select("l_returnflag", "parts", "orders", *near)
+
+
 @query("count_distinct_approx")
 def _(t: Tables):
     return t.lineitem.groupBy("l_returnflag").agg(

@@ -170,7 +170,37 @@ def _(t: Tables):
     return metrics.compare_scores(first, second, ["o_orderkey"], "y", "guess")
 
 
-# ---- training: rows-only checks, quality is asserted in the tests
+# ---- training: least squares has a closed form; of the others the tests assert the quality
+
+
+def _least_squares(rows: str, per: str = "1") -> str:
+    """Coefficients b0..b3 of y on x1, x2, x3 per group: the normal equations by Cramer's rule.
+
+    ``rows`` has y, x1, x2, x3, fit (whether the row is learnt from) and the column ``per``.
+    """
+    names = ["x1", "x2", "x3"]
+    sums = [f"avg({x}) AS m{x}" for x in [*names, "y"]]
+    sums += [f"covar_pop({a}, {b}) AS c{a}{b}" for i, a in enumerate(names) for b in [*names[i:], "y"]]
+    c = {(a, b): f"c{min(a, b)}{max(a, b)}" for a in names for b in names}
+
+    def det(columns: list[str]) -> str:
+        m = [[c[a, b] if b in names else f"c{a}y" for b in columns] for a in names]
+        return " + ".join(
+            f"{m[0][i]} * ({m[1][(i + 1) % 3]} * {m[2][(i + 2) % 3]} - {m[1][(i + 2) % 3]} * {m[2][(i + 1) % 3]})"
+            for i in range(3)
+        )
+
+    slopes = ", ".join(
+        f"({det([b if i == j else a for j, a in enumerate(names)])}) / ({det(names)}) AS b{i + 1}"
+        for i, b in enumerate(["y"] * 3)
+    )
+    return f"""SELECT g, b1, b2, b3, my - b1 * mx1 - b2 * mx2 - b3 * mx3 AS b0 FROM (
+        SELECT *, {slopes} FROM (SELECT {per} AS g, {', '.join(sums)} FROM ({rows}) WHERE fit GROUP BY 1))"""
+
+
+GUESS = "b0 + b1 * x1 + b2 * x2 + b3 * x3"
+LINES = f"""SELECT *, {BUCKET.format("(l_orderkey || '-' || l_linenumber)")} < 80 AS fit,
+    l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_tax AS x3 FROM lineitem"""
 
 
 def _metric_rows(t: Tables, model: training.Model):
@@ -196,12 +226,24 @@ def _parts(t: Tables):
 PART_FEATURES = ["p_size", "name_length", "series"]
 
 
-@query("train_linear_regression")
+@query(
+    "train_linear_regression",
+    f"""WITH r AS ({LINES}), b AS ({_least_squares("SELECT * FROM r")}), p AS (SELECT *, {GUESS} AS p FROM r, b),
+    m AS (SELECT avg(abs(y - p)) AS mae, avg((y - p) * (y - p)) AS mse, var_pop(y) AS v, count(*) AS n FROM p WHERE NOT fit)
+    SELECT 'linear_regression' AS model_type, metric, value FROM (
+        SELECT 'r2' AS metric, round(1 - mse / v, 4) AS value FROM m UNION ALL SELECT 'mae', round(mae, 1) FROM m
+        UNION ALL SELECT 'mse', round(mse, -3) FROM m UNION ALL SELECT 'rmse', round(sqrt(mse), 1) FROM m
+        UNION ALL SELECT 'test_rows', CAST(n AS DOUBLE) FROM m
+        UNION ALL SELECT 'train_rows', CAST(count(*) AS DOUBLE) FROM r WHERE fit)""",
+)
 def _(t: Tables):
     lines = t.lineitem.select(*LINE_KEY, *LINE_FEATURES, "l_extendedprice")
-    return _metric_rows(
+    found = _metric_rows(
         t, training.train(lines, "price", "l_extendedprice", "linear_regression", LINE_FEATURES, LINE_KEY)
     )
+    value, metric = F.col("value"), F.col("metric")
+    shown = F.when(metric == "mse", F.round(value, -3)).when(metric == "r2", F.round(value, 4))
+    return found.withColumn("value", shown.otherwise(F.round(value, 1)))
 
 
 @query("train_logistic_regression")
@@ -225,7 +267,11 @@ def _(t: Tables):
     )
 
 
-@query("predict")
+@query(
+    "predict",
+    f"""WITH r AS ({LINES}), b AS ({_least_squares("SELECT * FROM r")})
+    SELECT l_orderkey, l_linenumber, l_extendedprice, round({GUESS}, 0) AS predicted_l_extendedprice FROM r, b""",
+)
 def _(t: Tables):
     store = DatasetStore(t.spark, new_folder(t.spark, "predictions"))
     lines = t.lineitem.select(*LINE_KEY, *LINE_FEATURES, "l_extendedprice")
@@ -233,10 +279,24 @@ def _(t: Tables):
     registry = training.ModelRegistry(t.spark, new_folder(t.spark, "models"))
     registry.save(model)
     training.predict_into(registry.get("PRICE"), lines, store, "prices")
-    return store.read("prices").select(*LINE_KEY, "l_extendedprice", "predicted_l_extendedprice")
+    guess = F.round("predicted_l_extendedprice", 0).alias("predicted_l_extendedprice")
+    return store.read("prices").select(*LINE_KEY, "l_extendedprice", guess)
 
 
-@query("cross_validate")
+FOLD = "('0x' || substr(md5('fold' || p_partkey), 1, 7))::BIGINT % 5"
+
+
+@query(
+    "cross_validate",
+    f"""WITH k AS (SELECT {FOLD} AS fold, p_retailprice AS y, CAST(p_size AS DOUBLE) AS x1,
+                     CAST(length(p_name) AS DOUBLE) AS x2, CAST(p_partkey % 1000 AS DOUBLE) AS x3 FROM part),
+    r AS (SELECT k.*, f.fold AS held, k.fold <> f.fold AS fit FROM k, (SELECT DISTINCT fold FROM k) f),
+    b AS ({_least_squares("SELECT * FROM r", "held")}),
+    s AS (SELECT g, fit, 1 - avg((y - ({GUESS})) * (y - ({GUESS}))) / var_pop(y) AS score FROM r JOIN b ON held = g GROUP BY 1, 2)
+    SELECT CAST(h.g AS INTEGER) AS fold, round(h.score, 4) AS score, round(avg(h.score) OVER (), 4) AS mean,
+           round(stddev_pop(h.score) OVER (), 4) AS std, round(avg(o.score) OVER (), 4) AS train_mean
+    FROM s h JOIN s o ON h.g = o.g AND o.fit WHERE NOT h.fit""",
+)
 def _(t: Tables):
     found = training.cross_validate(_parts(t), "p_retailprice", "linear_regression", PART_FEATURES, 5, ["p_partkey"])
     rows = [(i, s, found["mean"], found["std"], found["train_mean"]) for i, s in enumerate(found["scores"])]
