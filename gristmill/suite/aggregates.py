@@ -91,7 +91,6 @@ def _(t: Tables):
         CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers FROM lineitem GROUP BY l_returnflag""",
 )
 def _(t: Tables):
-    # Distinct values first, so a heavy flag is spread over its values.
     flags = t.lineitem.groupBy("l_returnflag")
     return flags.agg(
         F.count_distinct("l_partkey").alias("parts"),

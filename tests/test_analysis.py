@@ -238,3 +238,20 @@ def test_stream_dedup_over_many_copies(spark, store):
     collect.poll(unique, store, "out", new_folder(spark, "progress"))
     found = sorted(r["event_id"] for r in store.read("out").collect())
     assert found == sorted({7 if i % 3 == 0 else i for i in range(200)})
+
+
+def test_collecting_at_an_interval_takes_what_comes(spark, store):
+    folder = new_folder(spark, "interval")
+    spark.range(5).write.parquet(folder)
+    stream = collect.read_stream(spark, folder, "id long")
+    running = collect.collect_into(stream, store, "polled", new_folder(spark, "progress"), every="1 second")
+    try:
+        deadline = time.time() + 60
+        while store.read("polled").count() < 5 and time.time() < deadline:
+            time.sleep(0.5)
+        spark.range(5, 9).write.mode("append").parquet(folder)
+        while store.read("polled").count() < 9 and time.time() < deadline:
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert sorted(r["id"] for r in store.read("polled").collect()) == list(range(9))
