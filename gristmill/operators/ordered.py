@@ -250,9 +250,10 @@ def sequence(
     ``derived`` says that ``df`` is costly to compute: if it is large it is first kept in
     the shared folder, because several passes follow.
     """
-    if derived and df.count() >= skew.min_rows:
+    rows = df.count() if derived else None
+    if rows is not None and rows >= skew.min_rows:
         df = cut_lineage(df)
-    found = heavy_keys(df, keys, skew)
+    found = heavy_keys(df, keys, skew, rows)
     ordinary, heavy = split_heavy(df, keys, found)
     pieces = []
     if ordinary is not None:

@@ -37,12 +37,14 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("long")
 
 
-def heavy_keys(df: DataFrame, keys: list[str], skew: Skew = DEFAULT) -> dict[int, int]:
+def heavy_keys(
+    df: DataFrame, keys: list[str], skew: Skew = DEFAULT, rows: int | None = None
+) -> dict[int, int]:
     """Hash of each heavy key and the number of pieces for it (at most 1/share keys).
 
-    A small table is answered by its row count alone.
+    A small table is answered by its row count alone, which the caller may know.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows < skew.min_rows:
         return {}
     size = max(skew.min_rows, skew.share * rows)
