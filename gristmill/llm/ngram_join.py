@@ -15,7 +15,7 @@ sets still share their least frequent common one. That removes fragments which h
 a passage that many documents quote. The sets that still share a listing are suspects;
 among them the n-grams themselves are ordered by frequency, and a set is listed under its
 rarest, as many as two linked sets need to meet (a prefix filter with places). All sets
-under one n-gram are first compared to one leader; sets found to be linked are one
+under one n-gram are first compared to one leader, the most central; sets found to be linked are one
 component, and only n-grams that still touch several components are looked at again, with
 new leaders, until few pairs are left or a round finds no link. Then every pair of an
 n-gram in different components is compared whose sizes and places allow a link. So a
@@ -256,7 +256,10 @@ def _link_all(listed: DataFrame, parts: DataFrame) -> DataFrame:
     joined, found = listed.sparkSession.createDataFrame([], "node bigint, component bigint"), True
     for turn in range(STAR_ROUNDS + 1):
         placed = listed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        leader = F.min(F.when(F.col("indexed"), F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), "node", "n", "at", "component")))
+        # The set with the fewest rarer n-grams is the most central one of an n-gram; later
+        # rounds ask that of one component of the n-gram each.
+        turned = (F.xxhash64(F.lit(turn), "component") if turn else F.lit(0).cast("long")).alias("order")
+        leader = F.min(F.when(F.col("indexed"), F.struct(turned, "at", "node", "n", "component")))
         parted = placed.groupBy("key", "component").agg(
             F.count(F.lit(1)).alias("m"), F.count_if("indexed").alias("i"), leader.alias("leader")
         )
