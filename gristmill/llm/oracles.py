@@ -149,3 +149,27 @@ SELECT DISTINCT doc_id, item_id, greatest(off + wins[1], 0) AS start_word, least
        CAST(list_sum(list_slice(eq, wins[1] + 1, wins[-1] + 13)) AS BIGINT) AS matched
 FROM found WHERE len(wins) > 0
 """
+
+
+NGRAM_JOIN = f"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), sets AS (
+    SELECT doc_id, CASE
+        WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1),
+            lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g
+    FROM split
+), grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM sets
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, min(a.n) AS na, min(b.n) AS nb, count(*) AS c
+    FROM grams a JOIN grams b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs WHERE 100 * c >= 90 * (na + nb - c)
+), reach AS (
+    SELECT doc_id AS d, doc_id AS r FROM sets
+    UNION SELECT reach.d, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id
+FROM sets JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) ON d = doc_id
+"""

@@ -106,7 +106,7 @@ def op7(t: Tables) -> DataFrame:
     return decontaminate.contaminated(t.documents, t.benchmark)
 
 
-@query("op3_ngram_join")
+@query("op3_ngram_join", oracles.NGRAM_JOIN)
 def op3(t: Tables) -> DataFrame:
     return ngram_join.similar_documents(t.documents)
 
