@@ -9,6 +9,7 @@ from gristmill.operators.ordered import sequence, trailing
 from gristmill.operators.skew import DEFAULT, Skew, skew_join
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 MAX_PAIRS = 1_000_000
 MAX_PACKED = 10_000
 
@@ -24,10 +25,14 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     max_rows: int = MAX_BROADCAST_ROWS,
+    max_bytes: int = MAX_BROADCAST_BYTES,
     skew: Skew = DEFAULT,
 ) -> DataFrame:
-    """Broadcast the dimension when its size is proven small, else a salted shuffle join."""
-    if is_bounded(dimension, max_rows):
+    """Broadcast the dimension when its rows and bytes are counted and small, else a salted
+    shuffle join. Rows are measured as JSON text, which is larger than they are."""
+    row = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in dimension.columns])))
+    size = dimension.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(row).alias("bytes")).first()
+    if size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes:
         return fact.join(F.broadcast(dimension), on, how)
     return skew_join(fact, dimension, on, how, skew)
 
@@ -116,17 +121,24 @@ def range_join(
 ) -> DataFrame:
     """Facts with the bands that hold their value (low <= value < high).
 
-    Bands are laid on a grid as wide as the widest band, so each covers at most two
-    cells, and the join is an equi join on the cell.
+    Bands are sorted by the power of two above their width. Each power has a grid of its
+    own, on which a band covers at most two cells and a fact lies in one; powers without
+    bands have none. The join is an equi join on the cell, salted where many facts share
+    one, as they do below a very wide band.
     """
-    width = bands.agg(F.max(F.col(high) - F.col(low))).first()[0]
-    if not width or width <= 0:
+    held = bands.filter(F.col(high) > F.col(low))
+    power = F.ceil(F.log2((F.col(high) - F.col(low)).cast("double"))).cast("int")
+    powers = sorted(row[0] for row in held.select(power).distinct().collect())
+    if not powers:
         raise ValueError("bands need a positive width")
-    first, last = F.floor(F.col(low) / width), F.floor(F.col(high) / width)
-    cells = bands.withColumn("_cell", F.explode(F.sequence(first, last)))
-    placed = facts.withColumn("_cell", F.floor(F.col(value) / width))
-    joined = placed.join(cells, "_cell")
-    return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_cell")
+
+    def cell(column: str):
+        return F.floor(F.col(column).cast("double") / F.pow(F.lit(2.0), F.col("_power")))
+
+    cells = held.withColumn("_power", power).withColumn("_cell", F.explode(F.sequence(cell(low), cell(high))))
+    placed = facts.withColumn("_power", F.explode(F.array(*map(F.lit, powers)))).withColumn("_cell", cell(value))
+    joined = skew_join(placed, cells, ["_power", "_cell"])
+    return joined.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_power", "_cell")
 
 
 def theta_counts(

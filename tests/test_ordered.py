@@ -240,3 +240,19 @@ def test_rows_without_a_time_stay_on_both_paths(spark):
     sliced = trailing(rows, ["k"], "ts", 300, wanted, Skew(min_rows=1, share=0.01))
     assert plain.count() == sliced.count() == 600
     assert sorted(map(str, plain.collect())) == sorted(map(str, sliced.collect()))
+
+
+def test_bands_of_very_different_width(spark):
+    facts = spark.range(500).selectExpr("id", "id * 0.75 AS v").unionByName(spark.sql("SELECT -1L AS id, CAST(NULL AS DECIMAL(20,2)) AS v"))
+    bands = spark.createDataFrame([(0, -1e6, 1e6), (1, 10.0, 10.5), (2, 100.0, 200.0), (3, 5.0, 5.0), (4, 374.0, 1e300), (5, None, 1.0)], "band int, low double, high double")
+    joined = joins.range_join(facts, bands, "v", "low", "high")
+    found = sorted((r.id, r.band) for r in joined.collect())
+    spans = {0: (-1e6, 1e6), 1: (10.0, 10.5), 2: (100.0, 200.0), 4: (374.0, 1e300)}
+    assert found == sorted((i, b) for i in range(500) for b, (lo, hi) in spans.items() if lo <= i * 0.75 < hi)
+
+
+def test_lookup_join_measures_bytes(spark):
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS t")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(joins.lookup_join(spark.range(10), wide, ["id"]))
+    assert "broadcast" not in plan(joins.lookup_join(spark.range(10), wide, ["id"], max_bytes=50_000))
