@@ -117,5 +117,5 @@ def _verified(pairs: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with their columns unchanged."""
     found = stored(contaminated(docs, benchmark).select(nullable("doc_id").alias("_id")).distinct(), "leaks")
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), nullable("doc_id").alias("_id"))
+    rows = docs.select(F.struct("*").alias("_row"), nullable("doc_id").alias("_id"))
     return rows.join(found, "_id", "left_anti").select("_row.*")

@@ -305,7 +305,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         "_id", F.col("key").alias("_key"), F.col("size").alias("_size"), "_rows", "_takes"
     )
     whole = docs.select(
-        F.struct(*[F.col(c) for c in docs.columns]).alias("_row"),
+        F.struct("*").alias("_row"),
         nullable("doc_id").alias("_id"),
         nullable("source").alias("_key"),
         word_count(F.col("text")).alias("_size"),

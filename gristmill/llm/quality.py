@@ -307,7 +307,7 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """
     keep = [F.col("lang"), F.col("source")]
     counts = stored(document_counts(docs, keep=keep), "counts")
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    whole = docs.select(F.struct("*").alias("row"))
     again = document_counts(
         whole, "row.text", [F.col("row"), F.col("row.lang").alias("lang"), F.col("row.source").alias("source")]
     )

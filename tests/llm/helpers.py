@@ -5,7 +5,7 @@ from collections import defaultdict
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that operators use for their own columns.
-CLASHING = "id n node key keys row bucket size rank copy kept words line best tokens level component hashes".split()
+CLASHING = "id n node key keys row bucket size rank copy kept words line best tokens level component hashes a.b".split()
 
 
 def word_list(text):
@@ -37,7 +37,7 @@ def awkward(spark, rows=None):
     ]
     docs = spark.createDataFrame(table, DOCUMENTS)
     for name in CLASHING:
-        docs = docs.selectExpr("*", f"'clash' as {name}")
+        docs = docs.selectExpr("*", f"'clash' as `{name}`")
     return docs
 
 
