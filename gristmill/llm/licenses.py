@@ -78,6 +78,14 @@ def _by_size(sizes: list[int], threshold: float) -> list[list[int]]:
     ]
 
 
+def _normalised(text: Column) -> Column:
+    """A-Z lower-cased, runs of other characters than letters and digits one space; lines
+    stay. Plain ASCII texts have the same result by a cheaper pattern."""
+    plain = F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
+    other = F.regexp_replace(ascii_lower(text), r"[^\p{L}\p{N}\n]+", " ")
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), plain).otherwise(other)
+
+
 def _bigrams(words: str) -> Column:
     """Distinct bigrams of an array column of at least two words."""
     pairs = F.zip_with(words, F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
@@ -94,12 +102,14 @@ def scan_licenses(
     fit = _by_size([len(g) for g in grams], threshold)
     table = F.array(*[F.array(*map(F.lit, g)) for g in grams])
     candidates = F.array(*[F.array(*map(F.lit, found)).cast("array<int>") for found in fit])
-    text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    clean = F.regexp_replace(text, r"[^\p{L}\p{N}\n]+", " ")
-    lines = F.split(clean, "\n")
-    whole = F.when(F.size(lines) > 1, F.array(F.translate(clean, "\n", " "))).otherwise(F.array(F.lit(" ")))
-    units = docs.select("doc_id", F.posexplode(F.concat(whole, lines)).alias("line", "unit"))
-    tidy = units.select("doc_id", "line", F.btrim(F.regexp_replace("unit", " +", " ")).alias("unit"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # Each step is projected, so that the next one uses it without computing it again.
+    clean = docs.select("doc_id", _normalised(text).alias("clean"))
+    lines = clean.select("doc_id", "clean", F.split("clean", "\n").alias("lines"))
+    whole = F.when(F.size("lines") > 1, F.regexp_replace("clean", "[ \n]+", " ")).otherwise(F.lit(""))
+    listed = lines.select("doc_id", F.concat(F.array(whole), "lines").alias("units"))
+    units = listed.select("doc_id", F.posexplode("units").alias("line", "unit"))
+    tidy = units.select("doc_id", "line", F.btrim("unit").alias("unit"))
     split = tidy.where(F.instr("unit", " ") > 0).select("doc_id", "line", F.split("unit", " ").alias("words"))
     counted = split.select("doc_id", "line", _bigrams("words").alias("grams"))
     near = counted.select("doc_id", "line", "grams", F.get(candidates, F.size("grams")).alias("near"))
