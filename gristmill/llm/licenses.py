@@ -108,7 +108,9 @@ def scan_licenses(
     lines = clean.select("doc_id", "clean", F.split("clean", "\n").alias("lines"))
     whole = F.when(F.size("lines") > 1, F.regexp_replace("clean", "[ \n]+", " ")).otherwise(F.lit(""))
     listed = lines.select("doc_id", F.concat(F.array(whole), "lines").alias("units"))
-    units = listed.select("doc_id", F.posexplode("units").alias("line", "unit"))
+    # Outer, though no list is empty: else the optimizer filters on the list's size below
+    # the projections, which computes all of them a second time.
+    units = listed.select("doc_id", F.posexplode_outer("units").alias("line", "unit"))
     tidy = units.select("doc_id", "line", F.btrim("unit").alias("unit"))
     split = tidy.where(F.instr("unit", " ") > 0).select("doc_id", "line", F.split("unit", " ").alias("words"))
     counted = split.select("doc_id", "line", _bigrams("words").alias("grams"))
@@ -122,13 +124,13 @@ def scan_licenses(
             (F.lit(2.0) * shared / (F.size("grams") + F.size(template))).alias("dice"), (-i).alias("order")
         )
 
-    best = near.where(F.size("near") > 0).select(
-        "doc_id", "line", F.array_max(F.transform("near", dice)).alias("best")
-    )
-    matched = best.where(F.col("best.dice") >= threshold)
+    best = near.select("doc_id", "line", F.array_max(F.transform("near", dice)).alias("best"))
+    # Matches are generated, not filtered, for the same reason as above.
+    reached = F.filter(F.array("best"), lambda b: b["dice"] >= threshold)
+    matched = best.select("doc_id", "line", F.explode_outer(reached).alias("match")).where("match is not null")
     return matched.select(
         "doc_id",
         F.col("line").cast("long").alias("line"),
-        F.get(F.array(*map(F.lit, names)), -F.col("best.order")).alias("license"),
-        F.round("best.dice", 4).alias("dice"),
+        F.get(F.array(*map(F.lit, names)), -F.col("match.order")).alias("license"),
+        F.round("match.dice", 4).alias("dice"),
     )
