@@ -13,6 +13,9 @@ from gristmill.llm import decontaminate, mix, ngram_join, packing, quality
 from gristmill.llm.texts import stored
 from gristmill.suite.registry import Tables
 
+# Texts whose sets of five words have a Jaccard similarity of 0.8 or more are near copies.
+NEAR = ngram_join.Rule(words=5, percent=80)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -20,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    return ngram_join.one_of_each(docs)
+    """Of each group of near copies one row stays, of the smallest id."""
+    return ngram_join.one_of_each(docs, NEAR, repeats=False)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Similarity join of documents on word n-grams by vertical partitioning.
 
-A document is the set of its distinct word triples. Sets link when their Jaccard
-similarity is at least ``PERCENT`` per cent; linked sets are one component.
+A document is the set of its distinct n-grams of words. Sets link when their Jaccard
+similarity reaches a percentage; linked sets are one component. The length of the n-grams
+and the percentage are arguments (a ``Rule``; triples and 90 per cent by default).
 
 *Order and fragments.* N-grams are ordered by a 64-bit hash, and that order is cut into
 fragments of equal width. Two similar sets differ in few n-grams (at most a nineteenth of
 their sizes' sum at 90 per cent), so among ``differ + 1 + slack`` fragments at least
 ``1 + slack`` hold the same part of both. Each set is therefore listed under the hash of
-its part in every fragment. The number of fragments goes by powers of two of the set
-size; sets near the top of a class are also listed in the next one.
+its part in every fragment. The number of fragments goes by classes of the set size (its
+powers of two; of their square root below 90 per cent, where more fragments would be
+empty); sets are also listed in each next class that holds sets they may link to.
 
 *Candidates.* Of its listings a set may leave out the ``slack`` most frequent: two similar
 sets still share their least frequent common one. That removes fragments which hold only
@@ -26,7 +28,7 @@ components is missed.
 join of the two parts, and summed per pair.
 
 Equal sets are one node from the start. Sets and their parts are told apart by 64-bit
-hashes. Defined results: a text of one or two words is one n-gram; null, empty and
+hashes. Defined results: a text of fewer words than an n-gram is one n-gram; null, empty and
 wordless texts have no n-gram, no link and are their own component; repeated rows are
 copies like any others; rows with a null id belong to the component of their set, whose
 id is the smallest that is not null.
@@ -34,7 +36,9 @@ id is the smallest that is not null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.components import components
 from gristmill.llm.texts import ascii_lower, stored, words
 
+WORDS = 3
 PERCENT = 90
 PARTS = 8  # fragments in which overlaps are counted
 STAR_ROUNDS = 8
@@ -52,14 +57,43 @@ ALL_PAIRS = 8
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
-def fragments(size_class: int) -> tuple[int, int]:
-    """(fragments, slack) for sets of 2 ** size_class to 2 ** (size_class + 1) - 1 n-grams.
+@dataclass(frozen=True)
+class Rule:
+    """When two texts link: words of an n-gram, and the least Jaccard similarity."""
 
-    Sets of sizes a and b link when they differ in at most (a + b) * (100 - PERCENT) /
-    (100 + PERCENT) n-grams.
+    words: int = WORDS
+    percent: int = PERCENT
+
+    @property
+    def per_doubling(self) -> int:
+        """Size classes from a set size to its double."""
+        return 1 if self.percent >= 90 else 2
+
+
+def class_start(size_class: int, rule: Rule = Rule()) -> int:
+    """The smallest set size of a class."""
+    return math.ceil(2 ** (size_class / rule.per_doubling))
+
+
+def size_classes(n: int, rule: Rule = Rule()) -> list[int]:
+    """The classes of the sizes from n up to the largest that a set of n may link to."""
+    own = rule.per_doubling * (n.bit_length() - 1)
+    while class_start(own + 1, rule) <= n:
+        own += 1
+    listed = [own]
+    while 100 * n >= rule.percent * class_start(listed[-1] + 1, rule):
+        listed.append(listed[-1] + 1)
+    return listed
+
+
+def fragments(size_class: int, rule: Rule = Rule()) -> tuple[int, int]:
+    """(fragments, slack) for the sets of a class (see ``class_start``).
+
+    Sets of sizes a and b link when they differ in at most (a + b) * (100 - percent) /
+    (100 + percent) n-grams.
     """
-    largest = 2 ** (size_class + 1) - 1
-    differ = 2 * largest * (100 - PERCENT) // (100 + PERCENT)
+    largest = class_start(size_class + 1, rule) - 1
+    differ = 2 * largest * (100 - rule.percent) // (100 + rule.percent)
     slack = differ // 4
     return differ + 1 + slack, slack
 
@@ -72,13 +106,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def ngram_set(hashes: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of the word triples, from the words' hashes."""
+def _factors(count: int) -> list[np.uint64]:
+    """Odd numbers that tell the places in an n-gram apart."""
+    more = _mixed(np.arange(len(_MIX), max(count, len(_MIX)), dtype=np.uint64)) | np.uint64(1)
+    return [*_MIX, *more][:count]
+
+
+def ngram_set(hashes: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams of ``size`` words, from the words' hashes."""
     n = len(hashes)
-    if n < 3:
-        whole = sum((h * m for h, m in zip(hashes, _MIX, strict=False)), np.uint64(n))
+    if n < size:
+        whole = sum((h * m for h, m in zip(hashes, _factors(n), strict=True)), np.uint64(n))
         return _mixed(np.array([whole], np.uint64)) if n else hashes
-    return np.unique(_mixed(hashes[:-2] * _MIX[0] + hashes[1:-1] * _MIX[1] + hashes[2:] * _MIX[2]))
+    return np.unique(_mixed(sum(hashes[i : n - size + 1 + i] * m for i, m in enumerate(_factors(size)))))
 
 
 _BOUNDS: dict[int, np.ndarray] = {}
@@ -91,21 +131,21 @@ def _bounds(count: int) -> np.ndarray:
     return _BOUNDS[count]
 
 
-def _keys(found: np.ndarray, sums: np.ndarray, size_class: int) -> np.ndarray:
+def _keys(found: np.ndarray, sums: np.ndarray, size_class: int, rule: Rule) -> np.ndarray:
     """A hash of the set's part in each fragment of a class."""
-    count, _ = fragments(size_class)
+    count, _ = fragments(size_class, rule)
     at = np.append(np.searchsorted(found, _bounds(count)), len(found))
     part = sums[at[1:]] - sums[at[:-1]]
     return _mixed(part + _mixed(np.arange(count, dtype=np.uint64) + np.uint64(size_class << 32)))
 
 
-def _sets(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+def _sets(batch: pa.RecordBatch, column: int, rule: Rule) -> Iterator[np.ndarray]:
     lists = batch.column(column)
     offsets = lists.offsets.to_numpy()
     values = lists.values.to_numpy().view(np.uint64)
     with np.errstate(over="ignore"):
         for i in range(batch.num_rows):
-            yield ngram_set(values[offsets[i] : offsets[i + 1]])
+            yield ngram_set(values[offsets[i] : offsets[i + 1]], rule.words)
 
 
 def _identity(found: np.ndarray) -> int:
@@ -114,50 +154,57 @@ def _identity(found: np.ndarray) -> int:
         return int(_mixed(np.array([_mixed(found).sum(dtype=np.uint64) + np.uint64(len(found))]))[0].view(np.int64))
 
 
-def _list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, nodes, classes, keys = [], [], [], []
-        with np.errstate(over="ignore"):
-            for found in _sets(batch, 1):
-                n = len(found)
-                sizes.append(n)
-                nodes.append(_identity(found) if n else 0)
-                own = n.bit_length() - 1
-                listed = [own] if n else []
-                if n and 100 * n >= PERCENT * 2 ** (own + 1):
-                    listed.append(own + 1)
-                sums = np.append(np.uint64(0), np.cumsum(_mixed(found), dtype=np.uint64)) if n else None
-                classes.append(listed)
-                keys.append([_keys(found, sums, c).view(np.int64) for c in listed])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array(nodes, pa.int64()),
-                pa.array(classes, pa.list_(pa.int32())),
-                pa.array(keys, pa.list_(pa.list_(pa.int64()))),
-            ],
-            names=["doc_id", "n", "node", "classes", "keys"],
-        )
-
-
-def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_keys(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The size, identity and listings of each set, beside the row's id and text hash."""
+
+    def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, nodes, classes, keys = [], [], [], []
+            with np.errstate(over="ignore"):
+                for found in _sets(batch, 2, rule):
+                    n = len(found)
+                    sizes.append(n)
+                    nodes.append(_identity(found) if n else 0)
+                    listed = size_classes(n, rule) if n else []
+                    sums = np.append(np.uint64(0), np.cumsum(_mixed(found), dtype=np.uint64)) if n else None
+                    classes.append(listed)
+                    keys.append([_keys(found, sums, c, rule).view(np.int64) for c in listed])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(nodes, pa.int64()),
+                    pa.array(classes, pa.list_(pa.int32())),
+                    pa.array(keys, pa.list_(pa.list_(pa.int64()))),
+                ],
+                names=["doc_id", "said", "n", "node", "classes", "keys"],
+            )
+
+    return list_all
+
+
+def _cut_sets(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The parts of each set in the counting fragments."""
     bounds = _bounds(PARTS)
-    for batch in batches:
-        nodes, parts, values = [], [], []
-        for wanted, found in zip(batch.column(0).to_pylist(), _sets(batch, 1), strict=True):
-            if len(found) and _identity(found) == wanted:
-                at = np.append(np.searchsorted(found, bounds), len(found))
-                for part in range(PARTS):
-                    if at[part + 1] > at[part]:
-                        nodes.append(wanted)
-                        parts.append(part)
-                        values.append(found[at[part] : at[part + 1]].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.array(values, pa.list_(pa.int64()))],
-            names=["node", "part", "grams"],
-        )
+
+    def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, parts, values = [], [], []
+            for wanted, found in zip(batch.column(0).to_pylist(), _sets(batch, 1, rule), strict=True):
+                if len(found) and _identity(found) == wanted:
+                    at = np.append(np.searchsorted(found, bounds), len(found))
+                    for part in range(PARTS):
+                        if at[part + 1] > at[part]:
+                            nodes.append(wanted)
+                            parts.append(part)
+                            values.append(found[at[part] : at[part + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.array(values, pa.list_(pa.int64()))],
+                names=["node", "part", "grams"],
+            )
+
+    return cut_all
 
 
 def _hashes() -> Column:
@@ -165,7 +212,12 @@ def _hashes() -> Column:
     return F.transform(found, lambda w: F.xxhash64(w)).alias("hashes")
 
 
-def _suspects(prints: DataFrame) -> DataFrame:
+def _said() -> Column:
+    """A hash of a row's text, by which rows of one id are told apart."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def _suspects(prints: DataFrame, rule: Rule) -> DataFrame:
     """Nodes that may link: those with a listing that another set shares, beyond the most
     frequent ones that a set may leave out."""
     listings = prints.select("node", F.explode(F.arrays_zip("classes", "keys")).alias("l")).select(
@@ -174,8 +226,8 @@ def _suspects(prints: DataFrame) -> DataFrame:
     # Copies of one set count into its keys' frequency; any order of keys will do.
     shared = listings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = shared.where("lo <> hi").select("key", "k")
-    differ = F.floor(F.lit(2 * (100 - PERCENT)) * (F.pow(F.lit(2.0), F.col("class") + 1) - 1) / (100 + PERCENT))
-    slack = F.floor(differ / 4).cast("int")
+    slacks = [fragments(c, rule)[1] for c in range(30 * rule.per_doubling)]
+    slack = F.get(F.array(*map(F.lit, slacks)), F.col("class"))
     # A set has a bounded number of listings, by its size.
     by_set = listings.join(shared, "key").groupBy("node", "class").agg(F.collect_set(F.struct("k", "key")).alias("l"))
     kept = F.slice(F.sort_array("l", asc=False), slack + 1, F.greatest(F.size("l") - slack, F.lit(0)))
@@ -184,12 +236,12 @@ def _suspects(prints: DataFrame) -> DataFrame:
     return listed.join(several.select("key"), "key", "left_semi").select("node").distinct()
 
 
-def _least_overlap(sizes: Column) -> Column:
+def _least_overlap(sizes: Column, rule: Rule) -> Column:
     """What two linked sets share at least, given the sum of their sizes."""
-    return F.ceil(F.lit(PERCENT) * sizes / F.lit(float(100 + PERCENT)))
+    return F.ceil(F.lit(rule.percent) * sizes / F.lit(float(100 + rule.percent)))
 
 
-def _listings(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+def _listings(parts: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """key, node, n, at, indexed: the rarest n-grams of the suspects.
 
     N-grams are ordered by how many suspects hold them; ``at`` is the place in a set's
@@ -203,25 +255,25 @@ def _listings(parts: DataFrame, nodes: DataFrame) -> DataFrame:
         F.collect_set(F.struct("k", "key")).alias("l")
     )
     sized = by_set.join(nodes.select("node", "n"), "node").select("node", "n", F.sort_array("l").alias("l"))
-    first = F.col("n") - F.ceil(F.lit(PERCENT) * F.col("n") / 100) + 1 - (F.col("n") - F.size("l"))
+    first = F.col("n") - F.ceil(F.lit(rule.percent) * F.col("n") / 100) + 1 - (F.col("n") - F.size("l"))
     short = F.slice("l", 1, F.greatest(first, F.lit(0)).cast("int"))
     placed = sized.select("node", "n", F.size("l").alias("held"), F.posexplode(short).alias("i", "l")).select(
         F.col("l.key").alias("key"), "node", "n", (F.col("n") - F.col("held") + F.col("i") + 1).alias("at")
     )
-    marked = placed.withColumn("indexed", F.col("at") <= F.col("n") - _least_overlap(2 * F.col("n")) + 1)
+    marked = placed.withColumn("indexed", F.col("at") <= F.col("n") - _least_overlap(2 * F.col("n"), rule) + 1)
     listed = stored(marked, "listings")
     # Listings that can meet no indexed one say nothing: theirs are all too large.
     smallest = listed.where("indexed").groupBy("key").agg(F.min("n").alias("least"))
-    able = (F.lit(100 + PERCENT) * (F.col("n") - F.col("at") + 1)) / float(PERCENT) - F.col("n")
+    able = (F.lit(100 + rule.percent) * (F.col("n") - F.col("at") + 1)) / float(rule.percent) - F.col("n")
     useful = listed.join(smallest, "key").where(F.col("indexed") | (F.col("least") <= able))
     return stored(useful.drop("least"), "listings")
 
 
-def _possible(a: str, b: str) -> Column:
+def _possible(a: str, b: str, rule: Rule) -> Column:
     """Whether a listing of set ``a`` and one of set ``b`` may be the first n-gram of a link."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     most = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at")) + 1
-    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (most >= _least_overlap(na + nb))
+    return (F.col(f"{a}.component") != F.col(f"{b}.component")) & (most >= _least_overlap(na + nb, rule))
 
 
 def _ordered(a: str, b: str) -> list[Column]:
@@ -235,7 +287,7 @@ def _ordered(a: str, b: str) -> list[Column]:
     ]
 
 
-def _linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+def _linked(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the threshold.
 
     One row per pair and fragment; parts repeat where a row repeats, so the maximum of a
@@ -248,10 +300,10 @@ def _linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     each = partial.groupBy("a", "b", "na", "nb", "part").agg(F.max("c").alias("c"))
     total = each.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
     union = F.col("na") + F.col("nb") - F.col("c")
-    return total.where(F.lit(100) * F.col("c") >= F.lit(PERCENT) * union).select("a", "b")
+    return total.where(F.lit(100) * F.col("c") >= F.lit(rule.percent) * union).select("a", "b")
 
 
-def _link_all(listed: DataFrame, parts: DataFrame) -> DataFrame:
+def _link_all(listed: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     """node, component over all links among the listed sets."""
     joined, found = listed.sparkSession.createDataFrame([], "node bigint, component bigint"), True
     for turn in range(STAR_ROUNDS + 1):
@@ -278,12 +330,12 @@ def _link_all(listed: DataFrame, parts: DataFrame) -> DataFrame:
             # Few pairs of different components remain, or stars find no more links.
             open_keys = stored(placed.join(keys.select("key"), "key", "left_semi"), "open")
             small, large = open_keys.where("indexed").alias("x"), open_keys.alias("y")
-            met = small.join(large, (F.col("x.key") == F.col("y.key")) & (F.col("x.n") <= F.col("y.n")) & _possible("x", "y"))
+            met = small.join(large, (F.col("x.key") == F.col("y.key")) & (F.col("x.n") <= F.col("y.n")) & _possible("x", "y", rule))
             pairs = met.select(*_ordered("x", "y"))
         else:
-            led = placed.alias("x").join(keys.select("key", F.col("leader").alias("y")), "key").where(_possible("x", "y"))
+            led = placed.alias("x").join(keys.select("key", F.col("leader").alias("y")), "key").where(_possible("x", "y", rule))
             pairs = led.select(*_ordered("x", "y"))
-        links = stored(_linked(pairs.distinct(), parts), "links")
+        links = stored(_linked(pairs.distinct(), parts, rule), "links")
         found = not links.isEmpty()
         if found:
             known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -293,26 +345,35 @@ def _link_all(listed: DataFrame, parts: DataFrame) -> DataFrame:
     return joined
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of each row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hashes())
-    schema = "doc_id bigint, n bigint, node bigint, classes array<int>, keys array<array<bigint>>"
-    prints = stored(rows.mapInArrow(_list_keys, schema), "prints")
+def _told(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, said (a hash of the text), n_shingles, component_id and keeper of each row.
+
+    keeper: (no id, doc_id, said) of the component's first row; null without n-grams.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _said().alias("said"), _hashes())
+    schema = "doc_id bigint, said bigint, n bigint, node bigint, classes array<int>, keys array<array<bigint>>"
+    prints = stored(rows.mapInArrow(_list_keys(rule), schema), "prints")
     filled = prints.where("n > 0")
-    nodes = stored(filled.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")), "nodes")
-    suspects = _suspects(filled).join(nodes, "node").select("node", F.col("doc").alias("doc_id"))
-    parts = stored(_parts(docs, stored(suspects, "suspects")), "parts")
-    joined = _link_all(_listings(parts, nodes), parts)
-    placed = nodes.join(joined, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    least = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
-    labels = stored(placed.join(least, "component").select("node", "component_id"), "labels")
-    told = prints.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "said")).alias("keeper")
+    nodes = stored(filled.groupBy("node").agg(first, F.max("n").alias("n")), "nodes")
+    suspects = _suspects(filled, rule).join(nodes, "node").select("node", "keeper.doc_id")
+    parts = stored(_parts(docs, stored(suspects, "suspects"), rule), "parts")
+    joined = _link_all(_listings(parts, nodes, rule), parts, rule)
+    placed = nodes.join(joined, "node", "left").select("node", "keeper", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("keeper").alias("keeper"))
+    labels = stored(placed.select("node", "component").join(least, "component").select("node", "keeper"), "labels")
+    told = prints.select("doc_id", "said", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
     found = told.join(labels, "node", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id"))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("keeper.doc_id"))
+    return found.select("doc_id", "said", "n_shingles", own.alias("component_id"), "keeper")
+
+
+def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable by links) of each row."""
+    return _told(docs, rule).select("doc_id", "n_shingles", "component_id")
 
 
-def _parts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
+def _parts(docs: DataFrame, suspects: DataFrame, rule: Rule) -> DataFrame:
     """node, part, grams of one document of each suspect set.
 
     Texts are first dropped by a table of at most 2 ** 18 buckets of suspect ids, so only
@@ -325,11 +386,31 @@ def _parts(docs: DataFrame, suspects: DataFrame) -> DataFrame:
     # Null ids name no row: they are compared as a value.
     same = few["doc_id"].eqNullSafe(suspects["doc_id"])
     rows = few.join(suspects, same).select("node", _hashes())
-    return rows.mapInArrow(_cut_sets, "node bigint, part int, grams array<bigint>")
+    return rows.mapInArrow(_cut_sets(rule), "node bigint, part int, grams array<bigint>")
+
 
+def one_of_each(docs: DataFrame, rule: Rule = Rule(), repeats: bool = True) -> DataFrame:
+    """The first row of each component by id (null last), columns unchanged.
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row with the smallest id of each component, columns unchanged."""
-    found = similar_documents(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = docs.join(stored(found, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return rows
+    Rows are told apart by id and text. repeats: whether rows that repeat the id and the
+    text of the first one stay too. Rows without n-grams all stay.
+    """
+    told = stored(_told(docs, rule).where("keeper is not null"), "told")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "said") == F.col("keeper")
+    named = [F.col("doc_id").alias("_id"), F.col("said").alias("_said")]
+    # Structs compare nulls inside as equal.
+    gone = stored(told.where(~first).select(*named).distinct(), "gone")
+
+    def at(keys: DataFrame, kind: str, rows: DataFrame) -> DataFrame:
+        same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_said"))
+        return rows.join(keys, same, kind)
+
+    rows = docs.select(F.struct("*").alias("_row"), _said().alias("_text"))
+    rows = at(gone, "left_anti", rows)
+    if not repeats:
+        again = told.where(first).groupBy("doc_id", "said").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        again = stored(again.select(*named), "again")
+        if not again.isEmpty():
+            once = at(again, "left_semi", rows).withColumn("_id", F.col("_row.doc_id")).groupBy("_id", "_text")
+            rows = at(again, "left_anti", rows).select("_row").unionAll(once.agg(F.first("_row").alias("_row")).select("_row"))
+    return rows.select("_row.*")

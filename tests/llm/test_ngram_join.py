@@ -84,3 +84,43 @@ def test_components(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {1: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20} | {100 + i: 100 for i in range(41)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_longer_shingles_and_a_lower_percentage_against_all_pairs(spark):
+    texts = dict(enumerate(sample()))
+    rng = np.random.default_rng(5)
+    for n in (30, 90, 150, 330, 450, 700):  # three to eleven in a hundred words substituted
+        base = prose(rng, n)
+        texts |= {len(texts) + i: edited(rng, base, max(1, n * i // 300)) for i in range(8)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCUMENTS)
+    found = ngram_join.similar_documents(docs, ngram_join.Rule(5, 80)).collect()
+    wanted, sizes = jaccard_components(texts, 5, 80)
+    assert wanted != jaccard_components(texts)[0]
+    assert {r.doc_id: r.component_id for r in found} == wanted
+    assert {r.doc_id: r.n_shingles for r in found} == sizes
+
+
+@pytest.mark.parametrize("percent", [50, 80, 89, 95])
+def test_sets_that_may_link_share_a_class(percent):
+    rule = ngram_join.Rule(5, percent)
+    for a in range(1, 400):
+        listed = ngram_join.size_classes(a, rule)
+        for b in range(a, a * 100 // percent + 1):
+            shared = ngram_join.size_classes(b, rule)[0]
+            assert shared in listed
+            count, slack = ngram_join.fragments(shared, rule)
+            assert count - (a + b) * (100 - percent) // (100 + percent) >= 1 + slack
+
+
+def test_one_row_of_each_component(spark):
+    copies = [prose(np.random.default_rng(i), 40) for i in range(4)]
+    rows = [
+        (1, copies[0]), (1, copies[0]), (2, copies[1]), (2, copies[0]), (3, copies[1]), (None, copies[1]),
+        (None, copies[2]), (None, copies[2]), (None, copies[2] + " more"), (None, copies[3]), (4, None), (4, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    kept = ngram_join.one_of_each(docs, ngram_join.Rule(5, 80), repeats=False)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id or 0, r.text or "")) for r in kept.collect())
+    component = min((copies[2], copies[2] + " more"), key=lambda t: t not in [f[1] for f in found])
+    assert found == sorted([(0, component), (0, copies[3]), (1, copies[0]), (2, copies[1]), (4, ""), (4, "")])

@@ -7,7 +7,7 @@ import corpus_pipeline
 from gristmill.llm import packing, quality
 from gristmill.llm.texts import stored
 
-from .helpers import awkward, jaccard_components, leaked, word_list
+from .helpers import DOCUMENTS, awkward, jaccard_components, leaked, word_list
 from .test_mix import fill
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,3 +57,17 @@ def test_awkward_rows_pass_all_stages(spark, empty):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         docs = stored(stage(spark, docs, FOLDER), name)
     assert stored(corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER), "packed").isEmpty() == empty
+
+
+def test_near_copies_share_four_fifths_of_their_five_word_runs(spark):
+    words = [f"w{i}" for i in range(150)]
+    for at in (30, 75, 120):
+        words[at] = f"other{at}"
+    rows = [(1, " ".join(f"w{i}" for i in range(150))), (2, " ".join(words)), (None, " ".join(words))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    kept = corpus_pipeline.near_copies(spark, docs, FOLDER)
+    assert [r.doc_id for r in kept.collect()] == [1]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, FOLDER).collect()}
+    assert kept == set(jaccard_components(texts, 5, 80)[0].values())
