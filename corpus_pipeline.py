@@ -28,8 +28,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of a benchmark item go."""
-    return decontaminate.drop_contaminated(docs, Tables(spark, sf_dir).benchmark)
+    """Rows that hold a passage of a benchmark item go."""
+    return decontaminate.drop_contaminated(docs, Tables(spark, sf_dir).benchmark, by_row=True)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,3 +144,28 @@ def test_urls(spark):
     assert url_rules.judge_urls(pages.limit(0)).count() == 0
     alone = url_rules.judge_urls(pages.where("page_id = 9")).collect()
     assert [r.verdict for r in alone] == ["allow"]
+
+
+def test_short_items_are_found(spark):
+    items = [(n, item(n, 100 * n)) for n in range(1, 13)]
+    rows = [(n, f"x y z {text} u v", "en", "s", 0) for n, text in items]
+    for n, text in items:  # one word substituted
+        for at in range(n):
+            words = text.split()
+            words[at] = "other"
+            rows.append((100 * n + at, "x y z " + " ".join(words) + " u v", "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert all((found[n].item_id, found[n].start_word, found[n].end_word, found[n].matched) == (n, 3, 3 + n, n) for n, _ in items)
+    whole = {100 * n + at for n, _ in items if decontaminate.allowed(n) for at in range(n)}
+    assert set(found) == whole | {n for n, _ in items}
+    assert decontaminate.allowed(13) == 2
+
+
+def test_only_rows_with_a_leak_go(spark):
+    rows = [(None, item(15)), (None, "a clean text"), (1, item(15)), (1, "another clean text"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCUMENTS)
+    benchmark = spark.createDataFrame([(1, item(15))], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(docs, benchmark, by_row=True)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a clean text"), (1, "another clean text"), (2, "")]
