@@ -173,3 +173,99 @@ WITH RECURSIVE split AS (
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id
 FROM sets JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY d) ON d = doc_id
 """
+
+
+def _told(value: str) -> str:
+    """A value as a Merkle leaf hashes it."""
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_told, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+# Unsigned crc32 of the decimal doc_id: a byte, then eight shifts, for each character.
+_CRC = """xor(4294967295, list_reduce([4294967295] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) ELSE xor(a >> 1, (a & 1) * 3988292384) END))"""
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, {_leaf("text")}) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size,
+    coalesce('=' || lang, '') AS tree, doc_id, {_leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS claim
+  FROM documents),
+nodes AS (
+  SELECT 0 AS level, tree, pos, size, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT level + 1, tree, pos // 8, (size + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes
+  WHERE size > 1 GROUP BY level, tree, pos // 8, size),
+tops AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS size FROM nodes WHERE size = 1),
+upper AS (
+  SELECT 0 AS level, pos, size, subroot AS digest FROM tops
+  UNION ALL
+  SELECT level + 1, pos // 8, (size + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM upper
+  WHERE size > 1 GROUP BY level, pos // 8, size),
+all_nodes AS (
+  SELECT tree, level, pos, size, digest FROM nodes
+  UNION ALL
+  SELECT NULL, 100 + level, pos, size, digest FROM upper),
+sides AS (
+  SELECT *, coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(digest, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING), '') AS after
+  FROM all_nodes WHERE size > 1),
+steps AS (
+  SELECT l.tree, l.pos, s.level, s.before, s.after FROM leaves l JOIN sides s ON s.tree = l.tree AND s.pos = l.pos // CAST(8 ** s.level AS BIGINT)
+  UNION ALL
+  SELECT l.tree, l.pos, s.level, s.before, s.after FROM leaves l JOIN tops t ON t.tree = l.tree
+  JOIN sides s ON s.tree IS NULL AND s.pos = t.pos // CAST(8 ** (s.level - 100) AS BIGINT)),
+paths AS (
+  SELECT tree, pos, list([before, after] ORDER BY level) AS path, string_agg(before || after, '' ORDER BY level) AS proof
+  FROM steps GROUP BY tree, pos),
+folds AS (
+  SELECT l.tree, l.pos, 1 AS k, coalesce(claim, leaf) AS digest, path FROM leaves l LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos
+  UNION ALL
+  SELECT tree, pos, k + 1, sha256(path[k][1] || digest || path[k][2]), path FROM folds WHERE k <= len(path)),
+folded AS (SELECT tree, pos, digest FROM folds WHERE k = coalesce(len(path), 0) + 1)
+SELECT l.doc_id, l.leaf, t.subroot, r.digest AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.digest AS folded_root,
+  f.digest = r.digest AS verified
+FROM leaves l JOIN tops t ON t.tree = l.tree JOIN (SELECT digest FROM upper WHERE size = 1) r ON true
+JOIN folded f ON f.tree = l.tree AND f.pos = l.pos LEFT JOIN paths p ON p.tree = l.tree AND p.pos = l.pos
+"""
+
+
+def clusters_sql(k: int = 16, dims: int = 64, rounds: int = 3, scale: int = 64, seed: int = 1) -> str:
+    """Rounds of assignment to the nearest of k centroids, as one query."""
+    distance = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM kept QUALIFY j < {k})""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} AS (
+  SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT r, j, {distance} AS d FROM kept, c{i}) GROUP BY r)"""
+        )
+        if i < rounds:
+            # The floor of sum / count: // cuts towards zero.
+            parts.append(
+                f"""m{i} AS (
+  SELECT j, list(CAST(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END AS HUGEINT) ORDER BY dim) AS c FROM (
+    SELECT j, dim, CAST(sum(x) AS HUGEINT) AS s, count(*) AS n FROM (
+      SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM kept JOIN a{i} USING (r)) GROUP BY j, dim) GROUP BY j),
+c{i + 1} AS (SELECT j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (j))"""
+            )
+    return (
+        "WITH "
+        + ", ".join(parts)
+        + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (j)"""
+    )
+
+
+CLUSTERS = clusters_sql()

@@ -8,7 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gristmill.llm import decontaminate, licenses, lm_score, mix, ngram_join, oracles, packing, quality, token_rollup, toxicity, url_rules
+from gristmill.llm import (
+    bisectors,
+    decontaminate,
+    licenses,
+    lm_score,
+    merkle,
+    mix,
+    ngram_join,
+    oracles,
+    packing,
+    quality,
+    token_rollup,
+    toxicity,
+    transducer,
+    url_rules,
+)
 from gristmill.llm.texts import stored
 from gristmill.scratch import new_folder
 from gristmill.suite.registry import Tables
@@ -111,6 +126,21 @@ def op3(t: Tables) -> DataFrame:
     return ngram_join.similar_documents(t.documents)
 
 
+@query("op11_merkle_manifest", oracles.MERKLE)
+def op11(t: Tables) -> DataFrame:
+    return merkle.tamper_report(t.documents)
+
+
+@query("op12_bisector_clusters", oracles.CLUSTERS)
+def op12(t: Tables) -> DataFrame:
+    return bisectors.cluster_report(t.embeddings)
+
+
+@query("op13_bpe_coding")
+def op13(t: Tables) -> DataFrame:
+    return transducer.coding_report(t.documents)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(t: Tables) -> DataFrame:
     return corpus_pipeline.run(t.spark, t.folder)

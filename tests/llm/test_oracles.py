@@ -13,7 +13,7 @@ def test_query(spark, name):
     if ORACLE[name] is None:
         pytest.skip("no SQL form")
     base = duckdb.connect()
-    for table in "documents pages labels benchmark".split():
+    for table in "documents pages labels benchmark embeddings".split():
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     frame = QUERIES[name](spark, FOLDER)
     cursor = base.execute(ORACLE[name])
@@ -24,6 +24,6 @@ def test_query(spark, name):
 
 
 def test_names():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert len([name for name in QUERIES if name.startswith(f"op{n}_")]) == 1
     assert "pipeline" in QUERIES
