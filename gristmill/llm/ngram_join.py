@@ -12,7 +12,14 @@ its part in every fragment. The number of fragments goes by classes of the set s
 powers of two; of their square root below 90 per cent, where more fragments would be
 empty); sets are also listed in each next class that holds sets they may link to.
 
-*Candidates.* Of its listings a set may leave out the ``slack`` most frequent: two similar
+*Prefixes.* Below 90 per cent a set would have nearly as many fragments as n-grams. There
+it is listed under the first n-grams of the order instead: of n n-grams, two linked sets
+share at least ``m = ceil(n * percent / 100)``, so the first k that they share are among the
+first ``n - m + k`` of either. k is a tenth of the set (``SPARE``) and one more. A set that shares fewer
+than k of its listed n-grams with others links to none; the rest are suspects. So a
+passage that many documents quote makes suspects only of those of which it is a large part.
+
+*Candidates.* In fragments, of its listings a set may leave out the ``slack`` most frequent: two similar
 sets still share their least frequent common one. That removes fragments which hold only
 a passage that many documents quote. The sets that still share a listing are suspects;
 among them the n-grams themselves are ordered by frequency, and a set is listed under its
@@ -52,6 +59,9 @@ WORDS = 3
 PERCENT = 90
 PARTS = 8  # fragments in which overlaps are counted
 STAR_ROUNDS = 8
+FRAGMENTED = 90  # per cent, from which suspects are found by fragments
+SPARE = 10  # of so many n-grams of a set, one more is listed in its prefix
+PRUNINGS = 2  # how often sets that share too few listed n-grams are left out
 # Star rounds end where the pairs left are at most so many per listing.
 ALL_PAIRS = 8
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -64,6 +74,12 @@ class Rule:
     words: int = WORDS
     percent: int = PERCENT
 
+    def prefix(self, n: int) -> tuple[int, int]:
+        """(listed, shared): how many of its n-grams a set of n is listed under, and how many
+        of these it shares at least with any set it links to."""
+        least = -(-n * self.percent // 100)
+        return min(n, n - least + 1 + n // SPARE), min(least, 1 + least // SPARE)
+
     @property
     def per_doubling(self) -> int:
         """Size classes from a set size to its double."""
@@ -155,7 +171,10 @@ def _identity(found: np.ndarray) -> int:
 
 
 def _list_keys(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The size, identity and listings of each set, beside the row's id and text hash."""
+    """The size, identity and listings of each set, beside the row's id and text hash.
+
+    classes: the size classes of the listings; of a prefix, how many must be shared.
+    """
 
     def list_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +184,11 @@ def _list_keys(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     n = len(found)
                     sizes.append(n)
                     nodes.append(_identity(found) if n else 0)
+                    if n and rule.percent < FRAGMENTED:
+                        listed, shared = rule.prefix(n)
+                        classes.append([shared])
+                        keys.append([found[:listed].view(np.int64)])
+                        continue
                     listed = size_classes(n, rule) if n else []
                     sums = np.append(np.uint64(0), np.cumsum(_mixed(found), dtype=np.uint64)) if n else None
                     classes.append(listed)
@@ -217,12 +241,30 @@ def _said() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def _suspects(prints: DataFrame, rule: Rule) -> DataFrame:
+def _prefix_suspects(listings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes that share enough n-grams of their prefixes with other sets.
+
+    listings: node, class (how many must be shared), key, repeated for each of the node's
+    copies.
+    """
+    shared = F.col("lo") != F.col("hi")
+    for _ in range(PRUNINGS):
+        both = listings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(shared).select("key")
+        met = listings.join(both, "key").groupBy("node", "class").agg(F.count(F.lit(1)).alias("k"))
+        enough = met.join(nodes.select("node", "copies"), "node").where("k >= class * copies")
+        found = stored(enough.select("node"), "suspects")
+        listings = listings.join(found, "node", "left_semi")
+    return found
+
+
+def _suspects(prints: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Nodes that may link: those with a listing that another set shares, beyond the most
     frequent ones that a set may leave out."""
     listings = prints.select("node", F.explode(F.arrays_zip("classes", "keys")).alias("l")).select(
         "node", F.col("l.classes").alias("class"), F.explode("l.keys").alias("key")
     )
+    if rule.percent < FRAGMENTED:
+        return _prefix_suspects(listings, nodes)
     # Copies of one set count into its keys' frequency; any order of keys will do.
     shared = listings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = shared.where("lo <> hi").select("key", "k")
@@ -355,8 +397,8 @@ def _told(docs: DataFrame, rule: Rule) -> DataFrame:
     prints = stored(rows.mapInArrow(_list_keys(rule), schema), "prints")
     filled = prints.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "said")).alias("keeper")
-    nodes = stored(filled.groupBy("node").agg(first, F.max("n").alias("n")), "nodes")
-    suspects = _suspects(filled, rule).join(nodes, "node").select("node", "keeper.doc_id")
+    nodes = stored(filled.groupBy("node").agg(first, F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
+    suspects = _suspects(filled, nodes, rule).join(nodes, "node").select("node", "keeper.doc_id")
     parts = stored(_parts(docs, stored(suspects, "suspects"), rule), "parts")
     joined = _link_all(_listings(parts, nodes, rule), parts, rule)
     placed = nodes.join(joined, "node", "left").select("node", "keeper", F.coalesce("component", "node").alias("component"))

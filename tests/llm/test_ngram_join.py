@@ -124,3 +124,21 @@ def test_one_row_of_each_component(spark):
     found = sorted(((r.doc_id or 0, r.text or "")) for r in kept.collect())
     component = min((copies[2], copies[2] + " more"), key=lambda t: t not in [f[1] for f in found])
     assert found == sorted([(0, component), (0, copies[3]), (1, copies[0]), (2, copies[1]), (4, ""), (4, "")])
+
+
+@pytest.mark.parametrize("percent", [50, 80, 89])
+def test_linked_sets_share_enough_of_their_prefixes(percent):
+    rule = ngram_join.Rule(5, percent)
+    rng = np.random.default_rng(percent)
+    for _ in range(3000):
+        a, b = rng.integers(1, 120, 2)
+        least = -(-percent * (int(a) + int(b)) // (100 + percent))
+        if least > min(a, b):
+            continue
+        # Common n-grams at random places of both orders, the worst being the last ones.
+        both = int(rng.integers(least, min(a, b) + 1))
+        late = rng.random() < 0.5
+        places = [np.arange(n - both, n) if late else np.sort(rng.choice(n, both, replace=False)) for n in (a, b)]
+        (listed_a, needs_a), (listed_b, needs_b) = rule.prefix(int(a)), rule.prefix(int(b))
+        shared = int(((places[0] < listed_a) & (places[1] < listed_b)).sum())
+        assert shared >= max(needs_a, needs_b)

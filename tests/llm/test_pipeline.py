@@ -29,7 +29,7 @@ def test_stages(spark):
         if name == "quality_rules":
             assert set(after) == {i for i in before if report[i]}
         if name == "near_copies":
-            assert set(after) == set(jaccard_components({i: r.text for i, r in before.items()})[0].values())
+            assert set(after) == set(jaccard_components({i: r.text for i, r in before.items()}, 5, 80)[0].values())
         if name == "benchmark_leaks":
             assert set(after) == {i for i, r in before.items() if not leaked(r.text, items)}
         if name == "source_mix":
