@@ -6,7 +6,6 @@ where ``attach`` is null for an ordinary step.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +39,6 @@ ATTACH_SOURCES = {
     "tools": ("tool", "mcp"),
     "agents": ("agent",),
 }
-SMALL_GRAPH_EDGES = 50_000
-
 
 def _with_types(nodes: DataFrame, edges: DataFrame, skew: Skew) -> DataFrame:
     """Edges with the type of both ends; null where the node is missing."""
@@ -141,84 +138,84 @@ def graph_issues(nodes: DataFrame, edges: DataFrame, skew: Skew = DEFAULT) -> Da
     return result
 
 
-def _solver():
-    """A function of one small graph, self-contained so that it travels to any executor.
+def _kinds(nodes: DataFrame, links: DataFrame, skew: Skew) -> DataFrame:
+    """The open nodes with what a round does with them.
 
-    A node's depth is the round in which its last parent has been taken away.
+    ``done``: nothing open leads into the node, or it is known to have no depth; ``single``:
+    all its links come from one node, ``parent``, that is not done; else ``open``.
     """
-
-    def depths(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parents = pdf["target"].value_counts().to_dict()
-        children = pdf.groupby("source")["target"].agg(list).to_dict()
-        level, depth, found = [n for n in children if n not in parents], 0, []
-        while level:
-            found += [(key[0], node, depth) for node in level]
-            freed = []
-            for child in (c for node in level for c in children.get(node, ())):
-                parents[child] -= 1
-                if not parents[child]:
-                    freed.append(child)
-            level, depth = freed, depth + 1
-        return pd.DataFrame(found, columns=["graph_id", "node_id", "depth"])
-
-    return depths
-
-
-def _peel(edges: DataFrame, rounds_per_checkpoint: int = 4) -> DataFrame:
-    """Distributed peeling for graphs too large for one task."""
-    schema = edges.schema
-    names = edges.select("graph_id", F.col("source").alias("node_id")).unionByName(
-        edges.select("graph_id", F.col("target").alias("node_id"))
-    ).distinct()
-    left, open_edges, found, depth = cut_lineage(names), cut_lineage(edges), [], 0
-    heavy = heavy_keys(open_edges, ["graph_id", "source"])
-    while not left.isEmpty():
-        waiting = open_edges.select("graph_id", F.col("target").alias("node_id")).distinct()
-        level = left.join(waiting, ["graph_id", "node_id"], "left_anti")
-        level = cut_lineage(level.withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        found.append(level)
-        gone = level.select("graph_id", "node_id")
-        left = left.join(gone, ["graph_id", "node_id"], "left_anti")
-        closed = gone.withColumnRenamed("node_id", "source")
-        open_edges = skew_join(
-            open_edges, closed, ["graph_id", "source"], "left_anti", heavy=heavy
-        ).select(*schema.names)
-        if depth % rounds_per_checkpoint == rounds_per_checkpoint - 1:
-            left, open_edges = cut_lineage(left), cut_lineage(open_edges)
-        depth += 1
-    result = names.withColumn("depth", F.lit(0)).limit(0)
-    for level in found:
-        result = result.unionByName(level)
-    return result
+    into = links.groupBy("graph_id", F.col("target").alias("node_id")).agg(
+        F.min("source").alias("parent"), F.max("source").alias("_last"), F.max("steps").alias("from_parent")
+    )
+    found = nodes.join(into, ["graph_id", "node_id"], "left")
+    own = (F.col("parent") == F.col("node_id")) & (F.col("_last") == F.col("node_id"))
+    closed = F.col("closed") | F.coalesce(own, F.lit(False))
+    kind = F.when(closed | F.col("parent").isNull(), "done").when(F.col("parent") == F.col("_last"), "single").otherwise("open")
+    told = cut_lineage(
+        found.select("graph_id", "node_id", "size", "depth", closed.alias("closed"), "parent", "from_parent", kind.alias("kind"))
+    )
+    gone = told.where("kind = 'done'").select("graph_id", F.col("node_id").alias("parent"), F.lit(True).alias("gone"))
+    single = told.where("kind = 'single'")
+    held = skew_join(single, gone, ["graph_id", "parent"], "left", skew, heavy=heavy_keys(single, ["graph_id", "parent"], skew))
+    waiting = held.withColumn("kind", F.when(F.col("gone"), "open").otherwise("single")).select(*told.columns)
+    return told.where("kind <> 'single'").unionByName(waiting)
 
 
-def graph_depth(edges: DataFrame, small: int = SMALL_GRAPH_EDGES) -> DataFrame:
+def graph_depth(edges: DataFrame, skew: Skew = DEFAULT) -> DataFrame:
     """Longest-path depth per node; nodes on or behind a cycle have none (null).
 
-    Graphs of at most ``small`` edges are solved whole, many per task. Larger ones are
-    peeled level by level over the whole cluster.
+    A link counts the steps between its ends; at first each edge is one of one step. In a
+    round, all links of nodes that nothing leads into hand on depths and go. A node whose
+    links come from one parent only is passed over at the same time: its links start at the
+    parent instead and count the steps to it. So chains, trees and branches that meet again
+    shrink to half their length, a graph of them ends after a logarithmic number of rounds,
+    and the number of links never grows. A link of as many steps as its graph has nodes has
+    gone round a cycle. What no round can change is on or behind cycles.
     """
     steps = edges.select("graph_id", "source", "target").distinct()
-    sizes = steps.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_edges"))
-    sized = skew_join(steps, sizes, ["graph_id"], heavy=heavy_keys(edges, ["graph_id"]))
-    kind = {f.name: f.dataType.simpleString() for f in steps.schema}
-    schema = f"graph_id {kind['graph_id']}, node_id {kind['source']}, depth int"
-    depths = (
-        sized.filter(F.col("_edges") <= small)
-        .drop("_edges")
-        .groupBy("graph_id")
-        .applyInPandas(_solver(), schema)
-    )
-    large = sizes.filter(F.col("_edges") > small)
-    if not large.isEmpty():
-        heavy = sized.filter(F.col("_edges") > small).drop("_edges")
-        depths = depths.unionByName(_peel(heavy).withColumn("depth", F.col("depth").cast("int")))
     names = steps.select("graph_id", F.col("source").alias("node_id")).unionByName(
         steps.select("graph_id", F.col("target").alias("node_id"))
     ).distinct()
-    return names.join(depths, ["graph_id", "node_id"], "left")
+    sizes = names.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size"))
+    sized = skew_join(names, sizes, ["graph_id"], heavy=heavy_keys(edges, ["graph_id"], skew))
+    nodes = sized.select("graph_id", "node_id", "size", F.lit(0).cast("long").alias("depth"), F.lit(False).alias("closed"))
+    links = cut_lineage(steps.withColumn("steps", F.lit(1).cast("long")))
+    done = []
+    while True:
+        state = cut_lineage(_kinds(nodes, links, skew))
+        counts = {row["kind"]: row["count"] for row in state.groupBy("kind").count().collect()}
+        if counts.get("done"):
+            ended = state.where("kind = 'done'")
+            done.append(ended.select("graph_id", "node_id", F.when(~F.col("closed"), F.col("depth")).alias("depth")))
+        if not counts.get("done") and not counts.get("single"):
+            break
+        source = state.select("graph_id", F.col("node_id").alias("source"), "size", "depth", "closed", "parent", "from_parent", "kind")
+        heavy = heavy_keys(links, ["graph_id", "source"], skew)
+        # Links whose source went as closed are dropped with it.
+        moved = cut_lineage(skew_join(links, source, ["graph_id", "source"], "inner", skew, heavy=heavy))
+        if not counts.get("done") and moved.where("kind = 'single'").isEmpty():
+            break
+        passed = F.col("kind") == "single"
+        length = F.when(passed, F.col("steps") + F.col("from_parent")).otherwise(F.col("steps"))
+        given = moved.where("kind <> 'open'").groupBy("graph_id", F.col("target").alias("node_id")).agg(
+            F.max(F.col("depth") + F.col("steps")).alias("given"),
+            F.bool_or(F.col("closed") | (passed & (length >= F.col("size")))).alias("ends"),
+        )
+        links = moved.where("kind <> 'done'").select(
+            "graph_id", F.when(passed, F.col("parent")).otherwise(F.col("source")).alias("source"), "target", length.alias("steps")
+        )
+        left = state.where("kind <> 'done'").select("graph_id", "node_id", "size", "depth", "closed")
+        nodes = left.join(given, ["graph_id", "node_id"], "left").select(
+            "graph_id",
+            "node_id",
+            "size",
+            F.greatest("depth", "given").alias("depth"),
+            F.coalesce("ends", F.lit(False)).alias("closed"),
+        )
+    result = state.where("kind <> 'done'").select("graph_id", "node_id", F.lit(None).cast("long").alias("depth"))
+    for part in done:
+        result = result.unionByName(part)
+    return result.withColumn("depth", F.col("depth").cast("int"))
 
 
 def iterate_until(df: DataFrame, step, done: Column | None = None, max_rounds: int = 5) -> DataFrame:

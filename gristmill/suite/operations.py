@@ -197,53 +197,91 @@ def _(t: Tables):
 
 # ---- graphs, derived from part
 
-GRAPH_NODES = """SELECT p_partkey // 20 AS graph_id, p_partkey AS node_id,
-    CASE WHEN p_partkey % 20 = 0 THEN 'trigger' WHEN p_partkey % 53 = 0 THEN 'mystery' WHEN p_partkey % 31 = 0 THEN 'model' ELSE 'tool' END AS type FROM part"""
+PART_TYPES = """CASE WHEN p_partkey % 20 = 0 THEN 'trigger' WHEN p_partkey % 53 = 0 THEN 'mystery' WHEN p_partkey % 31 = 0 THEN 'model'
+        WHEN p_partkey % 13 = 0 THEN 'memory' WHEN p_partkey % 11 = 0 THEN 'flow' WHEN p_partkey % 7 = 0 THEN 'agent' ELSE 'tool' END"""
+GRAPH_NODES = f"SELECT p_partkey // 20 AS graph_id, p_partkey AS node_id, {PART_TYPES} AS type FROM part"
 GRAPH_STEPS = """SELECT p_partkey // 20 AS graph_id, p_partkey AS source, p_partkey + 1 AS target FROM part WHERE p_partkey % 20 <> 19 AND (SELECT max(p_partkey) FROM part) > p_partkey
     UNION ALL SELECT p_partkey // 20, p_partkey, p_partkey + 3 FROM part WHERE p_partkey % 4 = 0 AND p_partkey % 20 <= 16 AND (SELECT max(p_partkey) FROM part) >= p_partkey + 3
     UNION ALL SELECT p_partkey // 20, p_partkey, p_partkey + 100000000 FROM part WHERE p_partkey % 97 = 0
-    UNION ALL SELECT p_partkey // 20, p_partkey, p_partkey - p_partkey % 20 FROM part WHERE p_partkey % 89 = 0"""
+    UNION ALL SELECT p_partkey // 20, p_partkey, p_partkey - p_partkey % 20 FROM part WHERE p_partkey % 89 = 0
+    UNION ALL SELECT p_partkey // 20, p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 67 = 0 AND p_partkey % 20 >= 3"""
+# (which parts, source, target, kind), each an offset from the part.
+ATTACHED = [
+    ("p_partkey % 31 = 0", 0, 1, "model"),
+    ("p_partkey % 13 = 0", 0, 1, "memory"),
+    ("p_partkey % 7 = 0 AND p_partkey % 20 <> 0", -1, 0, "tools"),
+    ("p_partkey % 21 = 0 AND p_partkey % 20 >= 2", -2, 0, "model"),
+    ("p_partkey % 17 = 0", 0, 1, "gadget"),
+    ("p_partkey % 11 = 0 AND p_partkey % 20 <> 0", -1, 0, "agents"),
+    ("p_partkey % 11 = 0 AND p_partkey % 20 < 13", 7, 0, "agents"),
+    ("p_partkey % 14 = 0 AND p_partkey % 20 <= 17", 1, 0, "memory"),
+    ("p_partkey % 14 = 0 AND p_partkey % 20 <= 17", 2, 0, "memory"),
+    # An end of the line that takes part in no step but this attachment.
+    ("p_partkey % 60 = 41", 200000000, 0, "tools"),
+]
+GRAPH_ATTACHED = " UNION ALL ".join(
+    f"SELECT p_partkey // 20 AS graph_id, p_partkey + {source} AS source, p_partkey + {target} AS target, '{kind}' AS attach FROM part WHERE {which}"
+    for which, source, target, kind in ATTACHED
+)
 
 
 def graph_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Chains of 20 parts with shortcuts, wrong types, lost ends, duplicates, back edges."""
+    """Chains of 20 parts with shortcuts, wrong types, lost ends, duplicates, edges back to
+    the start or to a part in between, and attachments, fitting and not."""
     nodes = t.part.selectExpr(
         "p_partkey div 20 AS graph_id",
         "p_partkey AS node_id",
-        "CASE WHEN p_partkey % 20 = 0 THEN 'trigger' WHEN p_partkey % 53 = 0 THEN 'mystery' WHEN p_partkey % 31 = 0 THEN 'model' ELSE 'tool' END AS type",
+        f"{PART_TYPES} AS type",
         "explode(CASE WHEN p_partkey % 101 = 0 THEN array(1, 2) ELSE array(1) END) AS copy",
     ).drop("copy")
-    last = t.part.agg(F.max("p_partkey")).scalar()
-    key = F.col("p_partkey")
+    parts = t.part.select("p_partkey", t.part.agg(F.max("p_partkey")).scalar().alias("last"))
+    key, last = F.col("p_partkey"), F.col("last")
     place = key % 20
-    targets = F.array(
-        F.when((place != 19) & (key < last), key + 1),
-        F.when((key % 4 == 0) & (place <= 16) & (key + 3 <= last), key + 3),
-        F.when(key % 97 == 0, key + 100_000_000),
-        F.when(key % 89 == 0, key - place),
-    )
-    edges = t.part.select(
-        F.floor(key / 20).alias("graph_id"),
-        key.alias("source"),
-        F.explode(targets).alias("target"),
-        F.lit(None).cast("string").alias("attach"),
+
+    def end(test: Column, target: Column, source: Column = key, attach: str | None = None) -> Column:
+        return F.when(test, F.struct(source.alias("source"), target.alias("target"), F.lit(attach).cast("string").alias("attach")))
+
+    ends = F.array(
+        end((place != 19) & (key < last), key + 1),
+        end((key % 4 == 0) & (place <= 16) & (key + 3 <= last), key + 3),
+        end(key % 97 == 0, key + 100_000_000),
+        end(key % 89 == 0, key - place),
+        end((key % 67 == 0) & (place >= 3), key - 3),
+        *[end(F.expr(which), key + target, key + source, kind) for which, source, target, kind in ATTACHED],
     )
-    return nodes, edges.filter(F.col("target").isNotNull())
+    listed = parts.select(F.floor(key / 20).alias("graph_id"), F.explode(ends).alias("e"))
+    return nodes, listed.where("e IS NOT NULL").select("graph_id", "e.*")
 
 
 @query(
     "graph_issues",
-    f"""WITH n AS ({GRAPH_NODES}), e AS ({GRAPH_STEPS}), k AS (SELECT DISTINCT * FROM n),
-    typed AS (SELECT e.*, s.type AS st, d.type AS dt FROM e LEFT JOIN k s ON s.node_id = e.source LEFT JOIN k d ON d.node_id = e.target),
-    dup AS (SELECT p_partkey AS node_id FROM part WHERE p_partkey % 101 = 0)
-    SELECT graph_id, 'duplicate_node' AS issue, CAST(n.node_id AS VARCHAR) AS node_id FROM n JOIN dup USING (node_id)
-    UNION ALL SELECT graph_id, 'unknown_type', CAST(n.node_id AS VARCHAR) FROM n LEFT JOIN (SELECT * FROM dup UNION ALL SELECT * FROM dup) d USING (node_id) WHERE type = 'mystery'
+    f"""WITH once AS ({GRAPH_NODES}), dup AS (SELECT * FROM once WHERE node_id % 101 = 0), n AS (SELECT * FROM once UNION ALL SELECT * FROM dup),
+    e AS (SELECT *, NULL AS attach FROM ({GRAPH_STEPS}) UNION ALL {GRAPH_ATTACHED}),
+    typed AS (SELECT e.*, s.type AS st, d.type AS dt, coalesce(attach IN ('model', 'memory', 'tools', 'agents'), false) AS known,
+        CASE WHEN attach = 'agents' THEN 'flow' ELSE 'agent' END AS wanted,
+        coalesce((attach = 'model' AND s.type = 'model') OR (attach = 'memory' AND s.type = 'memory')
+            OR (attach = 'tools' AND s.type IN ('tool', 'mcp')) OR (attach = 'agents' AND s.type = 'agent'), false) AS fits
+        FROM e LEFT JOIN once s ON s.graph_id = e.graph_id AND s.node_id = e.source
+        LEFT JOIN once d ON d.graph_id = e.graph_id AND d.node_id = e.target),
+    flow AS (SELECT * FROM once o WHERE type NOT IN ('model', 'memory')
+        AND NOT EXISTS (SELECT 1 FROM e WHERE attach IS NOT NULL AND e.graph_id = o.graph_id AND e.source = o.node_id))
+    SELECT graph_id, 'duplicate_node' AS issue, CAST(node_id AS VARCHAR) AS node_id FROM dup
+    UNION ALL SELECT graph_id, 'unknown_type', CAST(node_id AS VARCHAR) FROM n WHERE type = 'mystery'
+    UNION ALL SELECT graph_id, 'missing_node', CAST(source AS VARCHAR) FROM typed WHERE st IS NULL
     UNION ALL SELECT graph_id, 'missing_node', CAST(target AS VARCHAR) FROM typed WHERE dt IS NULL
-    UNION ALL SELECT graph_id, 'edge_into_trigger', CAST(target AS VARCHAR) FROM typed WHERE dt = 'trigger'
-    UNION ALL SELECT graph_id, 'capability_in_flow', CAST(source AS VARCHAR) FROM typed WHERE st = 'model'
-    UNION ALL SELECT graph_id, 'capability_in_flow', CAST(target AS VARCHAR) FROM typed WHERE dt = 'model'
-    UNION ALL SELECT graph_id, 'no_entry_point', NULL FROM k WHERE type <> 'model' GROUP BY graph_id
-        HAVING NOT bool_or(node_id NOT IN (SELECT target FROM e))""",
+    UNION ALL SELECT graph_id, 'edge_into_trigger', CAST(target AS VARCHAR) FROM typed WHERE attach IS NULL AND dt = 'trigger'
+    UNION ALL SELECT graph_id, 'unknown_attachment', CAST(target AS VARCHAR) FROM typed WHERE attach IS NOT NULL AND NOT known
+    UNION ALL SELECT graph_id, 'attachment_target', CAST(target AS VARCHAR) FROM typed WHERE known AND coalesce(dt, '') <> wanted
+    UNION ALL SELECT graph_id, 'attachment_source', CAST(source AS VARCHAR) FROM typed WHERE known AND NOT fits
+    UNION ALL SELECT graph_id, 'capability_in_flow', CAST(source AS VARCHAR) FROM typed WHERE attach IS NULL AND st IN ('model', 'memory')
+    UNION ALL SELECT graph_id, 'capability_in_flow', CAST(target AS VARCHAR) FROM typed WHERE attach IS NULL AND dt IN ('model', 'memory')
+    UNION ALL SELECT graph_id, 'repeated_attachment', CAST(target AS VARCHAR) FROM e WHERE attach IN ('model', 'memory')
+        GROUP BY graph_id, target, attach HAVING count(*) > 1
+    UNION ALL SELECT graph_id, 'attached_in_flow', CAST(node_id AS VARCHAR) FROM once o WHERE type NOT IN ('model', 'memory')
+        AND EXISTS (SELECT 1 FROM e WHERE attach IS NOT NULL AND e.graph_id = o.graph_id AND e.source = o.node_id)
+        AND EXISTS (SELECT 1 FROM e WHERE attach IS NULL AND e.graph_id = o.graph_id AND (e.source = o.node_id OR e.target = o.node_id))
+    UNION ALL SELECT graph_id, 'no_entry_point', NULL FROM flow GROUP BY graph_id
+        HAVING NOT bool_or(NOT EXISTS (SELECT 1 FROM e WHERE attach IS NULL AND e.graph_id = flow.graph_id AND e.target = flow.node_id))""",
 )
 def _(t: Tables):
     nodes, edges = graph_tables(t)
@@ -252,19 +290,23 @@ def _(t: Tables):
 
 @query(
     "graph_depth",
-    f"""WITH RECURSIVE e AS (SELECT * FROM ({GRAPH_STEPS}) WHERE target >= source),
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({GRAPH_STEPS})),
     names AS (SELECT graph_id, source AS node_id FROM e UNION SELECT graph_id, target FROM e),
+    reach(graph_id, node_id, later) AS (
+        SELECT graph_id, source, target FROM e
+        UNION SELECT reach.graph_id, reach.node_id, e.target FROM reach JOIN e ON e.graph_id = reach.graph_id AND e.source = reach.later),
+    circle AS (SELECT graph_id, node_id FROM reach WHERE node_id = later),
+    never AS (SELECT graph_id, node_id FROM circle UNION SELECT graph_id, later FROM reach JOIN circle USING (graph_id, node_id)),
     walk(graph_id, node_id, depth) AS (
-        SELECT graph_id, node_id, 0 FROM names WHERE node_id NOT IN (SELECT target FROM e WHERE target <> source)
-        UNION SELECT e.graph_id, e.target, depth + 1 FROM walk JOIN e ON e.source = walk.node_id AND e.target <> e.source),
-    cyc AS (SELECT DISTINCT source AS node_id FROM e WHERE source = target)
-    SELECT graph_id, node_id, CASE WHEN node_id >= (SELECT min(c.node_id) FROM cyc c WHERE c.node_id // 20 = walk.graph_id) THEN NULL ELSE CAST(max(depth) AS INTEGER) END AS depth
-    FROM walk GROUP BY graph_id, node_id""",
+        SELECT graph_id, node_id, 0 FROM names WHERE (graph_id, node_id) NOT IN (SELECT (graph_id, target) FROM e)
+        UNION SELECT e.graph_id, e.target, depth + 1 FROM walk JOIN e ON e.graph_id = walk.graph_id AND e.source = walk.node_id
+        WHERE (e.graph_id, e.target) NOT IN (SELECT (graph_id, node_id) FROM never))
+    SELECT graph_id, node_id, CAST(max(depth) AS INTEGER) AS depth FROM names LEFT JOIN walk USING (graph_id, node_id) GROUP BY graph_id, node_id""",
 )
 def _(t: Tables):
-    # Back edges are left out except those of a node onto itself, which close a cycle.
+    # Attachments are no steps.
     _, edges = graph_tables(t)
-    return graph.graph_depth(edges.filter(F.col("target") >= F.col("source")))
+    return graph.graph_depth(edges.where("attach IS NULL"))
 
 
 @query(

@@ -4,6 +4,8 @@ import time
 from datetime import datetime, timedelta
 
 import pandas as pd
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,13 +116,42 @@ def test_graph_rules(spark):
     }
 
 
-@pytest.mark.parametrize("small", [1000, 0])
-def test_graph_depth(spark, small):
-    edges = spark.createDataFrame(
-        [(1, 1, 2), (1, 2, 3), (1, 1, 3), (1, 3, 4), (2, 1, 2), (2, 2, 3), (2, 3, 2)], "graph_id int, source int, target int"
-    )
-    found = {(r[0], r[1]): r[2] for r in graph.graph_depth(edges, small).select("graph_id", "node_id", "depth").collect()}
-    assert found == {(1, 1): 0, (1, 2): 1, (1, 3): 2, (1, 4): 3, (2, 1): 0, (2, 2): None, (2, 3): None}
+def plain_depths(edges):
+    """Longest paths by taking nodes away level by level; what stays is on or behind cycles."""
+    depth = dict.fromkeys({end for edge in edges for end in edge})
+    left, level = set(edges), 0
+    nodes = set(depth)
+    while ready := {n for n in nodes if not any(target == n for _, target in left)}:
+        depth.update(dict.fromkeys(ready, level))
+        nodes -= ready
+        left = {edge for edge in left if edge[0] not in ready}
+        level += 1
+    return depth
+
+
+def test_graph_depth(spark):
+    chance = random.Random(4)
+    graphs = {
+        1: {(1, 2), (2, 3), (1, 3), (3, 4)},
+        2: {(1, 2), (2, 3), (3, 2)},
+        3: {(1, 1), (1, 2)},
+        4: {(i, i + 1) for i in range(120)},
+        5: {(i, (i + 1) % 7) for i in range(7)} | {(3, 20), (20, 21), (30, 21), (30, 31)},
+        6: {(a, b) for a in range(4) for b in range(4)} | {(3, 9), (9, 10), (10, 11), (40, 41)},
+        7: {(2 * i, 2 * i + 2) for i in range(10)} | {(2 * i, 2 * i + 3) for i in range(10)} | {(2 * i + 1, 2 * i + 2) for i in range(10)},
+        8: {(i // 2, i) for i in range(2, 60)},
+        9: {(0, i) for i in range(1, 200)} | {(i, 500) for i in range(1, 200)},
+    }
+    for key in range(10, 40):
+        n = chance.randint(2, 14)
+        pairs = {(chance.randrange(n), chance.randrange(n)) for _ in range(chance.randint(1, 2 * n))}
+        graphs[key] = {(a, b) if key % 3 == 0 or a < b else (b, a) for a, b in pairs}
+    rows_of = [(g, a, b) for g, edges in graphs.items() for a, b in edges]
+    edges = spark.createDataFrame(rows_of + rows_of[:20], "graph_id int, source int, target int")
+    wanted = {(g, n): depth for g, pairs in graphs.items() for n, depth in plain_depths(pairs).items()}
+    found = graph.graph_depth(edges).select("graph_id", "node_id", "depth").collect()
+    assert len(found) == len(wanted) and {(r[0], r[1]): r[2] for r in found} == wanted
+    assert graph.graph_depth(edges.limit(0)).count() == 0
 
 
 def test_iterate_until(spark):
