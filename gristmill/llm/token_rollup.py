@@ -4,7 +4,9 @@ A batch of changes is summed to one row per source, language and version before
 stored, so a store holds small tables only and totals are sums of sums. A batch is
 written once under its id and counts when its success marker is there: a batch that was
 cut short is written anew, one that is sent again adds nothing. ``compact`` folds the
-batches so far into one table that lists their ids.
+batches so far into one table that lists their ids. Snapshots are numbered, and each is made
+from the one before it and published by a marker that only one writer can create; of two
+compactions at once, the second has no effect.
 
 Changes are rows (op, source, lang, version, tokens, old_tokens):
 
@@ -20,6 +22,7 @@ groups whose documents and tokens are both back at zero are not listed.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,52 +67,63 @@ class TokenRollup:
         found = {name: f"{base}/{name}" for name in self._files.names(base)}
         return {name: path for name, path in found.items() if self._files.exists(f"{path}/_SUCCESS")}
 
-    def _snapshot(self) -> tuple[str | None, set[str]]:
+    def _snapshot(self) -> tuple[int, str | None, set[str]]:
+        """Number and folder of the newest snapshot, and the batches that it holds."""
         tables = self._tables("snapshots")
         if not tables:
-            return None, set()
-        newest = tables[max(tables)]
+            return 0, None, set()
+        name = max(tables)
+        newest = f"{tables[name]}/{self._files.read_text(f'{tables[name]}/_SUCCESS')}"
         folded = self._spark.read.text(f"{newest}/folded")
-        return newest, {row[0] for row in folded.collect()}
+        return int(name), newest, {row[0] for row in folded.collect()}
+
+    def _sum(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self._spark.createDataFrame([], SCHEMA)
+        rows = self._spark.read.schema(SCHEMA).parquet(*paths)
+        sums = rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return sums.where("docs <> 0 or tokens <> 0")
 
     def commit(self, batch: str, rows: DataFrame) -> bool:
         """Add a batch; False if it counts already. Batch ids: letters, digits, ``_.-``."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
             raise ValueError(f"not a batch id: {batch!r}")
-        if batch in self._tables("batches") or batch in self._snapshot()[1]:
+        if batch in self._tables("batches") or batch in self._snapshot()[2]:
             return False
         deltas(rows).write.mode("overwrite").parquet(f"{self._folder}/batches/{batch}")
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens over all batches."""
-        newest, folded = self._snapshot()
-        paths = [path for name, path in self._tables("batches").items() if name not in folded]
-        if newest:
-            paths.append(f"{newest}/totals")
-        if not paths:
-            return self._spark.createDataFrame([], SCHEMA)
-        rows = self._spark.read.schema(SCHEMA).parquet(*paths)
-        sums = rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.where("docs <> 0 or tokens <> 0")
+        # Batches first: one that is folded and removed meanwhile is in the snapshot read later.
+        batches = self._tables("batches")
+        _, newest, folded = self._snapshot()
+        paths = [path for name, path in batches.items() if name not in folded]
+        return self._sum([*paths, f"{newest}/totals"] if newest else paths)
 
     def compact(self) -> int:
-        """Fold all finished batches into a new snapshot; how many it holds.
+        """Fold all finished batches into a new snapshot; how many it holds, or 0 when
+        another compaction was first.
 
-        The snapshot counts from the moment its marker is written, and names what it
-        holds, so readers see each batch once, before and after. Batches that it holds
-        are removed afterwards.
+        The sum is of the very batches that the snapshot names: one that is committed
+        meanwhile stays outside. A snapshot counts from the moment its marker is written, so
+        readers see each batch once, before and after. Batches are removed by the next
+        compaction, when no reader of an older snapshot needs them.
         """
-        folded = self._snapshot()[1]
+        number, newest, folded = self._snapshot()
         batches = self._tables("batches")
-        held = sorted(folded | set(batches))
-        target = f"{self._folder}/snapshots/{len(self._files.names(f'{self._folder}/snapshots')):08d}"
-        self.totals().write.mode("overwrite").parquet(f"{target}/totals")
+        fresh = {name: path for name, path in batches.items() if name not in folded}
+        held = sorted(folded | set(fresh))
+        target = f"{self._folder}/snapshots/{number + 1:08d}"
+        own = uuid.uuid4().hex
+        self._sum([*fresh.values(), *([f"{newest}/totals"] if newest else [])]).write.parquet(f"{target}/{own}/totals")
         names = self._spark.createDataFrame([(name,) for name in held], "value string")
-        names.write.mode("overwrite").text(f"{target}/folded")
-        self._files.write_new(f"{target}/_SUCCESS", "")
-        for path in batches.values():
-            self._files.delete(path)
+        names.write.text(f"{target}/{own}/folded")
+        if not self._files.write_new(f"{target}/_SUCCESS", own):
+            self._files.delete(f"{target}/{own}")
+            return 0
+        for name in set(batches) - set(fresh):
+            self._files.delete(batches[name])
         return len(held)
 
 

@@ -169,3 +169,42 @@ def test_only_rows_with_a_leak_go(spark):
     benchmark = spark.createDataFrame([(1, item(15))], "item_id long, text string")
     kept = decontaminate.drop_contaminated(docs, benchmark, by_row=True)
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, "a clean text"), (1, "another clean text"), (2, "")]
+
+
+def test_a_commit_during_a_compaction_counts_once(spark, monkeypatch):
+    rollup = token_rollup.TokenRollup(spark, new_folder(spark, "test-rollup"))
+    other = token_rollup.TokenRollup(spark, rollup._folder)
+    rollup.commit("one", changes(spark, [("insert", "a", "en", "v1", 5, None)]))
+    plain = token_rollup.TokenRollup._sum
+
+    def late(self, paths):
+        if self is rollup:
+            other.commit("two", changes(spark, [("insert", "a", "en", "v1", 5, None)]))
+        return plain(self, paths)
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "_sum", late)
+    assert rollup.compact() == 1 and totals(other) == [("a", "en", "v1", 2, 10)]
+    assert other.compact() == 2 and totals(other) == [("a", "en", "v1", 2, 10)]
+
+
+def test_of_two_compactions_at_once_one_counts(spark, monkeypatch):
+    rollup = token_rollup.TokenRollup(spark, new_folder(spark, "test-rollup"))
+    other = token_rollup.TokenRollup(spark, rollup._folder)
+    for name in ("one", "two"):
+        rollup.commit(name, changes(spark, [("insert", "a", "en", "v1", 5, None)]))
+    plain, begun = token_rollup.TokenRollup._sum, []
+
+    def overtaken(self, paths):
+        if self is rollup and not begun:
+            begun.append(1)
+            assert other.compact() == 2 and other.compact() == 2
+        return plain(self, paths)
+
+    monkeypatch.setattr(token_rollup.TokenRollup, "_sum", overtaken)
+    try:
+        assert rollup.compact() == 0
+    except Exception as gone:  # the second of the other's compactions removed what this one reads
+        assert "PATH_NOT_FOUND" in str(gone) or "FileNotFound" in str(gone) or "does not exist" in str(gone)
+    monkeypatch.undo()
+    assert totals(rollup) == [("a", "en", "v1", 2, 10)]
+    assert not rollup.commit("one", changes(spark, [("insert", "a", "en", "v1", 5, None)]))
