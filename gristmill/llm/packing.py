@@ -9,6 +9,10 @@ Nothing is shuffled, and a task holds one window (or one longer document) at a t
 A packed row has the id matrix line, cumulative segment lengths and positions that start
 again at each segment, as little-endian binary, with the ids and offsets of its documents.
 
+A run of white space of over 65 536 characters is encoded in parts of that length, since the
+pattern engine cannot take a run of any length at once; the ids of all other texts are those
+of the vocabulary's own encoding, and the text always comes back whole.
+
 Defined results: null and empty texts have no tokens and are in no row; an empty table
 gives no rows; repeated rows are packed as often as they occur; a null doc_id stays null.
 """
@@ -16,6 +20,7 @@ gives no rows; repeated rows are packed as often as they occur; a null doc_id st
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +33,9 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern this vocabulary's merges were made for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space that is encoded at once, in characters.
+SPACE_AT_ONCE = 1 << 16
+_SPACES = re.compile(rf"\s{{{SPACE_AT_ONCE}}}")
 SCHEMA = (
     "shard int, row int, used int, ids binary, cu_seqlens array<int>, positions binary, "
     "doc_ids array<bigint>, doc_starts array<int>"
@@ -59,7 +67,13 @@ class Encoder:
         self._dtype = dtype_for(max(ranks.values(), default=0) + 2)
 
     def ids(self, text: str | None) -> np.ndarray:
-        return np.array(self._encode(text) if text else [], dtype=self._dtype)
+        text, found, at = text or "", [], 0
+        if len(text) > SPACE_AT_ONCE:
+            for run in _SPACES.finditer(text):
+                found += self._encode(text[at : run.end()])
+                at = run.end()
+        found += self._encode(text[at:] if at else text)
+        return np.array(found, dtype=self._dtype)
 
 
 class FreePlaces:

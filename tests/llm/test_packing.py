@@ -66,3 +66,15 @@ def test_round_trip(spark, window):
         ids = [i for start, part in found[:: len(same)] for i in part]
         assert encoding.decode(ids) == (same[0] or "")
     assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\u3000", " \n"])
+@pytest.mark.parametrize("times", [1_000, 1 << 16, 1_000_000, 10_000_000])
+def test_long_white_space(space, times):
+    text = "a" + (space * times)[:times] + "b" + space * 3 + "c"
+    ranks = packing.load_ranks()
+    ids = packing.Encoder(ranks).ids(text).tolist()
+    encoding = packing._encoding(tuple(ranks.items()))
+    assert encoding.decode(ids) == text
+    if times < packing.SPACE_AT_ONCE:
+        assert ids == encoding.encode_ordinary(text)
