@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.functions.values import number_kind, number_of
+from gristmill.sources.records import quoted_records, split_records
 
 WIDE = "decimal(38,0)"
+_PACKED = re.compile(r"\.(gz|bz2|zst|lz4|snappy|deflate)$", re.I)
 _EXTENSION = re.compile(r"\.(csv|json|jsonl|parquet|orc|xml)(\.(gz|bz2|zst))?$", re.I)
 
 
@@ -21,21 +23,25 @@ def read_csv(
 
     A column is BIGINT, DECIMAL(38,0) or DOUBLE when every value is such a number, else
     text. The check reads the whole column, not a sample. Quoted cells may hold line
-    breaks and doubled quotes; a file is then one task, so say ``quoted_breaks=False``
-    for large files whose cells have no line breaks.
+    breaks and doubled quotes; large files are read in splits all the same (see
+    ``records``). ``quoted_breaks=False`` spares the look for such cells. Records end with a
+    line feed, a carriage return before it does not count.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", quoted_breaks)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
+    options = {
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": "true",
+        "ignoreTrailingWhiteSpace": "true",
+        "nullValue": "",
+        "emptyValue": "",
+        "mode": "PERMISSIVE",
+    }
+    records = quoted_records(spark, path) if quoted_breaks and not _PACKED.search(path) else None
+    if records is not None:
+        raw = split_records(records, options)
+    else:
+        # A compressed file has no splits.
+        whole = quoted_breaks and bool(_PACKED.search(path))
+        raw = spark.read.options(**options).options(header=True, multiLine=whole, encoding="UTF-8").csv(path)
     raw = raw.toDF(*[c.removeprefix("\ufeff") for c in raw.columns])
     return type_columns(raw) if typed else raw
 

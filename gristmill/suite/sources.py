@@ -314,3 +314,15 @@ def _(t: Tables):
     url, table, inserted = _loaded(t)
     back = _lower(jdbc.read_query(t.spark, url, f"SELECT P_TYPE, P_SIZE FROM {table}"))
     return aggregate(back, "sum", "p_size", "p_type").withColumn("inserted", F.lit(inserted).cast("long"))
+
+
+@query(
+    "read_csv_breaks",
+    """SELECT doc_id, md5(replace(text, ' ', '')) AS text_md5, lang, source, n_chars FROM documents""",
+)
+def _(t: Tables):
+    """Whole texts with line breaks through CSV files and back, in splits."""
+    folder = new_folder(t.spark, "csv-breaks")
+    t.documents.write.option("header", True).option("escape", '"').csv(folder)
+    back = files.read_csv(t.spark, folder)
+    return back.select("doc_id", F.md5(F.replace("text", F.lit(" "), F.lit(""))).alias("text_md5"), "lang", "source", "n_chars")
