@@ -256,3 +256,11 @@ def test_lookup_join_measures_bytes(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(joins.lookup_join(spark.range(10), wide, ["id"]))
     assert "broadcast" not in plan(joins.lookup_join(spark.range(10), wide, ["id"], max_bytes=50_000))
+
+
+def test_a_range_join_without_bands_has_no_rows(spark):
+    facts = spark.createDataFrame([(1, 2.0)], "k int, v double")
+    bands = spark.createDataFrame([("flat", 1.0, 1.0)], "name string, low double, high double")
+    for some in (bands, bands.limit(0)):
+        found = joins.range_join(facts, some, "v", "low", "high")
+        assert found.columns == ["k", "v", "name", "low", "high"] and found.count() == 0
