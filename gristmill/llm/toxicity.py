@@ -8,10 +8,11 @@ filter), and a logistic layer turns these into a score.
 Training uses at most ``max_docs`` labelled documents per class of at most ``max_words``
 words, chosen by hash of the id; only these are collected. Scoring reads every whole text
 once; since a convolution is linear in the embeddings, each word's share in every filter
-is looked up in one table. Language, source and id are never inputs of a score. They only
-choose the documents trained on (id) and the calibrated threshold (language): beside the
-fixed threshold, ``flagged`` uses one that was best on the training documents of the
-language, and one for all where a language is unknown or has too few of them.
+is looked up in one table. Language, source and id are never inputs of a score. The id
+chooses the documents trained on, and the language the calibrated threshold: beside the
+fixed one, ``flagged`` uses the threshold that is best over all labelled rows of the
+language that may be learnt from, each counted, and one for all languages where a row's
+is unknown or has too few of either class.
 
 Defined results: null, empty and wordless texts get the score of a text without any
 response; labels that are null or whose document is missing are not used, of repeated
@@ -27,15 +28,16 @@ from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.texts import ascii_lower, portions
+from gristmill.llm.texts import ascii_lower, portions, stored
 
 BUCKETS = 1 << 16
 HEAD = 4
 WIDTHS = (1, 2, 3)
 SLOTS = sum(WIDTHS)
+BINS = 1 << 14  # of scores, for the thresholds; a power of two, so edges are exact
 
 
 def _hashed(text: Column) -> list[Column]:
@@ -65,8 +67,6 @@ class Model:
     biases: list[np.ndarray] = field(default_factory=list)
     weights: np.ndarray | None = None
     bias: float = 0.0
-    thresholds: dict[str, float] = field(default_factory=dict)
-    threshold: float = 0.3
 
     def tables(self) -> list[np.ndarray]:
         """For each embedding, a word's share in each slot of each filter."""
@@ -206,32 +206,57 @@ def fit(
     return Model(prior, tables[0], tables[1], filters, biases, weights, float(bias))
 
 
-def _best_threshold(scores: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> float:
-    """The middle of the best F1's gap between scores, classes weighted to the prior."""
-    order = np.argsort(-scores, kind="stable")
-    s, w = scores[order], weights[order]
-    hits = np.cumsum(w * toxic[order])
-    f1 = 2 * hits / (np.cumsum(w) + (weights * toxic).sum())
-    f1[:-1][s[:-1] == s[1:]] = -1  # equal scores are not split
-    best = int(f1.argmax())
-    return float((s[best] + (s[best + 1] if best + 1 < len(s) else 0.0)) / 2)
+def _marked(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of every labelled id, the largest label of repeated ones."""
+    known = labels.where("doc_id is not null and toxic is not null")
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
 
 
-def calibrate(model: Model, words: list, heads: list, toxic: np.ndarray, langs: list, least: int = 20) -> Model:
-    """Set a threshold for each language with ``least`` documents of either class."""
-    if model.weights is None:
-        return model
-    ends = np.cumsum([len(w) for w in words])
-    scores = model.scores(model.tables(), np.concatenate(words), np.concatenate(heads), ends)
-    share = toxic.mean()
-    weights = np.where(toxic == 1, model.prior / share, (1 - model.prior) / (1 - share))
-    model.threshold = _best_threshold(scores, toxic, weights)
-    of = np.array([lang if lang is not None else "" for lang in langs], dtype=object)
-    for lang in sorted({lang for lang in langs if lang is not None}):
-        own = of == lang
-        if min((toxic[own] == 0).sum(), (toxic[own] == 1).sum()) >= least:
-            model.thresholds[lang] = _best_threshold(scores[own], toxic[own], weights[own])
-    return model
+def limits(scored: DataFrame, labels: DataFrame, least: int = 20) -> DataFrame:
+    """lang (null: all languages) and the threshold of the best F1 over every labelled row.
+
+    scored: doc_id, lang and score. Rows are counted by language, label and bin of scores;
+    thresholds are lower edges of bins, of equal ones the highest. A language needs ``least``
+    rows of either class, all languages together one.
+    """
+    edge = F.floor(F.col("score") * BINS)
+    rows = scored.where("doc_id is not null").groupBy("doc_id", "lang", edge.alias("bin")).count()
+    counts = (
+        rows.join(_marked(labels), "doc_id")
+        .groupBy("lang", "bin")
+        .agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("toxic")).alias("hits"))
+    )
+    # The whole, then the language: at most BINS + 1 rows of either.
+    alone = F.when(F.col("lang").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    grouped = (
+        counts.withColumn("own", F.explode(alone))
+        .groupBy("own", F.when(F.col("own"), F.col("lang")).alias("lang"), "bin")
+        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    )
+    group = Window.partitionBy("own", "lang")
+    down = group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = grouped.select(
+        "own",
+        "lang",
+        "bin",
+        F.sum("n").over(down).alias("flagged"),
+        F.sum("hits").over(down).alias("found"),
+        F.sum("n").over(group).alias("n"),
+        F.sum("hits").over(group).alias("hits"),
+    )
+    need = F.when(F.col("own"), least).otherwise(1)
+    enough = summed.where((F.col("hits") >= need) & (F.col("n") - F.col("hits") >= need))
+    f1 = 2 * F.col("found") / (F.col("flagged") + F.col("hits"))
+    best = F.max(F.struct(f1.alias("f1"), "bin"))["bin"]
+    return enough.groupBy("own", "lang").agg((best / BINS).alias("threshold")).select("lang", "threshold")
+
+
+def flag(scored: DataFrame, found: DataFrame, default: float = 0.3) -> DataFrame:
+    """scored with the threshold of each row's language, or that of all, and flagged."""
+    whole = found.where("lang is null").first()  # one row, or none without labels of both classes
+    known = found.where("lang is not null")
+    limit = F.coalesce("threshold", F.lit(whole.threshold if whole else default))
+    return scored.join(known, "lang", "left").withColumn("threshold", limit).withColumn("flagged", F.col("score") >= F.col("threshold"))
 
 
 def train(
@@ -243,9 +268,7 @@ def train(
     **options,
 ) -> Model:
     """A model of ``labels.toxic`` (doc_id, toxic) on the texts of ``docs``."""
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
-        (F.max("toxic") > 0).cast("int").alias("toxic")
-    )
+    marked = _marked(labels)
     shares = {row.toxic: row["count"] for row in marked.groupBy("toxic").count().collect()}
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.0
@@ -253,21 +276,18 @@ def train(
     chosen = [marked.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(max_docs) for c in (0, 1)]
     sample = chosen[0].unionAll(chosen[1])
     # Broadcast: at most 2 * max_docs rows of two numbers.
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(
-        F.max(F.struct("text", "lang")).alias("d")
-    )
-    hashed = found.select("doc_id", "toxic", "d.lang", *_hashed(F.col("d.text")))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
+    hashed = found.select("doc_id", "toxic", *_hashed(F.col("text")))
     rows = hashed.where(F.size("words") <= max_words).orderBy("doc_id").toPandas()
     words = [np.asarray(w, np.int32) for w in rows.words]
     heads = [np.asarray(h, np.int32) for h in rows.heads]
     toxic = rows.toxic.to_numpy(dtype=np.int64)
-    model = fit(words, heads, toxic, prior, seed=seed, **options)
-    return calibrate(model, words, heads, toxic, [x if isinstance(x, str) else None for x in rows.lang])
+    return fit(words, heads, toxic, prior, seed=seed, **options)
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted (score >= cut), threshold of the language and flagged."""
+    """doc_id, lang, score and predicted (score >= cut) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,23 +297,15 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
             words, heads = batch.column(2), batch.column(3)
             ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
             found = model.scores(tables, words.flatten().to_numpy(), heads.flatten().to_numpy(), ends)
-            limits = [model.thresholds.get(lang, model.threshold) for lang in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.float64()), pa.array(limits, pa.float64())],
-                names=["doc_id", "score", "threshold"],
+                [batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "lang", "score"]
             )
 
     hashed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), *_hashed(F.col("text"))
     )
-    scored = hashed.mapInArrow(score_all, "doc_id bigint, score double, threshold double")
-    return scored.select(
-        "doc_id",
-        "score",
-        (F.col("score") >= cut).cast("int").alias("predicted"),
-        "threshold",
-        (F.col("score") >= F.col("threshold")).alias("flagged"),
-    )
+    scored = hashed.mapInArrow(score_all, "doc_id bigint, lang string, score double")
+    return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def held_out() -> Column:
@@ -303,5 +315,7 @@ def held_out() -> Column:
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of every row of ``docs`` by a model that never saw the held-out fold."""
-    model = train(docs, labels.where(~held_out()))
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", "threshold", "flagged")
+    learnt = labels.where(~held_out())
+    scored = stored(score(docs, train(docs, learnt)), "scores")
+    flagged = flag(scored, stored(limits(scored, learnt), "limits"))
+    return flagged.select("doc_id", held_out().alias("held_out"), "score", "predicted", "threshold", "flagged")

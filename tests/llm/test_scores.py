@@ -147,6 +147,31 @@ def test_toxicity_of_awkward_rows(spark):
     assert all(held == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, held in ids.items())
 
 
+def test_thresholds_count_every_labelled_row(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, ["en", "fr", "xx", None][int(rng.integers(0, 4))] if i >= 15 else "rare", float(rng.random())) for i in range(3000)]
+    rows += rows[:500] + [(None, "en", 0.9), (5000, "en", 0.1)]  # repeated rows count again; no id, no label: not
+    labels = [(i, int(score + rng.normal(0, 0.3) > 0.6)) for i, _, score in rows[:3000]] + [(0, None), (7000, 1)]
+    toxic = {i: t for i, t in labels if t is not None}
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, score double")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {r.lang: r.threshold for r in toxicity.limits(scored, marks).collect()}
+
+    def best(lang):
+        own = [(s, toxic[i]) for i, name, s in rows if i in toxic and lang in (None, name)]
+        edges = sorted({math.floor(s * toxicity.BINS) / toxicity.BINS for s, _ in own}, reverse=True)
+        positives = sum(t for _, t in own)
+        f1 = [2 * sum(t for s, t in own if s >= e) / (sum(s >= e for s, _ in own) + positives) for e in edges]
+        return edges[f1.index(max(f1))]
+
+    assert found == {lang: best(lang) for lang in (None, "en", "fr", "xx")}  # "rare" has too few rows of a class
+    flagged = toxicity.flag(scored, toxicity.limits(scored, marks)).collect()
+    assert len(flagged) == len(rows)
+    assert all(r.threshold == found.get(r.lang, found[None]) and r.flagged == (r.score >= r.threshold) for r in flagged)
+    none = toxicity.flag(scored, toxicity.limits(scored, marks.where("toxic = 1")))
+    assert {r.threshold for r in none.collect()} == {0.3}
+
+
 def test_portions_cut_batches_between_rows():
     lists = [[1, 2], [], [3], [4, 5, 6, 7], [8], [], [9, 10, 11]]
     batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.int32()))], names=["i", "l"])
