@@ -4,9 +4,11 @@ A URL becomes a set of tokens: its scheme, the labels of its host and their last
 together, its path segments (numbers as one token) and the names of its query fields.
 FP-growth mines token sets from labelled URLs, the label being one more token; sets of
 at most ``max_tokens`` tokens whose label holds with enough confidence and support become
-rules. A rule is indexed under its least frequent token. Distinct token sets look their
-tokens up in that index, rules whose other tokens are missing fall away, and the best
-rule decides: by confidence, then support, then fewer tokens, then text order.
+rules. Tokens of the same labelled URLs are mined as one item, and URLs of many items are
+projected to parts of them, so a popular long URL costs no more than its sets of that size.
+A rule is indexed under its least frequent item. Distinct token sets look their items up
+in that index, rules whose other items are missing fall away, and the best rule decides:
+by confidence, then support, then fewer tokens, then text order.
 
 Defined results: a null URL, or one without ``://``, has neither host, path nor tokens;
 URLs that no rule fits are allowed; without labelled URLs there are no mined rules;
@@ -15,8 +17,10 @@ repeated rows each get the same verdict.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.texts import ascii_lower, stored
@@ -31,6 +35,7 @@ CURATED = [
 ]
 LABEL = "="
 DEFAULT = "allow"
+WIDE = 12  # items of a transaction, whose 2 ** 12 subsets FP-growth may list
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -78,54 +83,126 @@ def url_tokens() -> Column:
     return F.when(F.col("host") == "", none).otherwise(F.array_sort(F.array_distinct(tokens)))
 
 
+def token_classes(urls: DataFrame, least: int) -> DataFrame:
+    """token, item, n and rank of each token of ``least`` URLs or more.
+
+    Tokens of exactly the same URLs (told by 128 bits of hashes) are one item, named by
+    the first of them. n counts the URLs, rank numbers the items by n. There are at most
+    as many tokens as URLs have on average, divided by the support.
+    """
+    each = urls.groupBy("tokens").count().select(
+        F.explode("tokens").alias("token"),
+        "count",
+        F.xxhash64(F.lit(1), "tokens").alias("a"),
+        F.xxhash64(F.lit(2), "tokens").alias("b"),
+    )
+    told = each.groupBy("token").agg(F.sum("count").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    same = Window.partitionBy("n", "a", "b")
+    named = told.where(F.col("n") >= least).select("token", F.min("token").over(same).alias("item"), "n")
+    return named.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("n"), "item")) - 1)
+
+
+def _combinations(blocks: Column, most: int) -> Column:
+    """All ascending lists of one to ``most`` of the ascending distinct numbers."""
+    found = level = F.transform(blocks, lambda b: F.array(b))
+    for _ in range(most - 1):
+        level = F.flatten(
+            F.transform(level, lambda c: F.transform(F.filter(blocks, lambda b: b > F.element_at(c, -1)), lambda b: F.concat(c, F.array(b))))
+        )
+        found = F.concat(found, level)
+    return found
+
+
+def transactions(urls: DataFrame, classes: DataFrame, max_tokens: int, wide: int = WIDE) -> DataFrame:
+    """items of the projections of each URL in which its sets of up to ``max_tokens`` are mined.
+
+    FP-growth lists every subset of a frequent transaction. Where a URL has more than
+    ``wide`` items, these are dealt to blocks, and a URL is projected to each combination
+    of up to ``max_tokens`` blocks: a set is counted where it has items of every block, so
+    in one projection of each of its URLs. Items carry their combination and their block.
+    """
+    owned = urls.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(classes, "token")
+    held = stored(owned.groupBy("tokens").agg(F.collect_set(F.struct("rank", "item")).alias("held")), "items")
+    widest = held.agg(F.max(F.size("held"))).first()[0] or 0
+    blocks = 1 if widest <= wide else max(max_tokens, math.ceil(widest * max_tokens / wide))
+    dealt = held.select(
+        "tokens", F.transform("held", lambda h: F.struct((h["rank"] % blocks).alias("block"), h["item"].alias("item"))).alias("held")
+    )
+    present = F.array_sort(F.array_distinct(F.transform("held", lambda h: h["block"])))
+    parts = dealt.select("tokens", "held", F.explode(_combinations(present, max_tokens)).alias("part"))
+    tag = F.array_join(F.col("part").cast("array<string>"), ",")
+    items = F.transform(
+        F.filter("held", lambda h: F.array_contains(F.col("part"), h["block"])),
+        lambda h: F.concat(tag, F.lit("|"), h["block"].cast("string"), F.lit("|"), h["item"]),
+    )
+    lists = parts.select("tokens", F.struct(tag.alias("tag"), items.alias("items")).alias("t"))
+    # One row per URL and projection; equal URLs stay separate rows, as their number is the support.
+    label = F.concat(F.col("t.tag"), F.lit("||"), F.lit(LABEL), F.col("verdict"))
+    return urls.join(lists, "tokens").select(F.concat("t.items", F.array(label)).alias("items"))
+
+
 def mine_rules(
-    labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3
-) -> DataFrame:
-    """tokens, verdict, confidence, support and index of each rule.
+    labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 3, wide: int = WIDE
+) -> tuple[DataFrame, DataFrame]:
+    """Rules (needs, verdict, confidence, support, index) over items, and the classes of tokens.
 
     labelled: tokens (distinct, sorted) and verdict. support counts the URLs that have
-    the tokens and the label.
+    the items and the label.
     """
-    items = labelled.where(F.size("tokens") > 0).select(
-        F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items")
-    )
-    if items.isEmpty():
-        schema = "tokens array<string>, verdict string, confidence double, support bigint, index string"
-        return labelled.sparkSession.createDataFrame([], schema)
-    items = stored(items, "urls")
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(items).freqItemsets
-    sets = stored(found.where(F.size("items") <= max_tokens + 1), "itemsets")
-
-    def is_label(item):
-        return F.startswith(item, F.lit(LABEL))
-
-    plain = sets.where(~F.exists("items", is_label)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
-    told = sets.where(F.exists("items", is_label) & (F.size("items") > 1)).select(
-        F.array_sort(F.filter("items", lambda i: ~is_label(i))).alias("tokens"),
-        F.substring(F.filter("items", is_label)[0], len(LABEL) + 1, 1 << 20).alias("verdict"),
-        F.col("freq").alias("support"),
+    spark = labelled.sparkSession
+    urls = stored(labelled.where(F.size("tokens") > 0).select("tokens", "verdict"), "urls")
+    least = max(1, math.ceil(min_support * urls.count()))
+    classes = stored(token_classes(urls, least), "classes")
+    mined = stored(transactions(urls, classes, max_tokens, wide), "transactions")
+    total = mined.count()
+    if not total:
+        return spark.createDataFrame([], "needs array<string>, verdict string, confidence double, support bigint, index string"), classes
+    # Half a row less, so that rounding cannot ask for one row more.
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=1.0).fit(mined).freqItemsets
+    parts = F.transform("items", lambda i: F.split(i, r"\|", 3))
+    sets = found.where(F.size("items") <= max_tokens + 1).select("freq", parts.alias("parts"))
+
+    def is_label(part):
+        return part[1] == ""
+
+    plain_parts = F.filter("parts", lambda p: ~is_label(p))
+    whole = sets.select(
+        "freq",
+        F.array_sort(F.transform(plain_parts, lambda p: p[2])).alias("needs"),
+        F.substring(F.get(F.filter("parts", is_label), 0)[2], len(LABEL) + 1, 1 << 20).alias("verdict"),
+        # Only a set with items of every block of its projection is counted whole.
+        (F.size(F.array_distinct(F.transform(plain_parts, lambda p: p[1]))) == F.size(F.split(F.col("parts")[0][0], ","))).alias("full"),
     )
-    rules = told.join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("n"))
-    kept = rules.where(F.col("confidence") >= min_confidence).select("tokens", "verdict", "confidence", "support")
-    # The index token: the least frequent of a rule, ties by text.
-    single = plain.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("n").alias("common"))
+    counted = stored(whole.where((F.size("needs") > 0) & (F.size("needs") <= max_tokens) & F.col("full")), "itemsets")
+    plain = counted.where("verdict is null").select("needs", F.col("freq").alias("n"))
+    told = counted.where("verdict is not null").select("needs", "verdict", F.col("freq").alias("support"))
+    rules = told.join(plain, "needs").withColumn("confidence", F.col("support") / F.col("n"))
+    kept = rules.where(F.col("confidence") >= min_confidence).select("needs", "verdict", "confidence", "support")
+    # The index item: the least frequent of a rule, ties by text.
+    single = classes.select("item", F.col("n").alias("common")).distinct()
     rarest = (
-        kept.select("*", F.explode("tokens").alias("token"))
-        .join(single, "token")
-        .groupBy("tokens", "verdict", "confidence", "support")
-        .agg(F.min(F.struct("common", "token"))["token"].alias("index"))
+        kept.select("*", F.explode("needs").alias("item"))
+        .join(single, "item")
+        .groupBy("needs", "verdict", "confidence", "support")
+        .agg(F.min(F.struct("common", "item"))["item"].alias("index"))
     )
-    return stored(rarest, "rules")
+    return stored(rarest, "rules"), classes
 
 
-def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens and mined verdict of each token set that a rule fits."""
-    looked_up = sets.select("tokens", F.explode("tokens").alias("index")).join(
-        rules.select(F.col("tokens").alias("needs"), "verdict", "confidence", "support", "index"), "index"
-    )
-    fitting = looked_up.where(F.size(F.array_except("needs", "tokens")) == 0)
+def match_rules(sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """tokens and mined verdict of each token set that a rule fits.
+
+    A set has an item if it has any of its tokens; the first of those stands for it in
+    text order.
+    """
+    own = sets.select("tokens", F.explode("tokens").alias("token")).join(classes, "token")
+    first = own.groupBy("tokens", "item").agg(F.min("token").alias("token"))
+    held = first.groupBy("tokens").agg(F.map_from_entries(F.collect_list(F.struct("item", "token"))).alias("held"))
+    looked_up = held.select("tokens", "held", F.explode(F.map_keys("held")).alias("index")).join(rules, "index")
+    fitting = looked_up.where(F.size(F.array_except("needs", F.map_keys("held"))) == 0)
+    shown = F.array_sort(F.transform("needs", lambda i: F.col("held")[i]))
     best = F.min(
-        F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("needs").alias("k"), "needs", "verdict")
+        F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("needs").alias("k"), shown.alias("needs"), "verdict")
     )
     return fitting.groupBy("tokens").agg(best.alias("best")).select("tokens", F.col("best.verdict").alias("mined"))
 
@@ -139,9 +216,9 @@ def judge_urls(pages: DataFrame, curated: list[tuple[str, str]] = CURATED, **opt
         ),
         "judged",
     )
-    rules = mine_rules(judged.where("told is not null").select("tokens", F.col("told").alias("verdict")), **options)
+    rules, classes = mine_rules(judged.where("told is not null").select("tokens", F.col("told").alias("verdict")), **options)
     open_sets = judged.where("told is null").select("tokens").distinct()
-    mined = stored(match_rules(open_sets, rules), "mined")
+    mined = stored(match_rules(open_sets, rules, classes), "mined")
     found = judged.join(mined, "tokens", "left")
     verdict = F.coalesce("told", "mined", F.lit(DEFAULT)).alias("verdict")
     return found.select("page_id", "host", "path", "rule", verdict)

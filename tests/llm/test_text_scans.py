@@ -1,3 +1,8 @@
+import itertools
+import math
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from gristmill.llm import decontaminate, licenses, token_rollup, url_rules
@@ -146,6 +151,47 @@ def test_urls(spark):
     assert [r.verdict for r in alone] == ["allow"]
 
 
+def best_rules(labelled, open_sets, min_support, min_confidence=0.8, most=3):
+    """The verdict of each open set by every set of up to ``most`` tokens."""
+    told, n = Counter(), Counter()
+    for tokens, verdict in labelled:
+        for k in range(1, most + 1):
+            for needs in itertools.combinations(sorted(tokens), k):
+                told[needs, verdict] += 1
+                n[needs] += 1
+    least = math.ceil(min_support * len(labelled))
+    rules = [(-c / n[s], -c, len(s), s, v) for (s, v), c in told.items() if c >= least and c / n[s] >= min_confidence]
+    fits = {tokens: [r for r in rules if set(r[3]) <= set(tokens)] for tokens in open_sets}
+    return {tokens: min(found)[4] for tokens, found in fits.items() if found}
+
+
+def test_mined_rules_are_those_of_all_token_sets(spark):
+    rng = np.random.default_rng(3)
+    names = [f"p:{x}|{i}" for i, x in enumerate("abcdefghijklmnopq")]
+    pool = [tuple(sorted(set(rng.choice(names, size=int(rng.integers(1, 12)))))) for _ in range(30)]
+    labelled = [(pool[int(rng.integers(0, 20))], "block" if rng.random() < 0.5 else "allow") for _ in range(120)]
+    labelled += [(("p:same", "p:too", "p:zoo"), "block")] * 30
+    open_sets = [*pool, ("p:too",), ("p:a|0", "p:zoo"), ("p:unknown",)]
+    frame = spark.createDataFrame(labelled, "tokens array<string>, verdict string")
+    sets = spark.createDataFrame([(x,) for x in set(open_sets)], "tokens array<string>")
+    expected = best_rules(labelled, open_sets, 0.03, 0.6)
+    assert set(expected.values()) == {"block", "allow"}
+    for wide in (3, 5, 12):
+        rules, classes = url_rules.mine_rules(frame, min_support=0.03, min_confidence=0.6, wide=wide)
+        found = url_rules.match_rules(sets, rules, classes).collect()
+        assert {tuple(r.tokens): r.mined for r in found} == expected
+
+
+def test_popular_long_urls(spark):
+    path = [f"s{i}" for i in range(24)]
+    urls = [f"https://a.example.org/es/{'/'.join(path)}"] * 100
+    urls += [f"https://a.example.org/es/{'/'.join(path[:i] + path[i + 1:])}" for i in range(24) for _ in range(5)]
+    urls += ["https://b.net/s3/s5", "https://b.net/other"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {r.page_id: r.verdict for r in url_rules.judge_urls(pages).collect()}
+    assert len(found) == len(urls) and [found[i] for i in (0, 219, 220, 221)] == ["block", "block", "block", "block"]
+
+
 def test_short_items_are_found(spark):
     items = [(n, item(n, 100 * n)) for n in range(1, 13)]
     rows = [(n, f"x y z {text} u v", "en", "s", 0) for n, text in items]
