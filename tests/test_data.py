@@ -62,6 +62,73 @@ def test_append_widens_columns(spark, store):
     assert rows(found.select("x", "y", "z"), "_id") == [("1", "a", None), ("2.5", None, True), ("word", None, None)]
 
 
+def test_versions_tell_what_they_add(store, sales):
+    name, log = "log", f"{store.root}/log/_versions"
+    for i in range(18):
+        store.append(name, sales.limit(1), batch=("s", i))
+    sizes = {n: len(store._files.read_text(f"{log}/{n:012d}.json")) for n in (2, 15, 16, 17)}
+    assert sizes[15] <= sizes[2] + 8 and sizes[16] > 4 * sizes[15] and sizes[17] < 2 * sizes[2]
+    last = store.version(name)
+    assert (last.number, last.rows, len(last.segments), last.batches) == (18, 18, 18, {"s": 17})
+    assert store.version(name, 9).rows == 9 and len(store.version(name, 9).segments) == 9
+    assert store.read(name).count() == 18
+
+
+def test_compaction_keeps_rows_and_those_added_meanwhile(spark, store, sales, monkeypatch):
+    for i in range(4):
+        store.append("c", sales, batch=("s", i))
+    store.append("c", spark.createDataFrame([("north", 1.5)], "region string, amount double"))
+    before = rows(store.read("c"), "_id")
+    plain = store._publish
+
+    def late(name, version, base=None):
+        if not base:  # the compaction: another writer is first
+            monkeypatch.setattr(store, "_publish", plain)
+            store.append("c", sales.limit(1), batch=("s", 4))
+        return plain(name, version, base)
+
+    monkeypatch.setattr(store, "_publish", late)
+    assert store.compact("c") == 4
+    after = store.read("c")
+    assert rows(after, "_id")[:13] == before and after.count() == 14
+    assert len(store.version("c").segments) == 3 and store.append("c", sales, batch=("s", 4)) == 0
+    old = store.version("c", 5)
+    assert store.vacuum("c") == 0 and len(old.segments) == 5  # all are of the retention time
+    assert store.vacuum("c", older_than=-60) == 4
+    assert rows(store.read("c"), "_id")[:13] == before
+    assert store.append("c", sales) == 3 and store.read("c").count() == 17
+    with pytest.raises(LookupError):
+        store.compact("none")
+    assert store.vacuum("none") == 0
+
+
+def test_a_replaced_dataset_is_not_compacted(store, sales, monkeypatch):
+    store.append("r", sales)
+    store.append("r", sales)
+    stale = store.version("r")
+    store.replace("r", sales.limit(1))
+    current = store.version
+    answers = [stale]
+    monkeypatch.setattr(store, "version", lambda name: answers.pop() if answers else current(name))
+    assert store.compact("r") == 0
+    assert store.read("r").count() == 1
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_a_file_is_published_once(store, links, monkeypatch):
+    from concurrent.futures import ThreadPoolExecutor
+
+    if not links:  # as on other file systems
+        monkeypatch.setattr(type(store._files), "_linked", staticmethod(lambda staged, target: False))
+    path = f"{store.root}/once/{links}.json"
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda i: store._files.write_new(path, f"writer {i}"), range(4)))
+    assert won.count(True) >= 1 and (not links or won.count(True) == 1)
+    assert store._files.write_new(path, "late") is False
+    assert store._files.read_text(path) in [f"writer {i}" for i, w in enumerate(won) if w]
+    assert store._files.names(f"{store.root}/once") == [f"{links}.json"]
+
+
 # ---- aggregates
 
 
