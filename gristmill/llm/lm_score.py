@@ -1,190 +1,263 @@
 """Cross-entropy difference of a target and a background bigram model.
 
-Both models share one vocabulary: words (A-Z lower-cased) hashed to ``VOCABULARY`` entries,
-and bigrams hashed to ``BIGRAMS`` entries. The target model counts the documents marked as
-target, the background model counts all documents; counts cover every word of every text.
-The larger corpus is scaled to the tokens of the smaller, so both models are smoothed
-alike: p(w|u) = (c(u,w) + MU * p(w)) / (c(u) + MU), p(w) = (c(w) + ALPHA) / (N + ALPHA * V).
-
-Counting makes one row per task and entry that occurs; the sums have a fixed number of
-entries, so they fit the driver and are sent to every task at any size of the corpus.
-Scoring is a second pass without a shuffle: a document's score is the mean over its words
-of the target model's loss less the background model's (lower: more like the target). A
-document's own words are taken out of both models first, or else its membership in the
-target corpus would outweigh what it says. Both passes read the same table of entries.
+Both models share one vocabulary: all distinct words of the corpus (A-Z lower-cased). The target
+model counts the documents marked as target, the background model counts all documents;
+counts cover every word of every text and are exact: words and bigrams are told apart by
+63 bits of a hash, and nothing shares a place. The larger corpus is scaled to the tokens of
+the smaller, so both models are smoothed alike: p(w|u) = (c(u,w) + MU * p(w)) / (c(u) + MU),
+p(w) = (c(w) + ALPHA) / (N + ALPHA * V).
+
+A document's score is the mean over its words of the target model's loss less the
+background model's (lower: more like the target). Its own words are taken out of both
+models first, or else its membership in the target corpus would outweigh what it says.
+
+Documents are put into blocks of about ``BLOCK`` words, one row each. A block sends the
+counts of its distinct words and bigrams, its entries, to the parts of the range of hashes;
+a part adds up what all blocks say and answers each with the totals of its own entries, in
+the order in which they came, so answers need no keys. An entry reaches its part once a block,
+however frequent it is, and the number of parts follows the corpus: no task holds more than
+some ``PART`` entries or one block, and nothing of the models passes through the driver but
+five sums.
 
 Defined results: null and wordless texts have n_tokens 0 and null losses; without target
 documents the target model is uniform; marks that are null or match no document count for
-nothing; repeated rows are counted and scored as often as they occur.
+nothing; repeated rows are counted and scored as often as they occur. A text of more than
+``BLOCK`` words is a block of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.texts import ascii_lower, portions, stored, words
 
-VOCABULARY = 1 << 18
-BIGRAMS = 1 << 20
-START = VOCABULARY  # context of a text's first word
+BLOCK = 1 << 19  # words
+PART = 1 << 22  # entries of blocks
 ALPHA = 0.1
 MU = 4.0
-SPACE = VOCABULARY + 1 + BIGRAMS  # entries of a model: words, the start, bigrams
 
+BLOCKS = (
+    "block bigint, n_words bigint, n_texts bigint, target_words bigint, target_texts bigint,"
+    " doc_ids array<bigint>, targets array<int>, sizes array<int>, words array<bigint>, entries array<int>"
+)
+PARTIAL = "part bigint, block bigint, keys array<bigint>, target array<int>, everything array<int>"
+ANSWERS = "part bigint, block bigint, target array<bigint>, everything array<bigint>, n_words bigint"
+SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
-def _entries() -> Column:
-    """The vocabulary entries of a text's words."""
+
+def _hashes() -> Column:
+    """The hashes of a text's words, in order."""
     found = words(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(VOCABULARY)).cast("int")).alias("entries")
+    return F.transform(found, lambda w: F.xxhash64(w)).alias("hashes")
 
 
-def contexts(entries: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The entry before each word; ``START`` for the first of a text."""
-    before = np.empty_like(entries)
-    before[1:] = entries[:-1]
-    before[starts] = START
-    return before
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """A list per pair of neighbours in ``ends``."""
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def bigrams(before: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    mixed = (before.astype(np.uint64) << np.uint64(20)) ^ entries.astype(np.uint64)
-    mixed *= np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(44)).astype(np.int64)
+def word_blocks(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """All rows of ``docs`` in blocks; a block's words are numbered in the order of their hashes.
 
+    marked: doc_id of the target documents.
+    """
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All entries of a batch, where its filled texts start, and which texts these are."""
-    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-    filled = np.flatnonzero(offsets[1:] > offsets[:-1])
-    return column.flatten().to_numpy(), offsets[filled], filled
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for n, rows in enumerate(portions(batches, 2, BLOCK)):
+            column = rows.column(2)
+            sizes = np.diff(column.offsets.to_numpy()).astype(np.int32)
+            distinct, entries = np.unique(column.flatten().to_numpy() | 1, return_inverse=True)
+            targets = rows.column(1).fill_null(0)
+            inside = targets.to_numpy() == 1
+            counts = [sizes.sum(), (sizes > 0).sum(), sizes[inside].sum(), (sizes[inside] > 0).sum()]
+            lists = [targets.to_numpy(), sizes, distinct, entries.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([first + n]), *[pa.array([int(c)], pa.int64()) for c in counts]]
+                + [pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64()))]
+                + [_lists(np.array([0, len(v)]), v) for v in lists],
+                names=[name.strip().split()[0] for name in BLOCKS.split(",")],
+            )
 
+    target = marked.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(1))
+    told = docs.select("doc_id", "text").join(target.hint("merge"), "doc_id", "left")
+    return told.select(F.col("doc_id").cast("long").alias("doc_id"), "target", _hashes()).mapInArrow(gather, BLOCKS)
+
+
+class Block:
+    """The words of some texts, with their contexts and the block's entries by key."""
+
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, entries: np.ndarray) -> None:
+        self.filled = np.flatnonzero(sizes)
+        self.lengths = sizes[self.filled].astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.texts = np.repeat(np.arange(len(self.filled)), self.lengths)
+        before = np.empty(len(entries), np.int64)
+        before[1:] = entries[:-1]
+        before[self.starts] = len(words)  # the start of a text
+        codes, pairs = np.unique(before * (len(words) + 1) + entries, return_inverse=True)
+        unsorted = np.concatenate([words.view(np.uint64), bigram_keys(words, codes)])
+        order = np.argsort(unsorted, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.keys = unsorted[order]
+        self.words = place[entries]
+        self.pairs = place[len(words) + pairs]
+
+    def counts(self, inside: np.ndarray) -> np.ndarray:
+        """How often each entry occurs in the texts that ``inside`` tells."""
+        keep = inside[self.texts]
+        found = np.bincount(self.words[keep], minlength=len(self.keys))
+        return found + np.bincount(self.pairs[keep], minlength=len(self.keys))
+
+    def own(self, places: np.ndarray) -> np.ndarray:
+        """How often the entry of each word occurs in the word's own text."""
+        _, inverse, counts = np.unique(
+            self.texts * np.int64(len(self.keys)) + places, return_inverse=True, return_counts=True
+        )
+        return counts[inverse]
+
+    def losses(self, model: Model, counts: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """-log p of each word given the one before, in a model of the other texts.
 
-def vocabulary_entries(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """doc_id, target (1 or null) and entries of each row of ``docs``.
+        counts: of the block's entries in the model; counted: 1 for each text that they include.
+        """
+        inside, scale = counted[self.texts], model.scale
+        single = (counts[self.words] - self.own(self.words) * inside) * scale
+        pair = (counts[self.pairs] - self.own(self.pairs) * inside) * scale
+        context = np.empty_like(single)
+        context[1:] = single[:-1]
+        context[self.starts] = (model.texts - counted) * scale
+        total = (model.words - self.lengths * counted)[self.texts] * scale
+        alone = (single + ALPHA) / (total + ALPHA * model.vocabulary)
+        return -np.log((pair + MU * alone) / (context + MU))
 
-    marked: doc_id of the target documents.
-    """
-    target = marked.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(1))
-    return docs.select("doc_id", "text").join(target.hint("merge"), "doc_id", "left").select(
-        F.col("doc_id").cast("long").alias("doc_id"), "target", _entries()
+
+def bigram_keys(words: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Keys of bigrams, even; those of words are odd. code: place of the context times (number of
+    words + 1), plus place of the word."""
+    hashes = np.append(words.view(np.uint64), np.uint64(0))
+    mixed = hashes[codes // (len(words) + 1)] * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed = (mixed + hashes[codes % (len(words) + 1)]) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0x94D049BB133111EB)
+    return (mixed ^ (mixed >> np.uint64(31))) & ~np.uint64(1)
+
+
+def _block(rows: pa.RecordBatch | pa.Table, at: int = 0) -> tuple[Block, np.ndarray]:
+    """A row of ``word_blocks`` as a Block, and which of its filled texts are targets."""
+    sizes, words, entries, targets = (
+        rows.column(name)[at].values.to_numpy() for name in ("sizes", "words", "entries", "targets")
     )
+    block = Block(sizes, words, entries)
+    return block, targets[block.filled]
 
 
-def corpus_counts(told: DataFrame) -> np.ndarray:
-    """2 x SPACE counts: of the target documents, and of all."""
+def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
+    """The counts of each block's entries, one row per part that it has entries of."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, SPACE), np.int64)
-        for batch in portions(batches, 1, 1 << 20):
-            entries, starts, filled = _flat(batch.column(1))
-            if not len(filled):
-                continue
-            before = contexts(entries, starts)
-            pairs = bigrams(before, entries) + VOCABULARY + 1
-            lengths = np.diff(np.append(starts, len(entries)))
-            flags = batch.column(0).fill_null(0).to_numpy()[filled] == 1
-            inside = np.repeat(flags, lengths)
-            for row, keep in ((0, inside), (1, slice(None))):
-                totals[row] += np.bincount(entries[keep], minlength=SPACE)
-                totals[row] += np.bincount(pairs[keep], minlength=SPACE)
-            totals[0, START] += flags.sum()
-            totals[1, START] += len(filled)
-        at = np.flatnonzero(totals[1])
-        for part in np.array_split(at, max(1, len(at) // 100_000)):
-            arrays = [part.astype(np.int32), totals[0, part], totals[1, part]]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["entry", "target", "everything"])
-
-    partial = told.select("target", "entries").mapInArrow(count, "entry int, target bigint, everything bigint")
-    # At most SPACE rows, whatever the corpus.
-    sums = partial.groupBy("entry").agg(F.sum("target").alias("target"), F.sum("everything").alias("everything")).toPandas()
-    totals = np.zeros((2, SPACE), np.int64)
-    totals[:, sums.entry.to_numpy(dtype=np.int64)] = sums[["target", "everything"]].to_numpy(dtype=np.int64).T
-    return totals
-
-
-def scales(totals: np.ndarray) -> np.ndarray:
-    """What brings each corpus to the tokens of the smaller one that has any."""
-    tokens = totals[:, :VOCABULARY].sum(axis=1)
-    least = tokens[tokens > 0].min(initial=tokens.max())
-    return least / np.maximum(tokens, 1)
-
-
-def _own(texts: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """How often the place of each word occurs in its own text."""
-    _, inverse, counts = np.unique(texts * np.int64(SPACE) + places, return_inverse=True, return_counts=True)
-    return counts[inverse]
-
-
-class Batch:
-    """The words of some texts: entries, contexts, bigrams, and how often each occurs in
-    its own text."""
-
-    def __init__(self, entries: np.ndarray, starts: np.ndarray) -> None:
-        self.lengths = np.diff(np.append(starts, len(entries)))
-        self.texts = np.repeat(np.arange(len(starts)), self.lengths)
-        self.entries, self.before = entries, contexts(entries, starts)
-        self.pairs = bigrams(self.before, entries) + VOCABULARY + 1
-        self.own = _own(self.texts, entries)
-        self.own_pairs = _own(self.texts, self.pairs)
-        self.own_before = np.empty_like(self.own)
-        self.own_before[1:] = self.own[:-1]
-        self.own_before[starts] = 1
-
-    def losses(self, counts: np.ndarray, scale: float, counted: np.ndarray) -> np.ndarray:
-        """-log p of each word given the one before, in a model of the other texts.
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, targets = _block(batch, at)
+                if not len(block.keys):
+                    continue
+                parts = ((block.keys >> np.uint64(32)) >> np.uint64(32 - bits)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(parts, prepend=-1))
+                ends = np.append(starts, len(parts))
+                counts = [block.counts(targets == 1), block.counts(np.ones(len(targets), bool))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts[starts]), pa.array(np.full(len(starts), batch.column(0)[at].as_py()))]
+                    + [_lists(ends, block.keys.view(np.int64))]
+                    + [_lists(ends, c.astype(np.int32)) for c in counts],
+                    names=["part", "block", "keys", "target", "everything"],
+                )
+
+    return blocks.select("block", "targets", "sizes", "words", "entries").mapInArrow(count, PARTIAL)
+
+
+def total_counts(partial: DataFrame) -> DataFrame:
+    """For each row of ``block_counts`` the totals of its entries, in its order.
+
+    n_words: distinct words of the part, on one of its rows, else 0.
+    """
 
-        counted: 1 for each text that the counts include.
-        """
-        inside = counted[self.texts]
-        total = (counts[:VOCABULARY].sum() - self.lengths[self.texts] * inside) * scale
-        alone = ((counts[self.entries] - self.own * inside) * scale + ALPHA) / (total + ALPHA * VOCABULARY)
-        context = (counts[self.before] - self.own_before * inside) * scale
-        # Bigrams that share a place cannot be more frequent than their context.
-        pair = np.minimum((counts[self.pairs] - self.own_pairs * inside) * scale, context)
-        return -np.log((pair + MU * alone) / (context + MU))
+    def add(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        keys = rows.column("keys").combine_chunks()
+        ends = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+        distinct, inverse = np.unique(keys.flatten().to_numpy(), return_inverse=True)
+        totals = []
+        for name in ("target", "everything"):
+            given = rows.column(name).combine_chunks().flatten().to_numpy()
+            totals.append(np.bincount(inverse, weights=given).astype(np.int64)[inverse])
+        n_words = np.zeros(rows.num_rows, np.int64)
+        n_words[0] = (distinct & 1).sum()
+        return pa.table(
+            [rows.column("part"), rows.column("block"), *[_lists(ends, t) for t in totals], pa.array(n_words)],
+            names=["part", "block", "target", "everything", "n_words"],
+        )
+
+    return partial.groupBy("part").applyInArrow(add, ANSWERS)
 
 
-def score(told: DataFrame, totals: np.ndarray) -> DataFrame:
+@dataclass
+class Model:
+    """What a model has besides its counts; scale brings it to the tokens of the smaller one."""
+
+    words: int
+    texts: int
+    vocabulary: int
+    scale: float
+
+
+def models(sums, vocabulary: int) -> tuple[Model, Model]:
+    tokens = [sums.target_words, sums.n_words]
+    least = min([n for n in tokens if n], default=0)
+    texts = [sums.target_texts, sums.n_texts]
+    target, everything = (Model(n, t, max(vocabulary, 1), least / max(n, 1)) for n, t in zip(tokens, texts))
+    return target, everything
+
+
+def score(blocks: DataFrame, answers: DataFrame, both: tuple[Model, Model]) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of each row."""
-    shared = told.sparkSession.sparkContext.broadcast((totals, scales(totals)))
-
-    def score_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, scale = shared.value
-        for batch in portions(batches, 2, 1 << 20):
-            entries, starts, filled = _flat(batch.column(2))
-            n = np.zeros(batch.num_rows, np.int64)
-            means = np.full((2, batch.num_rows), np.nan)
-            if len(filled):
-                texts = Batch(entries, starts)
-                n[filled] = texts.lengths
-                flags = batch.column(1).fill_null(0).to_numpy()[filled]
-                for row, counted in ((0, flags), (1, np.ones_like(flags))):
-                    each = texts.losses(models[row], scale[row], counted)
-                    means[row, filled] = np.add.reduceat(each, starts) / n[filled]
-            empty = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n),
-                    pa.array(means[0], mask=empty),
-                    pa.array(means[1], mask=empty),
-                    pa.array(means[0] - means[1], mask=empty),
-                ],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-            )
 
-    schema = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
-    return told.mapInArrow(score_all, schema)
+    def score_block(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        n = rows.column("sizes")[0].values.to_numpy().astype(np.int64)
+        means = np.full((2, len(n)), np.nan)
+        block, targets = _block(rows)
+        if len(block.keys):
+            answered = answered.sort_by("part")
+            for row, (name, counted) in enumerate((("target", targets), ("everything", np.ones_like(targets)))):
+                counts = answered.column(name).combine_chunks().flatten().to_numpy()
+                each = block.losses(both[row], counts, counted)
+                means[row, block.filled] = np.add.reduceat(each, block.starts) / block.lengths
+        empty = n == 0
+        found = [means[0], means[1], means[0] - means[1]]
+        return pa.table(
+            [rows.column("doc_ids")[0].values, pa.array(n), *[pa.array(a, mask=empty) for a in found]],
+            names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
+
+    told = blocks.select("block", "doc_ids", "targets", "sizes", "words", "entries").groupBy("block")
+    return told.cogroup(answers.drop("n_words").groupBy("block")).applyInArrow(score_block, SCORES)
 
 
 def cross_entropy_difference(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Score every row of ``docs`` for its likeness to the documents in ``marked``."""
-    told = stored(vocabulary_entries(docs, marked), "entries")
-    return score(told, corpus_counts(told))
+    blocks = stored(word_blocks(docs, marked), "blocks")
+    columns = ("n_words", "n_texts", "target_words", "target_texts")
+    sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
+    # A word has an entry and a bigram at most.
+    bits = min(max(2 * sums.n_words // PART, 0).bit_length(), 32)
+    answers = stored(total_counts(block_counts(blocks, bits)), "counts")
+    vocabulary = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n
+    return score(blocks, answers, models(sums, vocabulary))

@@ -8,30 +8,24 @@ from pyspark.sql import functions as F
 from gristmill.llm import lm_score, toxicity
 from gristmill.llm.texts import portions
 
-from .helpers import DOCUMENTS, awkward, prose
+from .helpers import DOCUMENTS, ascii_lower, awkward, prose, word_list
 
 FOLDER = "/root/testdata/sf0.1"
 
 
-def test_losses_against_plain_counts(spark):
+@pytest.mark.parametrize("block, part", [(1 << 19, 1 << 22), (50, 16), (1, 1)])
+def test_losses_against_plain_counts(spark, monkeypatch, block, part):
+    monkeypatch.setattr(lm_score, "BLOCK", block)
+    monkeypatch.setattr(lm_score, "PART", part)
     rng = np.random.default_rng(4)
     texts = {i: prose(rng, int(rng.integers(1, 40)), 30) for i in range(40)}
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], DOCUMENTS)
     marked = docs.where("doc_id % 3 = 0").select("doc_id")
     found = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, marked).collect()}
-    entry = {
-        r.w: r.e
-        for r in spark.createDataFrame([(f"w{i}",) for i in range(30)], "w string")
-        .select("w", F.pmod(F.xxhash64("w"), F.lit(lm_score.VOCABULARY)).alias("e"))
-        .collect()
-    }
+    vocabulary = len({w for t in texts.values() for w in t.split()})
 
     def pairs(words):
-        ids = [entry[w] for w in words]
-        return list(zip([lm_score.START] + ids[:-1], ids))
-
-    def place(pair):
-        return int(lm_score.bigrams(np.array([pair[0]]), np.array([pair[1]]))[0])
+        return list(zip([None] + words[:-1], words))
 
     def loss(own, corpus, scale):
         """Mean loss of a text in a model of the other texts of a corpus."""
@@ -39,17 +33,16 @@ def test_losses_against_plain_counts(spark):
         for i, text in corpus.items():
             if i == own:
                 continue
-            for before, w in pairs(text.split()):
-                single[w] = single.get(w, 0) + scale
-                pair_counts[place((before, w))] = pair_counts.get(place((before, w)), 0) + scale
+            for pair in pairs(text.split()):
+                single[pair[1]] = single.get(pair[1], 0) + scale
+                pair_counts[pair] = pair_counts.get(pair, 0) + scale
                 total += scale
-            single[lm_score.START] = single.get(lm_score.START, 0) + scale
+            single[None] = single.get(None, 0) + scale
         total_loss, at = 0, pairs(texts[own].split())
         for before, w in at:
-            alone = (single.get(w, 0) + lm_score.ALPHA) / (total + lm_score.ALPHA * lm_score.VOCABULARY)
-            context = single.get(before, 0)
-            pair = min(pair_counts.get(place((before, w)), 0), context)
-            total_loss -= math.log((pair + lm_score.MU * alone) / (context + lm_score.MU))
+            alone = (single.get(w, 0) + lm_score.ALPHA) / (total + lm_score.ALPHA * vocabulary)
+            pair = pair_counts.get((before, w), 0)
+            total_loss -= math.log((pair + lm_score.MU * alone) / (single.get(before, 0) + lm_score.MU))
         return total_loss / len(at)
 
     target = {i: t for i, t in texts.items() if i % 3 == 0}
@@ -62,6 +55,29 @@ def test_losses_against_plain_counts(spark):
         assert r.score == pytest.approx(r.target_loss - r.background_loss)
 
 
+def test_counts_of_many_bigrams_stay_apart(spark, monkeypatch):
+    """Many more bigrams than one part holds: every total is that of its own bigram."""
+    monkeypatch.setattr(lm_score, "BLOCK", 10_000)
+    monkeypatch.setattr(lm_score, "PART", 30_000)
+    rng = np.random.default_rng(5)
+    texts = [prose(rng, 2_000, 100_000) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENTS)
+    blocks = lm_score.word_blocks(docs, docs.where("doc_id < 50")).cache()
+    partial = lm_score.block_counts(blocks, 4).cache()
+    assert partial.select("part").distinct().count() == 16
+    answers = lm_score.total_counts(partial).collect()
+    keys = {(r.part, r.block): r.keys for r in partial.collect()}
+    found = {k: t for r in answers for k, t in zip(keys[r.part, r.block], zip(r.target, r.everything))}
+    plain = {}
+    for i, text in enumerate(texts):
+        its = text.split()
+        for entry in [(w,) for w in its] + list(zip([None] + its[:-1], its)):
+            target, everything = plain.get(entry, (0, 0))
+            plain[entry] = (target + (i < 50), everything + 1)
+    assert len(found) == len(plain) and sorted(found.values()) == sorted(plain.values())
+    assert sum(r.n_words for r in answers) == sum(len(entry) == 1 for entry in plain)
+
+
 def test_scores_of_awkward_rows(spark):
     docs = awkward(spark)
     marked = spark.createDataFrame([(7,), (None,), (99,), (7,)], "doc_id long")
@@ -70,7 +86,8 @@ def test_scores_of_awkward_rows(spark):
     assert all((r.score is None) == (r.n_tokens == 0) for r in found)
     assert {r.n_tokens for r in found if r.doc_id == 7} == {7}
     none = lm_score.cross_entropy_difference(docs, marked.limit(0)).where("n_tokens > 0").first()
-    assert none.target_loss == pytest.approx(math.log(lm_score.VOCABULARY))
+    vocabulary = {w for r in docs.collect() for w in word_list(ascii_lower(r.text))}
+    assert none.target_loss == pytest.approx(math.log(len(vocabulary)))
     assert lm_score.cross_entropy_difference(docs.limit(0), marked).count() == 0
 
 
@@ -179,8 +196,7 @@ def test_portions_cut_batches_between_rows():
         parts = list(portions(iter([batch, batch.slice(2, 3)]), 1, most))
         assert [x for p in parts for x in p.column(1).to_pylist()] == lists + lists[2:5]
         for part in parts:
-            entries, starts, filled = lm_score._flat(part.column(1))
-            assert entries.tolist() == [x for row in part.column(1).to_pylist() for x in row]
+            entries = part.column(1).flatten()
+            assert entries.to_pylist() == [x for row in part.column(1).to_pylist() for x in row]
             assert len(entries) <= most or part.num_rows == 1
-            assert starts.tolist() == [sum(map(len, part.column(1).to_pylist()[:i])) for i in filled]
     assert list(portions(iter([batch.slice(0, 0)]), 1, 3)) == []
