@@ -3,7 +3,9 @@
 Every document is described by counts over its whole text. Per language and source a
 minimum-covariance-determinant estimate (the mean and covariance of the three quarters
 of the documents that lie closest together) is found by concentration steps, and
-documents far from it by Mahalanobis distance are rejected.
+documents far from it by Mahalanobis distance are rejected. Steps go on from three starts
+(medians, modes, and the moments of all documents) until the determinant falls no more; of
+what they reach the smallest determinant counts, the first of equal ones.
 
 All sums are over integers, so the estimates do not depend on the order of the rows.
 A step groups the documents of a group by distance class before it sums, so no group is
@@ -18,6 +20,8 @@ each get the same verdict.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +40,11 @@ CLASSES = 1024
 CHI2_MEDIAN = 4.351
 # Its 0.999999 quantile: about one clean document in a million is rejected by chance.
 CUTOFF = 35.9
+# An estimate: whose it is, where it started, and the logarithm of its determinant.
+OWNER = ["level", "start"]
+ESTIMATE = ["logdet", "mean", "white"]
+# A start has settled once a step lowers the logarithm by no more than this.
+SETTLED = 1e-9
 
 
 def _layers(docs: DataFrame, text: Column, keep: list[Column]) -> DataFrame:
@@ -180,69 +189,97 @@ def _whiten(sums: DataFrame) -> DataFrame:
     white = ", ".join(f"w{i}_{j}" if j <= i else "0D" for i in d for j in d)
     # Each term may use those before it.
     found = sums.selectExpr("*", *[f"{term} as {name}" for name, term in terms.items()])
-    return found.selectExpr(
-        "level", "n as docs", f"array({', '.join(f'm{i}' for i in d)}) as mean", f"array({white}) as white"
-    )
+    logdet = " + ".join(f"2D * ln(l{i}_{i})" for i in d)
+    mean = ", ".join(f"m{i}" for i in d)
+    return found.selectExpr(*OWNER, "n as docs", f"{logdet} as logdet", f"array({mean}) as mean", f"array({white}) as white")
 
 
 def _closest(rows: DataFrame, share: float) -> DataFrame:
-    """Sums over the classes of each level that hold its ``share`` closest documents.
+    """Estimates from the classes of each owner that hold its ``share`` closest documents.
 
-    rows: level, class, x. Whole classes are taken, up to the one that reaches the share.
+    rows: level, start, class, x. Whole classes are taken, up to the one that reaches the share.
     """
-    classes = rows.groupBy("level", "class").agg(F.count(F.lit(1)).alias("k"), *_sums())
-    by_distance = Window.partitionBy("level").orderBy("class")
+    classes = rows.groupBy(*OWNER, "class").agg(F.count(F.lit(1)).alias("k"), *_sums())
+    by_distance = Window.partitionBy(*OWNER).orderBy("class")
     before = F.coalesce(F.sum("k").over(by_distance.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = classes.select(
-        "*", before.alias("before"), F.sum("k").over(Window.partitionBy("level")).alias("n")
+        "*", before.alias("before"), F.sum("k").over(Window.partitionBy(*OWNER)).alias("n")
     ).where(F.col("before") < F.col("n") * share)
     names = [f"s{i}" for i in range(DIMENSIONS)] + [f"s{i}_{j}" for i, j in PAIRS]
     return _whiten(
-        chosen.groupBy("level").agg(
+        chosen.groupBy(*OWNER).agg(
             F.max("n").alias("n"), F.sum("k").alias("taken"), *[F.sum(c).alias(c) for c in names]
         )
     )
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Coordinatewise medians of each level, with the floors as scales."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three starts of each level: coordinatewise medians (0) and modes (1) with the floors as
+    scales, and the mean and covariance of all its documents (2)."""
     values = rows.select("level", F.posexplode("x").alias("i", "v"))
     # Values in classes of 20 thousandths: a bounded number per level and statistic.
     counted = values.groupBy("level", "i", F.floor(F.col("v") / 20).alias("c")).agg(F.count(F.lit(1)).alias("k"))
     along = Window.partitionBy("level", "i").orderBy("c")
     upto = F.sum("k").over(along.rowsBetween(Window.unboundedPreceding, 0))
     middle = (
-        counted.select("level", "i", "c", upto.alias("upto"), F.sum("k").over(Window.partitionBy("level", "i")).alias("n"))
-        .where(F.lit(2) * F.col("upto") >= F.col("n"))
+        counted.select("level", "i", "c", "k", upto.alias("upto"), F.sum("k").over(Window.partitionBy("level", "i")).alias("n"))
         .groupBy("level", "i")
-        .agg((F.min("c") * 20 + 10).cast("double").alias("m"), F.max("n").alias("n"))
+        .agg(
+            F.min(F.when(F.lit(2) * F.col("upto") >= F.col("n"), F.col("c"))).alias("median"),
+            F.min_by("c", F.struct(-F.col("k"), "c")).alias("mode"),
+            F.max("n").alias("docs"),
+        )
     )
     scales = [0.0] * DIMENSIONS**2
     for i, floor in enumerate(FLOORS.values()):
         scales[i * DIMENSIONS + i] = 1.0 / (2 * floor)
-    means = F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-    return middle.groupBy("level").agg(
-        F.max("n").alias("docs"), means.alias("mean"), F.array(*map(F.lit, scales)).alias("white")
+
+    def centre(name: str) -> Column:
+        at = (F.col(name) * 20 + 10).cast("double").alias("m")
+        return F.transform(F.array_sort(F.collect_list(F.struct("i", at))), lambda s: s["m"])
+
+    centres = middle.groupBy("level").agg(F.max("docs").alias("docs"), F.array(centre("median"), centre("mode")).alias("both"))
+    plain = centres.select("level", "docs", F.posexplode("both").alias("start", "mean")).select(
+        *OWNER, "docs", "mean", F.array(*map(F.lit, scales)).alias("white")
     )
+    taken = [F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("taken")]
+    moments = _whiten(rows.groupBy("level", F.lit(2).alias("start")).agg(*taken, *_sums()))
+    # A start is no estimate of a share of the documents: any step is better.
+    return plain.unionByName(moments.drop("logdet")).withColumn("logdet", F.lit(float("inf")))
 
 
-def estimates(counts: DataFrame, share: float = 0.75, steps: int = 6, min_docs: int = 30) -> DataFrame:
+def estimates(counts: DataFrame, share: float = 0.75, steps: int = 100, min_docs: int = 30) -> DataFrame:
     """One estimate per language and source, per language, and over all documents.
 
-    counts: lang, source and the counts of ``document_counts``. Returns level, docs, mean,
+    counts: lang, source and the counts of ``document_counts``. Returns level, docs, logdet, mean,
     white (row-major inverse Cholesky factor, scaled so that the median distance is that
-    of the chi-squared law). Levels with fewer than ``min_docs`` documents have none.
+    of the chi-squared law). Levels with fewer than ``min_docs`` documents have none. Starts
+    settle after a few steps each; ``steps`` is only a bound.
     """
     usable = counts.where(~base_failed()).select(F.explode(_levels()).alias("level"), _vector().alias("x"))
 
     def classed(model: DataFrame) -> DataFrame:
         # Written tables: the planner broadcasts an estimate table only while it is small.
-        joined = usable.join(model.select("level", F.struct("mean", "white").alias("model")), "level")
-        return joined.select("level", "x", _class(_distance(F.col("x"), F.col("model"))).alias("class"))
+        joined = usable.join(model.select(*OWNER, F.struct("mean", "white").alias("model")), "level")
+        return joined.select(*OWNER, "x", _class(_distance(F.col("x"), F.col("model"))).alias("class"))
 
-    model = stored(_start(usable).where(F.col("docs") >= min_docs), "mcd")
+    columns = [*OWNER, "docs", *ESTIMATE]
+    model = stored(_starts(usable).where(F.col("docs") >= min_docs).select(*columns), "mcd")
+    settled = []
     for _ in range(steps):
-        model = stored(_closest(classed(model), share), "mcd")
+        reached = _closest(classed(model), share).select(*OWNER, "docs", F.struct(*ESTIMATE).alias("new"))
+        both = reached.join(model.select(*OWNER, F.struct(*ESTIMATE).alias("old")), OWNER)
+        better = F.when(F.col("new.logdet") < F.col("old.logdet"), F.col("new")).otherwise(F.col("old"))
+        falls = F.col("new.logdet") < F.col("old.logdet") - SETTLED
+        step = stored(both.select(*OWNER, "docs", better.alias("best"), falls.alias("falls")), "mcd")
+        settled.append(step.where("not falls").select(*OWNER, "docs", "best.*"))
+        model = step.where("falls").select(*OWNER, "docs", "best.*")
+        if model.isEmpty():
+            break
+    # One row per level and start.
+    ends = reduce(DataFrame.unionByName, settled, model)
+    chosen = F.min_by(F.struct("start", "docs", *ESTIMATE), F.struct("logdet", "start"))
+    model = stored(ends.groupBy("level").agg(chosen.alias("best")).select("level", "best.*"), "mcd")
     # Consistency: the median distance of a group is brought to that of the law.
     along = Window.partitionBy("level").orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
     counted = classed(model).groupBy("level", "class").agg(F.count(F.lit(1)).alias("k"))
@@ -255,7 +292,7 @@ def estimates(counts: DataFrame, share: float = 0.75, steps: int = 6, min_docs:
     median = F.pow(F.lit(2.0), (F.col("class") + 1) / 24.0) - 1
     scale = F.sqrt(F.lit(CHI2_MEDIAN) / F.greatest(median, F.lit(CHI2_MEDIAN)))
     scaled = model.join(middle, "level").select(
-        "level", "docs", "mean", F.transform("white", lambda w: w * scale).alias("white")
+        "level", "docs", "logdet", "mean", F.transform("white", lambda w: w * scale).alias("white")
     )
     return stored(scaled, "mcd")
 

@@ -25,29 +25,90 @@ def vector(c):
     return [math.floor(v + 0.5) if v >= 0 else -math.floor(-v + 0.5) for v in x]
 
 
-def mcd(x, share=0.75, steps=6):
-    """The same estimate in numpy: (mean, inverse covariance)."""
-    floors = np.array(list(quality.FLOORS.values()), float)
+FLOORS = np.array(list(quality.FLOORS.values()), float)
+
+
+def mcd(x, share=0.75):
+    """The same estimate in numpy: (mean, inverse covariance, logarithm of the determinant)."""
     half = (len(x) + 1) // 2 - 1
-    mean = np.array([np.sort(np.floor(x[:, i] / 20))[half] * 20 + 10 for i in range(5)])
-    inverse = np.diag(1 / (2 * floors) ** 2)
+    binned = np.floor(x / 20).astype(int)
+    medians = np.sort(binned, axis=0)[half] * 20 + 10
+    modes = [min(Counter(column).items(), key=lambda item: (-item[1], item[0]))[0] * 20 + 10 for column in binned.T]
+    plain = np.diag(1 / (2 * FLOORS) ** 2)
+    moments = np.linalg.inv(np.cov(x.T, bias=True) + np.diag(FLOORS**2))
 
-    def classes():
+    def classes(mean, inverse):
         d = np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
         return np.minimum(quality.CLASSES - 1, np.floor(24 * np.log2(1 + d))).astype(int)
 
-    for _ in range(steps):
-        c = classes()
-        kept, reached = np.zeros(len(x), bool), 0
-        for value in sorted(set(c)):
-            if reached >= share * len(x):
+    def concentrate(mean, inverse):
+        least = np.inf
+        while True:
+            c = classes(mean, inverse)
+            kept, reached = np.zeros(len(x), bool), 0
+            for value in sorted(set(c)):
+                if reached >= share * len(x):
+                    break
+                kept |= c == value
+                reached = kept.sum()
+            covariance = np.cov(x[kept].T, bias=True) + np.diag(FLOORS**2)
+            logdet = np.linalg.slogdet(covariance)[1]
+            if logdet >= least - quality.SETTLED:
+                return least, mean, inverse
+            least, mean, inverse = logdet, x[kept].mean(axis=0), np.linalg.inv(covariance)
+
+    starts = [(medians, plain), (np.array(modes), plain), (x.mean(axis=0), moments)]
+    logdet, mean, inverse = min((concentrate(*start) for start in starts), key=lambda found: found[0])
+    middle = 2 ** ((np.sort(classes(mean, inverse))[half] + 1) / 24) - 1
+    return mean, inverse * quality.CHI2_MEDIAN / max(middle, quality.CHI2_MEDIAN), logdet
+
+
+def search(x, rng, share=0.75, starts=300):
+    """An independent search: the smallest determinant from many small random subsets, with exactly
+    ``share`` of the rows after each step. Returns (logdet, rows)."""
+    h = math.ceil(share * len(x))
+    best = (np.inf, None)
+    for _ in range(starts):
+        kept, before = rng.choice(len(x), 6, replace=False), np.inf
+        while True:
+            covariance = np.cov(x[kept].T, bias=True) + np.diag(FLOORS**2)
+            logdet = np.linalg.slogdet(covariance)[1] if len(kept) == h else np.inf
+            if logdet < best[0]:
+                best = (logdet, kept)
+            if logdet >= before - 1e-9 and len(kept) == h:
                 break
-            kept |= c == value
-            reached = kept.sum()
-        mean = x[kept].mean(axis=0)
-        inverse = np.linalg.inv(np.cov(x[kept].T, bias=True) + np.diag(floors**2))
-    middle = 2 ** ((np.sort(classes())[half] + 1) / 24) - 1
-    return mean, inverse * quality.CHI2_MEDIAN / max(middle, quality.CHI2_MEDIAN)
+            before = logdet
+            centred = x - x[kept].mean(axis=0)
+            kept = np.argsort(np.einsum("ij,jk,ik->i", centred, np.linalg.inv(covariance), centred), kind="stable")[:h]
+    return best
+
+
+def test_smallest_determinant_with_a_masked_cluster(spark):
+    """A fifth of the documents lies together off the others: plain moments hide it."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(400):
+        n = int(np.exp(rng.normal(6, 0.8)))
+        n = max(n, 60)
+        odd = i % 5 == 0
+        per_word = rng.normal(9 if odd else 5, 0.3)
+        share = 0.3 + 0.05 * rng.random() if odd else 0.02 * rng.random()
+        rows.append(("en", f"s{i % 2}", n, int(n * per_word), int(n * share), 0, int(n * 0.05 * rng.random())))
+    names = ["lang", "source", *quality.COUNTS]
+    table = spark.createDataFrame(rows, names)
+    found = {r.level: r for r in quality.estimates(table).collect()}
+    assert len(found) == 4
+    kept = [r.kept for r in quality.verdicts(table.coalesce(1), quality.estimates(table)).orderBy("n_words", "word_chars").collect()]
+    by_order = sorted(range(400), key=lambda i: (rows[i][2], rows[i][3]))
+    assert all(k == (i % 5 != 0) for k, i in zip(kept, by_order))
+    for level, its in found.items():
+        x = np.array([vector(r[2:]) for r in rows if not level.startswith("2") or level.endswith(f"={r[1]}")], float)
+        assert its.docs == len(x)
+        assert abs(its.logdet - mcd(x)[2]) < 1e-6
+        logdet, closest = search(x, rng)
+        # Whole classes hold a few documents more than the share.
+        assert its.logdet < logdet + 0.2
+        assert np.abs((np.array(its.mean) - x[closest].mean(axis=0)) / FLOORS).max() < 0.3
 
 
 def sample(spark):
@@ -73,7 +134,7 @@ def test_counts_and_verdicts(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == c
         assert r.base_failed == (i not in usable)
         # The rare source has too few documents and takes its language's estimate.
-        mean, inverse = mcd(x if rows[i][3] == "s" else everything)
+        mean, inverse, _ = mcd(x if rows[i][3] == "s" else everything)
         d = np.array(vector(c)) - mean
         assert abs(r.distance - d @ inverse @ d) < 1e-2 + 1e-6 * r.distance
         assert r.kept == (i in usable and d @ inverse @ d <= quality.CUTOFF)
