@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.texts import ascii_lower, portions, stored, words
 
 BLOCK = 1 << 19  # words
-PART = 1 << 22  # entries of blocks
+PART = 1 << 21  # entries of blocks
 ALPHA = 0.1
 MU = 4.0
 
@@ -47,8 +47,11 @@ BLOCKS = (
     "block bigint, n_words bigint, n_texts bigint, target_words bigint, target_texts bigint,"
     " doc_ids array<bigint>, targets array<int>, sizes array<int>, words array<bigint>, entries array<int>"
 )
-PARTIAL = "part bigint, block bigint, keys array<bigint>, target array<int>, everything array<int>"
-ANSWERS = "part bigint, block bigint, target array<bigint>, everything array<bigint>, n_words bigint"
+# Counts are a byte each; from ``LARGE`` on the byte is ``LARGE`` and the count follows in a list.
+LARGE = 255
+COUNTS = "target binary, target_large array<bigint>, everything binary, everything_large array<bigint>"
+PARTIAL = f"part bigint, block bigint, keys array<bigint>, {COUNTS}"
+ANSWERS = f"part bigint, block bigint, {COUNTS}, n_words bigint"
 SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
 
@@ -63,12 +66,36 @@ def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
+def _packed(ends: np.ndarray, target: np.ndarray, everything: np.ndarray) -> list[pa.Array]:
+    """Arrays for ``COUNTS``, with a row per pair of neighbours in ``ends``."""
+    arrays = []
+    for counts in (target, everything):
+        small = np.minimum(counts, LARGE).astype(np.uint8)
+        large = small == LARGE
+        buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(small)]
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, buffers))
+        before = np.append(0, np.cumsum(large))
+        arrays.append(_lists(before[ends], counts[large].astype(np.int64)))
+    return arrays
+
+
+def unpacked(rows: pa.Table, name: str) -> np.ndarray:
+    """All counts of some rows, ``target`` or ``everything``, in order."""
+    small, large = (rows.column(c).combine_chunks() for c in (name, f"{name}_large"))
+    ends = np.frombuffer(small.buffers()[1], np.int32)[small.offset : small.offset + len(small) + 1]
+    counts = np.frombuffer(small.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.int64)
+    counts[counts == LARGE] = large.flatten().to_numpy()
+    return counts
+
+
 def word_blocks(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """All rows of ``docs`` in blocks; a block's words are numbered in the order of their hashes.
 
     marked: doc_id of the target documents.
     """
 
+    names = [column.split()[0] for column in BLOCKS.split(", ")]
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for n, rows in enumerate(portions(batches, 2, BLOCK)):
@@ -83,7 +110,7 @@ def word_blocks(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 [pa.array([first + n]), *[pa.array([int(c)], pa.int64()) for c in counts]]
                 + [pa.array([rows.column(0).to_pylist()], pa.list_(pa.int64()))]
                 + [_lists(np.array([0, len(v)]), v) for v in lists],
-                names=[name.strip().split()[0] for name in BLOCKS.split(",")],
+                names=names,
             )
 
     target = marked.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(1))
@@ -164,6 +191,8 @@ def _block(rows: pa.RecordBatch | pa.Table, at: int = 0) -> tuple[Block, np.ndar
 def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
     """The counts of each block's entries, one row per part that it has entries of."""
 
+    names = [column.split()[0] for column in COUNTS.split(", ")]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
@@ -173,12 +202,11 @@ def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
                 parts = ((block.keys >> np.uint64(32)) >> np.uint64(32 - bits)).astype(np.int64)
                 starts = np.flatnonzero(np.diff(parts, prepend=-1))
                 ends = np.append(starts, len(parts))
-                counts = [block.counts(targets == 1), block.counts(np.ones(len(targets), bool))]
+                counts = block.counts(targets == 1), block.counts(np.ones(len(targets), bool))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(parts[starts]), pa.array(np.full(len(starts), batch.column(0)[at].as_py()))]
-                    + [_lists(ends, block.keys.view(np.int64))]
-                    + [_lists(ends, c.astype(np.int32)) for c in counts],
-                    names=["part", "block", "keys", "target", "everything"],
+                    + [_lists(ends, block.keys.view(np.int64)), *_packed(ends, *counts)],
+                    names=["part", "block", "keys", *names],
                 )
 
     return blocks.select("block", "targets", "sizes", "words", "entries").mapInArrow(count, PARTIAL)
@@ -190,21 +218,18 @@ def total_counts(partial: DataFrame) -> DataFrame:
     n_words: distinct words of the part, on one of its rows, else 0.
     """
 
+    names = [column.split()[0] for column in ANSWERS.split(", ")]
+
     def add(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
         keys = rows.column("keys").combine_chunks()
         ends = keys.offsets.to_numpy() - keys.offsets[0].as_py()
         distinct, inverse = np.unique(keys.flatten().to_numpy(), return_inverse=True)
-        totals = []
-        for name in ("target", "everything"):
-            given = rows.column(name).combine_chunks().flatten().to_numpy()
-            totals.append(np.bincount(inverse, weights=given).astype(np.int64)[inverse])
+        # Sums of doubles are exact up to 2^53.
+        totals = (np.bincount(inverse, unpacked(rows, c)).astype(np.int64)[inverse] for c in ("target", "everything"))
         n_words = np.zeros(rows.num_rows, np.int64)
         n_words[0] = (distinct & 1).sum()
-        return pa.table(
-            [rows.column("part"), rows.column("block"), *[_lists(ends, t) for t in totals], pa.array(n_words)],
-            names=["part", "block", "target", "everything", "n_words"],
-        )
+        counts = _packed(ends, *totals)
+        return pa.table([rows.column("part"), rows.column("block"), *counts, pa.array(n_words)], names=names)
 
     return partial.groupBy("part").applyInArrow(add, ANSWERS)
 
@@ -237,8 +262,7 @@ def score(blocks: DataFrame, answers: DataFrame, both: tuple[Model, Model]) -> D
         if len(block.keys):
             answered = answered.sort_by("part")
             for row, (name, counted) in enumerate((("target", targets), ("everything", np.ones_like(targets)))):
-                counts = answered.column(name).combine_chunks().flatten().to_numpy()
-                each = block.losses(both[row], counts, counted)
+                each = block.losses(both[row], unpacked(answered, name), counted)
                 means[row, block.filled] = np.add.reduceat(each, block.starts) / block.lengths
         empty = n == 0
         found = [means[0], means[1], means[0] - means[1]]
