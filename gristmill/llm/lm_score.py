@@ -40,6 +40,7 @@ from gristmill.llm.texts import ascii_lower, portions, stored, words
 
 BLOCK = 1 << 19  # words
 PART = 1 << 21  # entries of blocks
+BITS = 1 << 25  # buckets of target ids
 ALPHA = 0.1
 MU = 4.0
 
@@ -88,6 +89,24 @@ def unpacked(rows: pa.Table, name: str) -> np.ndarray:
     return counts
 
 
+def marked_rows(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with ``target``: 1 where ``marked`` has the doc_id, else null.
+
+    Bitmaps of ``BITS`` buckets of ids, some kilobytes a row and 4 MB in all, tell most rows that are not
+    marked, so their texts need not be shuffled to the ids.
+    """
+    target = marked.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(1))
+    bucket = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit(BITS - 1)) + 1
+    at = F.bitmap_bit_position(bucket)
+    maps = target.groupBy(F.bitmap_bucket_number(bucket).alias("_map")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (at % 8).cast("int")), F.lit(0).cast("byte"))
+    mapped = docs.withColumn("_map", F.bitmap_bucket_number(bucket)).join(F.broadcast(stored(maps, "marks")), "_map", "left")
+    near = mapped.where(found == 1).select("doc_id", "text").join(target.hint("merge"), "doc_id", "left")
+    far = mapped.where(found == 0).select("doc_id", "text", F.lit(None).cast("int").alias("target"))
+    return near.unionByName(far)
+
+
 def word_blocks(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """All rows of ``docs`` in blocks; a block's words are numbered in the order of their hashes.
 
@@ -113,8 +132,7 @@ def word_blocks(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 names=names,
             )
 
-    target = marked.where("doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(1))
-    told = docs.select("doc_id", "text").join(target.hint("merge"), "doc_id", "left")
+    told = marked_rows(docs.select("doc_id", "text"), marked)
     return told.select(F.col("doc_id").cast("long").alias("doc_id"), "target", _hashes()).mapInArrow(gather, BLOCKS)
 
 

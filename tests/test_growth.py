@@ -1,6 +1,7 @@
 """Steps whose time, disk or memory grew faster than their input."""
 
 import __spark_entry__ as entry
+from gristmill.llm import lm_score
 
 
 def plan_of(frame) -> str:
@@ -15,3 +16,14 @@ def test_sketches_apart_from_exact_counts(spark, tmp_path):
     # One sketch per distinct value has grouped by the number of the distinct set.
     assert not [line for line in plan_of(counted).splitlines() if "approx_count_distinct" in line and "gid" in line]
     assert sorted(counted.collect(), key=str) == [("A", 7, 40, True, True), (None, 7, 40, True, True)]
+
+
+def test_marks_come_without_a_shuffle_of_most_texts(spark):
+    ids = [*range(-3, 60), 7, 7, None, None, 1 << 62]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(3)
+    marked = spark.createDataFrame([(i,) for i in (-3, 7, 7, 20, 1 << 62, 999, None)], "doc_id long")
+    found = lm_score.marked_rows(docs, marked)
+    wanted = [(i, f"t{i}", 1 if i in (-3, 7, 20, 1 << 62) else None) for i in ids]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
+    # Rows that no bitmap tells stay in the partitions they are read in.
+    assert "Union" in plan_of(found)
