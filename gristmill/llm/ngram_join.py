@@ -49,7 +49,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.components import components
@@ -241,30 +241,32 @@ def _said() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def _prefix_suspects(listings: DataFrame, nodes: DataFrame) -> DataFrame:
+def _prefix_suspects(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nodes that share enough n-grams of their prefixes with other sets.
 
-    listings: node, class (how many must be shared), key, repeated for each of the node's
-    copies.
+    prints: node, classes (how many must be shared) and keys, repeated for each of the
+    node's copies. Listings go to their n-grams once a turn; sets are left out before
+    their listings are made.
     """
-    shared = F.col("lo") != F.col("hi")
+    by_key = Window.partitionBy("key")
     for _ in range(PRUNINGS):
-        both = listings.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where(shared).select("key")
-        met = listings.join(both, "key").groupBy("node", "class").agg(F.count(F.lit(1)).alias("k"))
+        listings = prints.select("node", F.get("classes", F.lit(0)).alias("class"), F.explode(F.get("keys", F.lit(0))).alias("key"))
+        told = listings.select("node", "class", F.min("node").over(by_key).alias("lo"), F.max("node").over(by_key).alias("hi"))
+        met = told.where("lo <> hi").groupBy("node", "class").agg(F.count(F.lit(1)).alias("k"))
         enough = met.join(nodes.select("node", "copies"), "node").where("k >= class * copies")
         found = stored(enough.select("node"), "suspects")
-        listings = listings.join(found, "node", "left_semi")
+        prints = prints.join(found, "node", "left_semi")
     return found
 
 
 def _suspects(prints: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     """Nodes that may link: those with a listing that another set shares, beyond the most
     frequent ones that a set may leave out."""
+    if rule.percent < FRAGMENTED:
+        return _prefix_suspects(prints.select("node", "classes", "keys"), nodes)
     listings = prints.select("node", F.explode(F.arrays_zip("classes", "keys")).alias("l")).select(
         "node", F.col("l.classes").alias("class"), F.explode("l.keys").alias("key")
     )
-    if rule.percent < FRAGMENTED:
-        return _prefix_suspects(listings, nodes)
     # Copies of one set count into its keys' frequency; any order of keys will do.
     shared = listings.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = shared.where("lo <> hi").select("key", "k")
@@ -377,6 +379,8 @@ def _link_all(listed: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
         else:
             led = placed.alias("x").join(keys.select("key", F.col("leader").alias("y")), "key").where(_possible("x", "y", rule))
             pairs = led.select(*_ordered("x", "y"))
+            # N-grams of one component stay so; only the others are looked at again.
+            listed = stored(listed.join(keys.select("key"), "key", "left_semi"), "listings")
         links = stored(_linked(pairs.distinct(), parts, rule), "links")
         found = not links.isEmpty()
         if found:

@@ -1,7 +1,7 @@
 """Steps whose time, disk or memory grew faster than their input."""
 
 import __spark_entry__ as entry
-from gristmill.llm import lm_score
+from gristmill.llm import lm_score, ngram_join
 
 
 def plan_of(frame) -> str:
@@ -27,3 +27,12 @@ def test_marks_come_without_a_shuffle_of_most_texts(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(wanted, key=str)
     # Rows that no bitmap tells stay in the partitions they are read in.
     assert "Union" in plan_of(found)
+
+
+def test_prefix_listings_are_sent_once(spark):
+    prints = spark.createDataFrame(
+        [(1, [1], [[5, 6]]), (2, [1], [[6, 7]]), (2, [1], [[6, 7]]), (3, [1], [[8]]), (4, [2], [[5, 9]])],
+        "node long, classes array<int>, keys array<array<long>>",
+    )
+    nodes = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 1)], "node long, copies long")
+    assert sorted(r.node for r in ngram_join._prefix_suspects(prints, nodes).collect()) == [1, 2]
