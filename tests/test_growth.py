@@ -1,8 +1,12 @@
 """Steps whose time, disk or memory grew faster than their input."""
 
+import csv
+
 import __spark_entry__ as entry
 from gristmill.llm import lm_score, ngram_join
 from gristmill.models import training
+from gristmill.sources import records
+from gristmill.sources.files import read_csv
 
 
 def plan_of(frame) -> str:
@@ -27,6 +31,21 @@ def test_forest_levels(spark, monkeypatch):
     assert training._spread(spark.range(100).repartition(cores + 1)).rdd.getNumPartitions() == cores + 1
 
 
+def test_csv_records_over_chunks_of_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "CHUNK", 4)
+    monkeypatch.setattr(records, "TASK", 64)
+    cells = [["k", "a\nb"], *[[str(i), "x\n" * (i % 7) + 'say "y"'] for i in range(40)], ["40", "l\n" * 30 + "l"], ["41", "z"]]
+    path = f"{tmp_path}/cells.csv"
+    with open(path, "w", encoding="utf-8", newline="") as file:
+        csv.writer(file, lineterminator="\n").writerows(cells)
+    starts = records._starts(records._steps(records._lines(spark, path))).collect()
+    lines = sum(1 for _ in open(path))
+    assert len(starts) >= lines // 4 and {row["begin"] for row in starts} == {0}
+    frame = read_csv(spark, path, typed=False)
+    assert frame.columns == cells[0]
+    assert sorted(map(list, frame.collect())) == sorted(cells[1:])
+
+
 def test_marks_come_without_a_shuffle_of_most_texts(spark):
     ids = [*range(-3, 60), 7, 7, None, None, 1 << 62]
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").repartition(3)
