@@ -53,6 +53,8 @@ LARGE = 255
 COUNTS = "target binary, target_large array<bigint>, everything binary, everything_large array<bigint>"
 PARTIAL = f"part bigint, block bigint, keys array<bigint>, {COUNTS}"
 ANSWERS = f"part bigint, block bigint, {COUNTS}, n_words bigint"
+# Words of a block ascend, so Parquet's second version writes them as differences.
+COMPACT = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 SCORES = "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double"
 
 
@@ -295,11 +297,11 @@ def score(blocks: DataFrame, answers: DataFrame, both: tuple[Model, Model]) -> D
 
 def cross_entropy_difference(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Score every row of ``docs`` for its likeness to the documents in ``marked``."""
-    blocks = stored(word_blocks(docs, marked), "blocks")
+    blocks = stored(word_blocks(docs, marked), "blocks", **COMPACT)
     columns = ("n_words", "n_texts", "target_words", "target_texts")
     sums = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
     # A word has an entry and a bigram at most.
     bits = min(max(2 * sums.n_words // PART, 0).bit_length(), 32)
-    answers = stored(total_counts(block_counts(blocks, bits)), "counts")
+    answers = stored(total_counts(block_counts(blocks, bits)), "counts", **COMPACT)
     vocabulary = answers.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n
     return score(blocks, answers, models(sums, vocabulary))

@@ -2,8 +2,11 @@
 
 import csv
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from gristmill.llm import lm_score, ngram_join
+from gristmill.llm.texts import CLEANUP, stored
 from gristmill.models import training
 from gristmill.sources import records
 from gristmill.sources.files import read_csv
@@ -57,6 +60,20 @@ def test_marks_come_without_a_shuffle_of_most_texts(spark):
     assert "Union" in plan_of(found)
 
 
+def test_shuffles_of_stored_tables_go(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in files.mkString("\n").split("\n") if "shuffle_" in name}
+
+    before, asked = shuffled(), spark.conf.get(CLEANUP, None)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    table = stored(counted, "counted", compression="zstd")
+    assert not shuffled() - before
+    assert sorted(map(tuple, table.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    # The setting is the session's again.
+    assert spark.conf.get(CLEANUP, None) == asked
+
+
 def test_prefix_listings_are_sent_once(spark):
     prints = spark.createDataFrame(
         [(1, [1], [[5, 6]]), (2, [1], [[6, 7]]), (2, [1], [[6, 7]]), (3, [1], [[8]]), (4, [2], [[5, 9]])],
