@@ -256,7 +256,8 @@ def estimates(counts: DataFrame, share: float = 0.75, steps: int = 100, min_docs
     of the chi-squared law). Levels with fewer than ``min_docs`` documents have none. Starts
     settle after a few steps each; ``steps`` is only a bound.
     """
-    usable = counts.where(~base_failed()).select(F.explode(_levels()).alias("level"), _vector().alias("x"))
+    # Written once: every step plans and reads it again.
+    usable = stored(counts.where(~base_failed()).select(F.explode(_levels()).alias("level"), _vector().alias("x")), "vectors")
 
     def classed(model: DataFrame) -> DataFrame:
         # Written tables: the planner broadcasts an estimate table only while it is small.

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gristmill.llm import quality
+from gristmill.llm.texts import stored
 
 from .helpers import DOCUMENTS, awkward, prose, word_list
 
@@ -163,3 +164,19 @@ def test_text_is_never_shuffled(spark):
     docs, _ = sample(spark)
     plan = quality.document_counts(docs, keep=[F.col("doc_id")])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_steps_read_stored_vectors(spark, monkeypatch):
+    docs, _ = sample(spark)
+    counts = quality.document_counts(docs, keep=[F.col("lang"), F.col("source")]).cache()
+    plans = []
+
+    def noted(df, purpose, **options):
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, purpose, **options)
+
+    monkeypatch.setattr(quality, "stored", noted)
+    assert quality.estimates(counts).count()
+    assert [purpose for purpose, _ in plans].count("vectors") == 1 and len(plans) > 3
+    # Statistics and levels are computed for that table alone.
+    assert not [plan for purpose, plan in plans if purpose != "vectors" and "ROUND(" in plan.upper()]
