@@ -31,8 +31,10 @@ n-gram in different components is compared whose sizes and places allow a link.
 group of thousands of near copies costs a few comparisons per member, and no link between
 components is missed.
 
-*Counting.* For a candidate pair the overlap is counted in each fragment on its own, by a
-join of the two parts, and summed per pair.
+*Counting.* Each set has a small bitmap of its n-grams. An n-gram behind a bit that only one
+of two sets has is not shared, so most pairs that do not link go by their bitmaps. For the
+others the overlap is counted in each fragment on its own, by a join of the two parts, and
+summed per pair; only sets of such pairs are sent.
 
 Equal sets are one node from the start. Sets and their parts are told apart by 64-bit
 hashes. Defined results: a text of fewer words than an n-gram is one n-gram; null, empty and
@@ -53,11 +55,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.components import components
-from gristmill.llm.texts import ascii_lower, stored, words
+from gristmill.llm.texts import ascii_lower, near, stored, words
 
 WORDS = 3
 PERCENT = 90
 PARTS = 8  # fragments in which overlaps are counted
+BITS = 1024  # of a set's bitmap; sets of many more n-grams fill it and are told by their parts
 STAR_ROUNDS = 8
 FRAGMENTED = 90  # per cent, from which suspects are found by fragments
 SPARE = 10  # of so many n-grams of a set, one more is listed in its prefix
@@ -208,24 +211,33 @@ def _list_keys(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return list_all
 
 
+def _bitmap(found: np.ndarray) -> np.ndarray:
+    """One bit per n-gram, in words of 64 bits."""
+    held = np.zeros(BITS, np.uint8)
+    held[found & np.uint64(BITS - 1)] = 1
+    return np.packbits(held).view(np.int64)
+
+
 def _cut_sets(rule: Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The parts of each set in the counting fragments."""
+    """The parts of each set in the counting fragments; the first one has the set's bitmap."""
     bounds = _bounds(PARTS)
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, parts, values = [], [], []
+            nodes, parts, values, bits = [], [], [], []
             for wanted, found in zip(batch.column(0).to_pylist(), _sets(batch, 1, rule), strict=True):
                 if len(found) and _identity(found) == wanted:
                     at = np.append(np.searchsorted(found, bounds), len(found))
-                    for part in range(PARTS):
-                        if at[part + 1] > at[part]:
-                            nodes.append(wanted)
-                            parts.append(part)
-                            values.append(found[at[part] : at[part + 1]].view(np.int64))
+                    filled = np.flatnonzero(at[1:] > at[:-1]).tolist()
+                    for part in filled:
+                        nodes.append(wanted)
+                        parts.append(part)
+                        values.append(found[at[part] : at[part + 1]].view(np.int64))
+                        bits.append(_bitmap(found) if part == filled[0] else None)
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.array(values, pa.list_(pa.int64()))],
-                names=["node", "part", "grams"],
+                [pa.array(nodes, pa.int64()), pa.array(parts, pa.int32()), pa.array(values, lists), pa.array(bits, lists)],
+                names=["node", "part", "grams", "bits"],
             )
 
     return cut_all
@@ -249,13 +261,15 @@ def _prefix_suspects(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     their listings are made.
     """
     by_key = Window.partitionBy("key")
-    for _ in range(PRUNINGS):
+    for turn in range(PRUNINGS):
+        if turn:
+            prints = near(prints, F.xxhash64("node"), found.select(F.xxhash64("node"))).where("_near").drop("_near")
+            prints = prints.join(found, "node", "left_semi")
         listings = prints.select("node", F.get("classes", F.lit(0)).alias("class"), F.explode(F.get("keys", F.lit(0))).alias("key"))
         told = listings.select("node", "class", F.min("node").over(by_key).alias("lo"), F.max("node").over(by_key).alias("hi"))
         met = told.where("lo <> hi").groupBy("node", "class").agg(F.count(F.lit(1)).alias("k"))
         enough = met.join(nodes.select("node", "copies"), "node").where("k >= class * copies")
         found = stored(enough.select("node"), "suspects")
-        prints = prints.join(found, "node", "left_semi")
     return found
 
 
@@ -331,14 +345,35 @@ def _ordered(a: str, b: str) -> list[Column]:
     ]
 
 
+def _bitmaps(parts: DataFrame) -> DataFrame:
+    """node, bits of each set; those of repeated rows are alike."""
+    return parts.where("bits is not null").groupBy("node").agg(F.first("bits").alias("bits"))
+
+
+def _likely(pairs: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b, na, nb) that may link by their sets' bitmaps."""
+
+    def alone(x: str, y: str) -> Column:
+        """At least so many n-grams of x are not in y."""
+        return sum(F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS // 64))
+
+    left = bits.select(F.col("node").alias("a"), F.col("bits").alias("x"))
+    right = bits.select(F.col("node").alias("b"), F.col("bits").alias("y"))
+    shared = F.least(F.col("na") - alone("x", "y"), F.col("nb") - alone("y", "x"))
+    least = _least_overlap(F.col("na") + F.col("nb"), rule)
+    return pairs.join(left, "a").join(right, "b").where(shared >= least).select("a", "b", "na", "nb")
+
+
 def _linked(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold.
+    """The pairs (a, b, na, nb) that reach the threshold. pairs is read twice.
 
     One row per pair and fragment; parts repeat where a row repeats, so the maximum of a
     fragment's counts is summed.
     """
-    left = parts.select(F.col("node").alias("a"), "part", F.col("grams").alias("ga"))
-    right = parts.select(F.col("node").alias("b"), "part", F.col("grams").alias("gb"))
+    sets = pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))))
+    few = near(parts, F.xxhash64("node"), sets).where("_near")
+    left = few.select(F.col("node").alias("a"), "part", F.col("grams").alias("ga"))
+    right = few.select(F.col("node").alias("b"), "part", F.col("grams").alias("gb"))
     met = pairs.join(left, "a").join(right, ["b", "part"])
     partial = met.select("a", "b", "na", "nb", "part", F.size(F.array_intersect("ga", "gb")).alias("c"))
     each = partial.groupBy("a", "b", "na", "nb", "part").agg(F.max("c").alias("c"))
@@ -350,8 +385,8 @@ def _linked(pairs: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
 def _link_all(listed: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
     """node, component over all links among the listed sets."""
     joined, found = listed.sparkSession.createDataFrame([], "node bigint, component bigint"), True
+    placed, bits = listed.withColumn("component", F.col("node")), stored(_bitmaps(parts), "bitmaps")
     for turn in range(STAR_ROUNDS + 1):
-        placed = listed.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # The set with the fewest rarer n-grams is the most central one of an n-gram; later
         # rounds ask that of one component of the n-gram each.
         turned = (F.xxhash64(F.lit(turn), "component") if turn else F.lit(0).cast("long")).alias("order")
@@ -379,15 +414,20 @@ def _link_all(listed: DataFrame, parts: DataFrame, rule: Rule) -> DataFrame:
         else:
             led = placed.alias("x").join(keys.select("key", F.col("leader").alias("y")), "key").where(_possible("x", "y", rule))
             pairs = led.select(*_ordered("x", "y"))
-            # N-grams of one component stay so; only the others are looked at again.
-            listed = stored(listed.join(keys.select("key"), "key", "left_semi"), "listings")
-        links = stored(_linked(pairs.distinct(), parts, rule), "links")
-        found = not links.isEmpty()
+        likely = stored(_likely(pairs.distinct(), bits, rule), "pairs")
+        found = not likely.isEmpty()
+        if found:
+            links = stored(_linked(likely, parts, rule), "links")
+            found = not links.isEmpty()
         if found:
             known = joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
             joined = stored(components(known.unionAll(links)), "components")
         if last:
             break
+        # N-grams of one component stay so; only the others are looked at again, with the
+        # components of their sets.
+        again = placed.join(keys.select("key"), "key", "left_semi").drop("component").join(joined, "node", "left")
+        placed = stored(again.withColumn("component", F.coalesce("component", "node")), "listings")
     return joined
 
 
@@ -406,6 +446,7 @@ def _told(docs: DataFrame, rule: Rule) -> DataFrame:
     parts = stored(_parts(docs, stored(suspects, "suspects"), rule), "parts")
     joined = _link_all(_listings(parts, nodes, rule), parts, rule)
     placed = nodes.join(joined, "node", "left").select("node", "keeper", F.coalesce("component", "node").alias("component"))
+    placed = stored(placed, "placed")
     least = placed.groupBy("component").agg(F.min("keeper").alias("keeper"))
     labels = stored(placed.select("node", "component").join(least, "component").select("node", "keeper"), "labels")
     told = prints.select("doc_id", "said", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
@@ -420,19 +461,13 @@ def similar_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def _parts(docs: DataFrame, suspects: DataFrame, rule: Rule) -> DataFrame:
-    """node, part, grams of one document of each suspect set.
-
-    Texts are first dropped by a table of at most 2 ** 18 buckets of suspect ids, so only
-    suspects are shuffled while they are few.
-    """
-    bucket = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 18) - 1))
-    buckets = suspects.select(bucket.alias("bucket")).distinct()
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("bucket", bucket)
-    few = few.join(F.broadcast(buckets), "bucket", "left_semi")
+    """node, part, grams, bits of one document of each suspect set."""
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    few = near(few, F.xxhash64("doc_id"), suspects.select(F.xxhash64("doc_id"))).where("_near").drop("_near")
     # Null ids name no row: they are compared as a value.
     same = few["doc_id"].eqNullSafe(suspects["doc_id"])
     rows = few.join(suspects, same).select("node", _hashes())
-    return rows.mapInArrow(_cut_sets(rule), "node bigint, part int, grams array<bigint>")
+    return rows.mapInArrow(_cut_sets(rule), "node bigint, part int, grams array<bigint>, bits array<bigint>")
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), repeats: bool = True) -> DataFrame:
@@ -452,7 +487,8 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(), repeats: bool = True) -> D
         return rows.join(keys, same, kind)
 
     rows = docs.select(F.struct("*").alias("_row"), _said().alias("_text"))
-    rows = at(gone, "left_anti", rows)
+    apart = near(rows, F.xxhash64(F.col("_row.doc_id").cast("long"), "_text"), gone.select(F.xxhash64("_id", "_said")))
+    rows = at(gone, "left_anti", apart.where("_near").drop("_near")).unionByName(apart.where("not _near").drop("_near"))
     if not repeats:
         again = told.where(first).groupBy("doc_id", "said").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         again = stored(again.select(*named), "again")

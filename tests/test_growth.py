@@ -2,11 +2,12 @@
 
 import csv
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gristmill.llm import lm_score, ngram_join
-from gristmill.llm.texts import CLEANUP, stored
+from gristmill.llm.texts import CLEANUP, near, stored
 from gristmill.models import training
 from gristmill.sources import records
 from gristmill.sources.files import read_csv
@@ -81,3 +82,37 @@ def test_prefix_listings_are_sent_once(spark):
     )
     nodes = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 1)], "node long, copies long")
     assert sorted(r.node for r in ngram_join._prefix_suspects(prints, nodes).collect()) == [1, 2]
+
+
+def test_few_rows_are_sent_to_few_keys(spark):
+    ids = [*range(500), 7, None]
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, text string")
+    wanted = spark.createDataFrame([(7,), (7,), (20,), (None,), (999,)], "id long")
+    marked = near(rows, F.xxhash64("id"), wanted.select(F.xxhash64("id")))
+    assert marked.columns == ["id", "text", "_near"]
+    found = [r.id for r in marked.where("_near").collect()]
+    assert {7, 20, None} <= set(found) and found.count(7) == 2 and len(found) < 10
+    assert sorted(r.text for r in marked.collect()) == sorted(f"t{i}" for i in ids)
+    assert not near(rows, F.xxhash64("id"), wanted.limit(0).select(F.xxhash64("id"))).where("_near or _near is null").count()
+
+
+def test_few_pairs_are_compared_and_sent(spark):
+    rng = np.random.default_rng(3)
+    bases = [np.unique(rng.integers(0, 1 << 63, 300, np.uint64)) for _ in range(40)]
+    sets = [np.sort(np.append(b[k:], bases[-1 - i][:k])) for i, b in enumerate(bases) for k in (0, 10, 45)]
+    sets += [np.unique(rng.integers(0, 1 << 63, n, np.uint64)) for n in (1, 2, 9000)]
+    held = [set(s.tolist()) for s in sets]
+    parts = [(i, 0, s.astype(np.int64).tolist(), ngram_join._bitmap(s).tolist()) for i, s in enumerate(sets)]
+    parts += [(0, *parts[0][1:]), (121, 1, [5], None)]  # a repeated row, and a set of two parts
+    frame = stored(spark.createDataFrame(parts, "node long, part int, grams array<long>, bits array<long>"), "parts")
+    pairs = [(a, b, len(held[a]), len(held[b])) for a in range(len(sets)) for b in range(a + 1, len(sets)) if (a + b) % 5 < 3]
+    linked = {(a, b) for a, b, na, nb in pairs if 100 * len(held[a] & held[b]) >= 80 * len(held[a] | held[b])}
+    rule = ngram_join.Rule(5, 80)
+    asked = spark.createDataFrame(pairs, "a long, b long, na long, nb long")
+    likely = stored(ngram_join._likely(asked, ngram_join._bitmaps(frame), rule), "pairs")
+    told = {(r.a, r.b) for r in likely.collect()}
+    assert linked and linked <= told and len(told) < len(pairs) / 20
+    assert {tuple(r) for r in ngram_join._linked(likely, frame, rule).collect()} == linked
+    # Parts of sets in no pair are dropped before they are shuffled.
+    one = ngram_join._linked(likely.limit(1), frame, rule)
+    assert plan_of(one).count("getbit") >= 2
