@@ -192,6 +192,24 @@ def test_jdbc(spark):
         jdbc.read_query(spark, url, "DELETE FROM ORDERS")
 
 
+@pytest.mark.parametrize("master", ["local-cluster[3,2,3000]", "spark://host:7077", "yarn"])
+def test_database_in_memory_is_for_local_mode_only(spark, master):
+    from types import SimpleNamespace as Stub
+
+    from gristmill.suite.sources import database
+
+    def session(master, settings):
+        context = Stub(master=master, _jvm=spark.sparkContext._jvm)
+        return Stub(spark=Stub(conf=Stub(get=settings.get), sparkContext=context))
+
+    with pytest.raises(RuntimeError, match="spark.gristmill.jdbc.url"):
+        database(session(master, {}))
+    named = {"spark.gristmill.jdbc.url": "jdbc:named"}
+    assert database(session(master, named)) == "jdbc:named"
+    for local in ("local", "local[4]", "local[*, 2]"):
+        assert database(session(local, {})).startswith("jdbc:derby:memory:")
+
+
 def test_browse(spark, catalog, store, sales):
     from gristmill.plans import browse
 
